@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, secrets
+from . import bagminhash, langid, packing, quality, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,17 +15,33 @@ def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graded = quality.ratings(table(spark, sf_dir, "labels"))
+    return quality.classify(table(spark, sf_dir, "documents"), graded)
+
+
+def op3_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op7_bagminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_language_mixture": op1_language_mixture,
+    "op2_ordinal_quality": op2_ordinal_quality,
+    "op3_toxicity_grammar": op3_toxicity_grammar,
     "op4_entropy_secrets": op4_entropy_secrets,
+    "op7_bagminhash_classes": op7_bagminhash_classes,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 SQL: dict[str, str] = {}
