@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bagminhash, langid, packing, quality, secrets, toxicity
+from . import bagminhash, covertree, langid, media, mixing, packing, quality, secrets, toxicity, zipwarc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and domain (its language) of the documents that the labels table has reviewed."""
+    known = docs.where(F.col("lang").isNotNull()).select("doc_id", F.col("lang").alias("domain"))
+    return known.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id")
+
+
 def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -28,20 +35,46 @@ def op4_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op5_cover_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op6_media_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.documents_as_media(table(spark, sf_dir, "documents"), with_media=False)
+
+
 def op7_bagminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op8_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zipwarc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.rates(docs, domains(spark, docs, sf_dir))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {
-    "op1_language_mixture": op1_language_mixture,
-    "op2_ordinal_quality": op2_ordinal_quality,
-    "op3_toxicity_grammar": op3_toxicity_grammar,
-    "op4_entropy_secrets": op4_entropy_secrets,
-    "op7_bagminhash_classes": op7_bagminhash_classes,
-    "op10_best_fit_packing": op10_best_fit_packing,
+QUERIES = {f.__name__: f for f in (
+    op1_language_mixture, op2_ordinal_quality, op3_toxicity_grammar, op4_entropy_secrets, op5_cover_tree_search,
+    op6_media_tiles, op7_bagminhash_classes, op8_zip_warc, op9_soft_mixing, op10_best_fit_packing,
+)}
+
+SQL = {
+    "op5_cover_tree_search": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(d.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+""",
 }
-SQL: dict[str, str] = {}
