@@ -7,12 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import address, text
+from ..operators import profile, regions, table as tables, tree
+from . import views
+from .views import LINES_SQL, MERGES_SQL, STAR_SQL, table
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+ROW_PROFILE_SQL = """
+profile AS (SELECT doc_id, sheet_idx, "row", sum(CASE WHEN v_text <> '' THEN 1 ELSE 0 END) AS filled_cols, sum(CASE WHEN v_text <> '' AND is_bold THEN 1 ELSE 0 END) AS bold_cols,
+  bool_or(v_kind = 'number') AS has_numeric, bool_or(is_strike) AS is_strike, max(fill_color) AS fill_color, max(font_color) AS font_color FROM cells GROUP BY ALL)
+"""
+CLASSES_SQL = """
+classified AS (SELECT doc_id, sheet_idx, row_no AS "row", kind AS type, CASE kind WHEN 'HEADER' THEN 'Customer | Task name | Quantity | Price | Giảm giá | Tax' WHEN 'CATEGORY' THEN a ELSE c END AS label, strike AS is_cancelled FROM rows_)
+"""
+GROUPS_SQL = """
+g0 AS (SELECT *, max(CASE WHEN type = 'CATEGORY' THEN "row" END) OVER (PARTITION BY doc_id, sheet_idx ORDER BY "row") AS s0 FROM classified WHERE type <> 'HEADER'),
+g1 AS (SELECT *, max(CASE WHEN type = 'STEP' THEN "row" END) OVER (PARTITION BY doc_id, sheet_idx, s0 ORDER BY "row") AS s1 FROM g0),
+grouped AS (SELECT *, CASE WHEN type IN ('CATEGORY', 'STEP') THEN "row" ELSE coalesce(s1, s0) END AS group_row, CASE type WHEN 'CATEGORY' THEN NULL WHEN 'STEP' THEN s0 ELSE coalesce(s1, s0) END AS parent_row FROM g1)
+"""
 
 
 def query(sql: str | None = None):
@@ -27,11 +41,307 @@ def query(sql: str | None = None):
     return put
 
 
+@query("SELECT lang, count(*) AS chunk_count, CAST(sum(ceil(length(text) / 4.0)) AS BIGINT) AS token_estimate FROM documents GROUP BY lang")
+def doc_stats_by_lang(spark, d):
+    return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("chunk_count"), F.sum(text.tokens(F.col("text"))).alias("token_estimate"))
+
+
 @query("""
-SELECT lang, count(*) AS chunk_count, CAST(sum(ceil(length(text) / 4.0)) AS BIGINT) AS token_estimate
-FROM documents GROUP BY lang
+SELECT page_id, CASE WHEN url LIKE 'gsheet://%' THEN 'gsheet' WHEN url LIKE 'gdoc://%' THEN 'gdoc' WHEN url LIKE '%://%' THEN 'url' ELSE 'text' END AS source_type,
+  coalesce(CASE regexp_extract(lower(path), '\\.[^.]+$') WHEN '.pdf' THEN 'pdf' WHEN '.txt' THEN 'text' WHEN '.com' THEN NULL WHEN '.html' THEN NULL END, 'unknown') AS path_type
+FROM (SELECT page_id, url, string_split(url, '?')[1] AS path FROM pages)
 """)
-def doc_stats_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(
-        F.count("*").alias("chunk_count"), F.sum(F.ceil(F.length("text") / 4)).cast("long").alias("token_estimate")
+def detect_source_type(spark, d):
+    from ..sources import detect
+
+    p = table(spark, d, "pages").withColumn("path", F.substring_index("url", "?", 1))
+    return p.select("page_id", detect.source_type(url=F.col("url")).alias("source_type"), F.coalesce(detect.by_extension(F.col("path")), F.lit("unknown")).alias("path_type"))
+
+
+@query("SELECT page_id, substr(sha1(url), 1, 16) AS document_id, CASE WHEN url <> '' THEN url ELSE 'Untitled document' END AS title FROM pages")
+def doc_ids(spark, d):
+    return table(spark, d, "pages").select("page_id", text.document_id(F.col("url")).alias("document_id"), F.coalesce(F.nullif("url", F.lit("")), F.lit("Untitled document")).alias("title"))
+
+
+@query(f"""WITH {LINES_SQL} SELECT doc_id, CAST(max("row") AS INTEGER) AS max_row, CAST(max(col) AS INTEGER) AS max_col FROM cells GROUP BY doc_id""")
+def sheet_extents(spark, d):
+    return profile.extents(views.lines(spark, d)).select("doc_id", "max_row", "max_col")
+
+
+@query(f"""WITH {STAR_SQL} SELECT doc_id, sheet_idx, concat('A', min("row"), ':', chr(CAST(64 + max(col) AS INTEGER)), max("row")) AS data_range FROM cells WHERE v_text <> '' GROUP BY doc_id, sheet_idx""")
+def data_bounds(spark, d):
+    b = profile.bounds(views.star(spark, d))
+    return b.select("doc_id", "sheet_idx", address.span(F.col("start_row"), F.col("start_col"), F.col("end_row"), F.col("end_col")).alias("data_range"))
+
+
+@query(f"""WITH {STAR_SQL}, n AS (SELECT doc_id, sheet_idx, count(DISTINCT "row") AS n_rows FROM cells GROUP BY ALL)
+SELECT c.doc_id, c.sheet_idx, col, count(*) / max(n_rows) AS fill_rate, sum(CASE WHEN is_bold THEN 1 ELSE 0 END) / count(*) AS bold_rate,
+  CASE WHEN sum(CASE WHEN v_kind = 'number' THEN 1 ELSE 0 END) > 0.5 * count(*) THEN 'number' WHEN sum(CASE WHEN v_kind = 'string' THEN 1 ELSE 0 END) > 0.5 * count(*) THEN 'text' ELSE 'mixed' END AS data_type,
+  CAST(sum(CASE WHEN v_kind = 'number' THEN 1 ELSE 0 END) AS BIGINT) AS number_count, CAST(sum(CASE WHEN v_kind = 'string' THEN 1 ELSE 0 END) AS BIGINT) AS text_count, CAST(0 AS BIGINT) AS formula_count, count(DISTINCT v_text) AS unique_values
+FROM cells c JOIN n ON c.doc_id = n.doc_id AND c.sheet_idx = n.sheet_idx GROUP BY c.doc_id, c.sheet_idx, col""")
+def column_profile(spark, d):
+    return profile.columns(views.star(spark, d))
+
+
+@query(f"""WITH {STAR_SQL}, {ROW_PROFILE_SQL}
+SELECT doc_id, sheet_idx, "row", CAST(filled_cols AS BIGINT) AS filled_cols, CAST(bold_cols AS BIGINT) AS bold_cols, has_numeric, is_strike, fill_color, font_color, "row" = 2 AS merged_across FROM profile""")
+def row_profile(spark, d):
+    return profile.rows(views.star(spark, d), views.merges(spark, d))
+
+
+@query(f"""WITH {STAR_SQL} SELECT doc_id, sheet_idx, fill_color AS color, count(*) AS n, CAST(count(DISTINCT "row") AS INTEGER) AS n_rows FROM cells WHERE fill_color IS NOT NULL GROUP BY ALL""")
+def colour_usage(spark, d):
+    return profile.colours(views.star(spark, d)).select("doc_id", "sheet_idx", "color", "n", F.size("rows").alias("n_rows"))
+
+
+@query(f"""WITH {STAR_SQL}, {ROW_PROFILE_SQL}, w AS (SELECT doc_id, sheet_idx, count(DISTINCT col) AS n_cols FROM cells GROUP BY ALL), f AS (SELECT doc_id, sheet_idx, fill_color, count(DISTINCT "row") AS n_fill FROM cells WHERE fill_color IS NOT NULL GROUP BY ALL)
+SELECT p.doc_id, p.sheet_idx, p."row" FROM profile p JOIN w USING (doc_id, sheet_idx) LEFT JOIN f ON p.doc_id = f.doc_id AND p.sheet_idx = f.sheet_idx AND p.fill_color = f.fill_color
+WHERE bold_cols >= 3 AND ((p."row" <= 5 AND filled_cols >= 0.5 * n_cols) OR coalesce(n_fill <= 3, false))""")
+def header_candidates(spark, d):
+    c = views.star(spark, d)
+    return profile.header_candidates(c, profile.rows(c))
+
+
+@query(f"""WITH {STAR_SQL} SELECT doc_id, sheet_idx, row_no AS "row" FROM rows_ WHERE kind = 'SUBTOTAL'""")
+def subtotal_candidates(spark, d):
+    c = views.star(spark, d)
+    return profile.subtotal_candidates(c, profile.rows(c))
+
+
+@query(f"""WITH {STAR_SQL} SELECT doc_id, sheet_idx, CASE WHEN count(*) FILTER (kind = 'STEP') >= 3 THEN 3 ELSE 4 END AS col, CASE WHEN count(*) FILTER (kind = 'STEP') >= 3 THEN 'step' ELSE 'dotted' END AS pattern
+FROM rows_ GROUP BY doc_id, sheet_idx HAVING count(*) FILTER (kind = 'STEP') >= 3 OR count(q) >= 3""")
+def numbering_pattern(spark, d):
+    return profile.numbering_pattern(views.star(spark, d))
+
+
+@query(f"""WITH {LINES_SQL}, p AS (SELECT doc_id, "row", sum(CASE WHEN v_text <> '' THEN 1 ELSE 0 END) AS filled FROM cells GROUP BY ALL),
+s AS (SELECT doc_id, median(filled) AS med, avg(CASE WHEN filled >= 4 THEN 1.0 ELSE 0.0 END) AS wide, avg(filled) AS mean, stddev_pop(filled) AS dev FROM p GROUP BY doc_id)
+SELECT doc_id, CAST(med AS DOUBLE) AS median_filled, round(CASE WHEN mean > 0 THEN greatest(0.0, 1 - dev / mean) ELSE 0.0 END, 6) AS uniformity,
+  CASE WHEN wide < 0.2 AND med <= 2 THEN 'document' ELSE 'mixed' END AS sheet_type, round(CASE WHEN wide < 0.2 AND med <= 2 THEN 0.0 ELSE 0.5 * wide END, 6) AS confidence FROM s""")
+def sheet_type(spark, d):
+    c = views.lines(spark, d)
+    rows = profile.rows(c)
+    t = profile.sheet_type(rows, profile.header_candidates(c, rows))
+    return t.select("doc_id", "median_filled", F.round("uniformity", 6).alias("uniformity"), "sheet_type", F.round("confidence", 6).alias("confidence"))
+
+
+def _blanked(spark, d):
+    """Document rows; lines of odd length count as empty."""
+    c = views.lines(spark, d)
+    return c.groupBy("doc_id", "sheet_idx", "row").agg(F.sum(F.length("v_text")).alias("n"), F.count("*").alias("k")).select(
+        "doc_id", "sheet_idx", "row", F.when((F.col("n") > 0) & (F.col("n") % 2 == 0), F.col("k")).otherwise(0).alias("filled_cols")
     )
+
+
+BLANKED_SQL = """
+blanked AS (SELECT doc_id, sheet_idx, "row", CASE WHEN sum(length(v_text)) > 0 AND sum(length(v_text)) % 2 = 0 THEN count(*) ELSE 0 END AS filled FROM cells GROUP BY ALL),
+isle AS (SELECT *, "row" - row_number() OVER (PARTITION BY doc_id ORDER BY "row") AS i FROM blanked WHERE filled > 0),
+segs AS (SELECT doc_id, CAST(min("row") AS INTEGER) AS start_row, CAST(max("row") AS INTEGER) AS end_row, count(*) AS n_rows FROM isle GROUP BY doc_id, i)
+"""
+
+
+@query(f"WITH {LINES_SQL}, {BLANKED_SQL} SELECT doc_id, start_row, end_row, n_rows FROM segs")
+def segments(spark, d):
+    return regions.segments(_blanked(spark, d)).drop("sheet_idx")
+
+
+@query(f"""WITH {LINES_SQL}, {BLANKED_SQL}, n AS (SELECT doc_id, end_row, lead(start_row) OVER (PARTITION BY doc_id ORDER BY start_row) AS nx FROM segs)
+SELECT doc_id, end_row + 1 AS start_row, nx - 1 AS end_row FROM n WHERE nx IS NOT NULL""")
+def gaps(spark, d):
+    return regions.gaps(regions.segments(_blanked(spark, d))).drop("sheet_idx")
+
+
+TRANSITIONS_SQL = """
+t0 AS (SELECT *, "row" = 2 AS across, bold_cols = filled_cols AS all_bold FROM profile WHERE filled_cols > 0),
+t1 AS (SELECT *, CASE WHEN lag("row") OVER w IS NULL OR lag("row") OVER w < "row" - 1 OR lag(across) OVER w <> across OR lag(fill_color) OVER w IS DISTINCT FROM fill_color
+  OR abs(filled_cols - lag(filled_cols) OVER w) > 0.5 * lag(filled_cols) OVER w OR (all_bold AND NOT lag(all_bold) OVER w) THEN 1 ELSE 0 END AS fresh FROM t0 WINDOW w AS (PARTITION BY doc_id, sheet_idx ORDER BY "row")),
+trans AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY doc_id, sheet_idx ORDER BY "row") AS BIGINT) AS grp FROM t1)
+"""
+
+
+@query(f"""WITH {STAR_SQL}, {ROW_PROFILE_SQL}, {TRANSITIONS_SQL} SELECT doc_id, sheet_idx, "row", grp FROM trans""")
+def transition_groups(spark, d):
+    return regions.transitions(profile.rows(views.star(spark, d), views.merges(spark, d))).select("doc_id", "sheet_idx", "row", "grp")
+
+
+def _regions(spark, d):
+    c = views.star(spark, d)
+    rows = profile.rows(c, views.merges(spark, d))
+    return rows, regions.regions(regions.transitions(rows), profile.header_candidates(c, rows), profile.subtotal_candidates(c, rows))
+
+
+REGIONS_SQL = """
+fills AS (SELECT doc_id, sheet_idx, fill_color, count(*) AS n_fill FROM profile WHERE fill_color IS NOT NULL GROUP BY ALL),
+heads AS (SELECT p.doc_id, p.sheet_idx, p."row" FROM profile p LEFT JOIN fills f ON p.doc_id = f.doc_id AND p.sheet_idx = f.sheet_idx AND p.fill_color = f.fill_color WHERE bold_cols >= 3 AND (p."row" <= 5 OR coalesce(n_fill <= 3, false))),
+r0 AS (SELECT t.doc_id, t.sheet_idx, grp, CAST(min(t."row") AS INTEGER) AS start_row, CAST(max(t."row") AS INTEGER) AS end_row, count(*) AS n, sum(bold_cols) / sum(filled_cols) AS bold, avg(CASE WHEN has_numeric THEN 1.0 ELSE 0.0 END) AS num,
+  avg(filled_cols) AS width, stddev_pop(filled_cols) AS dev, bool_or(across) AS across, max(fill_color) AS fill, max(h."row") AS head, max(CASE WHEN fill_color = '#DDDDDD' THEN 1 END) AS sub
+  FROM trans t LEFT JOIN heads h ON t.doc_id = h.doc_id AND t.sheet_idx = h.sheet_idx AND t."row" = h."row" GROUP BY t.doc_id, t.sheet_idx, grp),
+regs AS (SELECT *, CASE WHEN n = 1 AND head IS NOT NULL THEN 'header' WHEN n = 1 AND sub IS NOT NULL THEN 'subtotal' WHEN n = 1 AND across AND bold > 0 THEN 'section-header' WHEN n = 1 AND bold >= 0.8 AND width <= 3 AND num = 0 THEN 'section-header'
+  WHEN n <= 2 AND bold >= 0.8 AND num = 0 THEN 'header' WHEN bold >= 0.7 AND num < 0.2 AND width <= 3 THEN 'section-header'
+  WHEN (num >= 0.25 AND width >= 3) OR (width >= 3 AND dev / width < 0.3 AND n >= 2 AND (num >= 0.1 OR bold >= 0.08 OR across OR fill IS NOT NULL)) OR (width >= 4 AND n >= 3 AND dev / width < 0.3) THEN 'table' ELSE 'free-text' END AS type FROM r0)
+"""
+
+
+@query(f"""WITH {STAR_SQL}, {ROW_PROFILE_SQL}, {TRANSITIONS_SQL}, {REGIONS_SQL} SELECT doc_id, sheet_idx, start_row, end_row, type FROM regs""")
+def region_types(spark, d):
+    return _regions(spark, d)[1].select("doc_id", "sheet_idx", "start_row", "end_row", "type")
+
+
+@query(f"""WITH {STAR_SQL}, {ROW_PROFILE_SQL}, {TRANSITIONS_SQL}, {REGIONS_SQL}
+SELECT doc_id, sheet_idx, 1 AS start_row, CAST(max(end_row) AS INTEGER) AS end_row, 0 AS block FROM regs GROUP BY doc_id, sheet_idx HAVING bool_or(type = 'table')""")
+def table_blocks(spark, d):
+    rows, found = _regions(spark, d)
+    return regions.table_blocks(regions.segments(rows), found)
+
+
+@query(f"""WITH {STAR_SQL}, {MERGES_SQL} SELECT doc_id, sheet_idx, "row", col FROM cells c WHERE EXISTS (SELECT 1 FROM merges m WHERE m.doc_id = c.doc_id AND m.sheet_idx = c.sheet_idx AND c."row" BETWEEN start_row AND end_row AND c.col BETWEEN start_col AND end_col)""")
+def merge_marking(spark, d):
+    return profile.mark_merged(views.star(spark, d), views.merges(spark, d)).where("is_merged").select("doc_id", "sheet_idx", "row", "col")
+
+
+@query(f"""WITH {STAR_SQL} SELECT doc_id, sheet_idx, 2 AS col, count(*) AS n FROM rows_ WHERE kind = 'STEP' GROUP BY doc_id, sheet_idx HAVING count(*) >= 2""")
+def merge_topology(spark, d):
+    return profile.grouping_columns(views.merges(spark, d))
+
+
+@query(f"""WITH {STAR_SQL}, {CLASSES_SQL} SELECT * FROM classified""")
+def classify_rows(spark, d):
+    return tables.classify(views.star(spark, d)).drop("filled")
+
+
+@query(f"""WITH {STAR_SQL} SELECT doc_id, sheet_idx, count(*) FILTER (kind = 'CATEGORY') AS categories, count(*) FILTER (kind = 'STEP') AS steps, count(*) FILTER (kind = 'SUBTOTAL') AS subtotals, count(*) FILTER (kind = 'TASK') AS tasks, count(*) FILTER (kind = 'HEADER') AS headers FROM rows_ GROUP BY ALL""")
+def row_type_counts(spark, d):
+    return tables.type_counts(tables.classify(views.star(spark, d)))
+
+
+@query(f"""WITH {STAR_SQL}, {MERGES_SQL}, m AS (SELECT doc_id, sheet_idx, count(*) AS merged FROM merges WHERE start_row > 2 OR end_row > 2 GROUP BY ALL),
+c AS (SELECT doc_id, sheet_idx, count(*) FILTER (kind = 'SUBTOTAL') AS subs, count(*) FILTER (kind = 'STEP') AS steps FROM rows_ GROUP BY ALL)
+SELECT doc_id, sheet_idx, false AS sql_indexable, concat('hierarchical structure: ', CASE WHEN merged > 0 THEN concat(merged, ' merged cells outside header, ') ELSE '' END, CASE WHEN subs > 0 THEN concat(subs, ' subtotal rows, ') ELSE '' END, '1 category rows', CASE WHEN steps > 0 THEN concat(', ', steps, ' step/subsection rows') ELSE '' END) AS reason
+FROM c LEFT JOIN m USING (doc_id, sheet_idx)""")
+def sql_indexable(spark, d):
+    return tables.sql_indexable(tables.classify(views.star(spark, d)), views.merges(spark, d))
+
+
+def _keyed(spark, d, *types):
+    c = views.star(spark, d)
+    rows = tables.classify(c)
+    return tables.keyed(c, rows, tables.headers(c, rows), list(types)), rows
+
+
+@query(f"""WITH {STAR_SQL} SELECT doc_id, sheet_idx, row_no AS "row", c AS task, strike AS cancelled, concat(CAST(q AS DECIMAL(18,2)), '') AS quantity, concat(CAST(p AS DECIMAL(18,2)), '') AS price, concat(CAST(d AS DECIMAL(18,2)), '') AS giam_gia FROM rows_ WHERE kind = 'TASK'""")
+def flat_records(spark, d):
+    v, rows = _keyed(spark, d, "TASK")
+    return tables.records(v, rows).select("doc_id", "sheet_idx", "row", "task", "cancelled", *[F.col("attrs")[k].alias(k) for k in ("quantity", "price", "giam_gia")])
+
+
+@query(f"""WITH {STAR_SQL}, t AS (SELECT doc_id, sheet_idx, bool_or(kind = 'TASK') AS has FROM rows_ GROUP BY ALL)
+SELECT doc_id, sheet_idx, col, label, "key", CASE WHEN has THEN CASE WHEN col < 4 THEN CASE WHEN col = 3 THEN 'string' ELSE 'string' END ELSE 'number' END ELSE 'string' END AS data_type
+FROM t, (VALUES (1, 'Customer', 'customer'), (3, 'Task name', 'task_name'), (4, 'Quantity', 'quantity'), (5, 'Price', 'price'), (6, 'Giảm giá', 'giam_gia'), (7, 'Tax', 'tax')) v(col, label, "key")""")
+def flat_types(spark, d):
+    c = views.star(spark, d)
+    rows = tables.classify(c)
+    return tables.flat_types(c, rows, tables.headers(c, rows))
+
+
+@query(f"""WITH {STAR_SQL} SELECT doc_id, sheet_idx, "key", CAST(sum(CAST(v AS DECIMAL(30,6))) AS DOUBLE) AS total FROM (SELECT doc_id, sheet_idx, 'quantity' AS "key", q AS v FROM rows_ WHERE kind = 'SUBTOTAL' UNION ALL SELECT doc_id, sheet_idx, 'price', p FROM rows_ WHERE kind = 'SUBTOTAL') GROUP BY ALL""")
+def totals(spark, d):
+    return tables.totals(_keyed(spark, d, "SUBTOTAL")[0])
+
+
+@query(f"""WITH {STAR_SQL}, {CLASSES_SQL}, {GROUPS_SQL} SELECT doc_id, sheet_idx, "row", type, CAST(group_row AS INTEGER) AS group_row, CAST(coalesce(parent_row, -1) AS INTEGER) AS parent_row,
+  count(CASE WHEN type = 'STEP' THEN 1 END) OVER (PARTITION BY doc_id, sheet_idx, s0 ORDER BY "row") AS step_no FROM grouped""")
+def group_tree(spark, d):
+    return tables.groups(tables.classify(views.star(spark, d))).select("doc_id", "sheet_idx", "row", "type", "group_row", F.coalesce("parent_row", F.lit(-1)).alias("parent_row"), "step_no")
+
+
+@query(f"""WITH {STAR_SQL}, {CLASSES_SQL}, {GROUPS_SQL}, u AS (SELECT doc_id, sheet_idx, s0 AS g, "row", type, group_row, parent_row FROM grouped UNION ALL SELECT doc_id, sheet_idx, s1, "row", type, group_row, parent_row FROM grouped WHERE s1 IS NOT NULL)
+SELECT doc_id, sheet_idx, CAST(g AS INTEGER) AS group_row, CAST(max("row") AS INTEGER) AS end_row, count(*) FILTER (type = 'TASK' AND group_row = g) AS tasks, count(*) FILTER (type = 'STEP' AND parent_row = g) AS groups FROM u GROUP BY ALL""")
+def group_ranges(spark, d):
+    return tables.group_ranges(tables.groups(tables.classify(views.star(spark, d))))
+
+
+STOP = ["the", "and", "that", "with", "for", "und", "der", "die", "que", "les", "des", "para"]
+
+
+@query("""WITH t AS (SELECT lang, doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_\\x{00C0}-\\x{024F}\\x{1E00}-\\x{1EFF}\\x{3040}-\\x{30FF}\\x{4E00}-\\x{9FFF}]+')) AS token,
+  unnest(range(0, len(regexp_extract_all(text, '[A-Za-z0-9_\\x{00C0}-\\x{024F}\\x{1E00}-\\x{1EFF}\\x{3040}-\\x{30FF}\\x{4E00}-\\x{9FFF}]+')))) AS k FROM documents),
+n AS (SELECT lang, token, count(*) AS n, min((doc_id, k)) AS first FROM t WHERE length(token) >= 3 AND lower(token) NOT IN ('the', 'and', 'that', 'with', 'for', 'und', 'der', 'die', 'que', 'les', 'des', 'para') GROUP BY ALL)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY n DESC, first) AS INTEGER) AS rank, token, n FROM n QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, first) <= 6""")
+def keywords_topk(spark, d):
+    w = table(spark, d, "documents").select("lang", F.col("doc_id").alias("pos"), F.col("text").alias("v_text"))
+    return tables.keywords(w, ["lang"], STOP)
+
+
+@query("""SELECT p_partkey, CASE WHEN k = '' THEN 'value' ELSE k END AS "key" FROM (SELECT p_partkey, substr(regexp_replace(trim(regexp_replace(lower(concat(p_name, ' - ', p_type)), '[^A-Za-z0-9_\\s]', ' ', 'g')), '\\s+', '_', 'g'), 1, 40) AS k FROM part)""")
+def normalized_keys(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.key(F.concat_ws(" - ", "p_name", "p_type")).alias("key"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(s) > 80 THEN concat(substr(s, 1, 79), '…') ELSE s END AS short, CASE WHEN length(text) > 80 THEN concat(substr(text, 1, 77), '...') ELSE text END AS dotted FROM (SELECT doc_id, text, trim(regexp_replace(text, '[\\s\\x{3000}\\x{00A0}]+', ' ', 'g'), ' ') AS s FROM documents)""")
+def truncate_labels(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.ellipsis(F.col("text"), 80).alias("short"), text.dots(F.col("text"), 80).alias("dotted"))
+
+
+@query("""SELECT doc_id, substr(regexp_replace(array_to_string(list_filter(list_transform(string_split(replace(text, chr(13), ''), chr(10)), lambda x: regexp_replace(x, '^[\\s\\x{3000}\\x{00A0}]+|[\\s\\x{3000}\\x{00A0}]+$', '', 'g')), lambda x: x <> ''), ' / '), '[\\s\\x{3000}\\x{00A0}]+', ' ', 'g'), 1, 160) AS path FROM documents""")
+def clean_path(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.path(F.col("text")).alias("path"))
+
+
+@query("""SELECT p_partkey, CAST(p_partkey % 18278 + 1 AS INTEGER) AS col, p_size AS "row" FROM part""")
+def a1_roundtrip(spark, d):
+    p = table(spark, d, "part").withColumn("ref", address.reference(F.col("p_size"), (F.col("p_partkey") % 18278 + 1).cast("int")))
+    return p.select("p_partkey", address.column(F.col("ref")).alias("col"), address.row(F.col("ref")).alias("row"))
+
+
+@query(f"""WITH {STAR_SQL}, h AS (SELECT doc_id, sheet_idx, row_no, kind, max(CASE WHEN kind = 'STEP' THEN row_no END) OVER (PARTITION BY doc_id, sheet_idx ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS heading_row FROM rows_)
+SELECT doc_id, sheet_idx, row_no AS "row", heading_row FROM h WHERE kind <> 'STEP' AND heading_row IS NOT NULL""")
+def content_asof_heading(spark, d):
+    r = views.star_rows(spark, d).withColumnRenamed("row_no", "row")
+    return regions.owner(r, r.where("kind = 'STEP'")).select("doc_id", "sheet_idx", "row", "heading_row")
+
+
+@query(f"""WITH {STAR_SQL}, b AS (SELECT doc_id, sheet_idx, row_no AS s FROM rows_ WHERE kind = 'SUBTOTAL') SELECT doc_id, sheet_idx, row_no AS "row" FROM rows_ r WHERE kind = 'STEP' AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = r.doc_id AND b.sheet_idx = r.sheet_idx AND s - row_no BETWEEN 1 AND 5)""")
+def title_band_anti(spark, d):
+    r = views.star_rows(spark, d).withColumnRenamed("row_no", "row")
+    return regions.without_table_titles(r.where("kind = 'STEP'"), r.where("kind = 'SUBTOTAL'").withColumn("start_row", F.col("row"))).select("doc_id", "sheet_idx", "row")
+
+
+def _turns(spark, d):
+    """Conversations as trees: a root for each, its turns below it."""
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", "role", "text")
+    root = c.select("doc_id").distinct().select("doc_id", F.lit("root").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("ord"), F.lit("Conversation").alias("title"))
+    return root.union(c.select("doc_id", F.concat(F.lit("t"), F.col("turn").cast("string")), F.lit("root"), F.col("turn").cast("int"), F.concat_ws(" ", "role", F.substring("text", 1, 30))))
+
+
+TURNS_SQL = """nodes AS (SELECT DISTINCT conv_id AS doc_id, 'root' AS node_id, CAST(NULL AS VARCHAR) AS parent_id, 0 AS ord, 'Conversation' AS title FROM conversations
+UNION ALL SELECT conv_id, concat('t', turn), 'root', CAST(turn AS INTEGER), concat(role, ' ', substr(text, 1, 30)) FROM conversations)"""
+
+
+@query(f"""WITH {TURNS_SQL} SELECT doc_id, node_id, CASE WHEN parent_id IS NULL THEN 0 ELSE 1 END AS depth, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY parent_id IS NOT NULL, ord) - 1 AS INTEGER) AS rank FROM nodes""")
+def chunk_tree_dfs(spark, d):
+    return tree.depth_first(_turns(spark, d)).select("doc_id", "node_id", "depth", "rank")
+
+
+@query(f"""WITH {TURNS_SQL} SELECT doc_id, node_id FROM nodes n WHERE parent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM nodes p WHERE p.doc_id = n.doc_id AND p.node_id = n.parent_id)""")
+def orphan_check(spark, d):
+    return tree.orphans(_turns(spark, d)).select("doc_id", "node_id")
+
+
+_SEGMENT = """CASE WHEN s = '' THEN 'untitled' ELSE CASE WHEN length(s) > 80 THEN regexp_replace(substr(s, 1, 80), '[.\\s]+$', '') ELSE s END END"""
+_CLEAN = """regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace({x}, '[\\s\\x{{3000}}\\x{{00A0}}]+', ' ', 'g'), ' '), '[<>:"/\\\\|?*\\x00-\\x1F]', '_', 'g'), '[.\\s]+$', ''), '^[.\\s]+', '')"""
+
+
+@query(f"SELECT doc_id, {_SEGMENT} AS name FROM (SELECT doc_id, {_CLEAN.format(x='text')} AS s FROM documents)")
+def safe_segments(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.segment(F.col("text")).alias("name"))
+
+
+@query(f"""WITH {TURNS_SQL}, s AS (SELECT *, {_CLEAN.format(x='title')} AS s, count(*) OVER (PARTITION BY doc_id, parent_id) AS n, row_number() OVER (PARTITION BY doc_id, parent_id ORDER BY ord) AS k FROM nodes)
+SELECT doc_id, node_id, concat(lpad(CAST(k AS VARCHAR), CAST(greatest(2, length(CAST(n AS VARCHAR))) AS INTEGER), '0'), '_', {_SEGMENT}) AS name FROM s""")
+def sibling_names(spark, d):
+    return tree.sibling_names(_turns(spark, d)).select("doc_id", "node_id", "name")
+
+
+@query(f"""WITH {TURNS_SQL} SELECT doc_id, string_agg(concat(CASE WHEN parent_id IS NULL THEN '' ELSE '  ' END, '- ', replace(title, '|', '\\|')), chr(10) ORDER BY parent_id IS NOT NULL, ord) AS toc FROM nodes GROUP BY doc_id""")
+def tree_toc(spark, d):
+    return tree.contents(tree.depth_first(_turns(spark, d)))
