@@ -1,0 +1,411 @@
+"""Each operator against brute force, an exact round trip or held-out labels, and on odd rows."""
+
+import hashlib
+import io
+import math
+import random
+import re
+import zipfile
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from papyrion.llm import bagminhash, covertree, entries, langid, media, mixing, packing, quality, secrets, toxicity, zipwarc
+from papyrion.llm.common import shingles, words
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, block int"
+SF = "/root/testdata/sf0.001"
+
+
+def frame(spark, texts, langs=None):
+    rows = [(i, t, (langs or {}).get(i, "en"), None, None, 1.0, 3) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+ODD = [None, "", "   ", "\n", "a", "Ünï códe — 日本語 text", "x" * 50_000, "the same text here again", "the same text here again", "word " * 5000]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    # a repeated row and a row without id
+    return frame(spark, ODD).union(frame(spark, ODD).where("doc_id = 4")).union(frame(spark, ["null id"]).withColumn("doc_id", F.lit(None).cast("long")))
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(0, 0, 0), (1, 1, None), (None, 1, 1), (5, None, 0), (5, 1, 0), (7, 1, 1)], "doc_id long, quality int, toxic int")
+
+
+def test_words_and_shingles():
+    data = np.frombuffer("One two  ThreeFOUR one".encode(), np.uint8)
+    row, h = words(data, np.array([0, 13, 22]))
+    assert row.tolist() == [0, 0, 0, 1, 1]
+    assert h[0] == h[4] and len(set(h.tolist())) == 4
+    row, s = shingles(np.frombuffer(b"a b c d e f", np.uint8), np.array([0, 11]))
+    assert len(s) == 2
+    assert len(shingles(np.frombuffer(b"a b", np.uint8), np.array([0, 3]))[1]) == 1
+
+
+def test_language_odd_rows(spark, odd, none):
+    got = langid.identify(odd).collect()
+    assert len(got) == len(ODD) + 2
+    assert all(r["lang_pred"] == "und" and r["score"] == 0 for r in got if r["doc_id"] in (0, 1, 2, 3))
+    assert all(0 <= r["score"] <= 1 for r in got)
+    assert langid.identify(none).count() == 0
+
+
+def test_language_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = entries.op1_language_mixture(spark, "/root/testdata/sf0.01").where("held_out").join(docs, "doc_id")
+    assert got.where("lang_pred = lang").count() / got.count() > 0.97
+
+
+def test_language_mixture_of_two(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    langs, table = langid.fit(docs)
+    text = {r["lang"]: r["text"] for r in docs.where("length(text) > 1500").collect()}
+    both = frame(spark, [text["de"][:1500] + " " + text["en"][:1500]])
+    mixture = {x["lang"]: x["share"] for x in langid.predict(both, langs, table).first()["mixture"]}
+    assert 0.3 < mixture["de"] < 0.7 and 0.3 < mixture["en"] < 0.7
+
+
+def test_ordinal_fit_orders_thresholds():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 8)).astype(np.float32)
+    s = x @ np.arange(8) / 4 + rng.logistic(size=600) * 0.2
+    grade = np.digitize(s, [-1, 1.5])
+    w, t = quality.fit_ordinal(x, grade, 3)
+    assert t[0] < t[1]
+    assert (np.digitize(x @ w, t) == grade).mean() > 0.85
+
+
+def test_quality_held_out_and_odd_rows(spark, odd, none, labels):
+    sf = "/root/testdata/sf0.1"
+    graded = quality.ratings(spark.read.parquet(f"{sf}/labels.parquet"))
+    got = entries.op2_ordinal_quality(spark, sf).where("held_out").join(graded, "doc_id").toPandas()
+    good = got[got["grade"] > 0]
+    assert good["keep"].mean() > 0.97 and (~got[got["grade"] == 0]["keep"]).mean() > 0.6
+    got = quality.classify(odd, quality.ratings(labels))
+    assert got.count() == len(ODD) + 2 and got.where("doc_id < 2 and keep").count() == 0
+    assert quality.classify(none, quality.ratings(labels)).count() == 0
+    assert quality.classify(odd, quality.ratings(labels).limit(0)).where("doc_id = 4 and keep").count() == 2
+    assert quality.select(odd, quality.ratings(labels)).columns == odd.columns
+
+
+def test_toxicity_grammar():
+    m = toxicity.grammar()
+    i, t, you, no, said, o, end = range(7)
+    assert m([o, i, o, end]) == [("insult", False, "plain")]
+    assert m([you, o, i, end]) == [("insult", True, "plain")]
+    assert m([i, o, you, end]) == [("insult", True, "plain")]
+    assert m([you, no, i, end]) == [("insult", True, "negated")]
+    assert m([no, o, o, o, o, i, end]) == [("insult", False, "plain")]
+    assert m([said, you, i, end]) == [("insult", True, "reported")]
+    assert m([t, you, end, i, end]) == [("threat", True, "plain"), ("insult", False, "plain")]
+    assert m([i, i, end]) == [("insult", False, "plain")] * 2
+
+
+def test_toxicity_clauses():
+    m = toxicity.Matcher([["idiot"], ["rée"]])
+    hits, n, found = m.matches("All is well. You idiot, go! Nobody said réeux things")
+    assert n == 10 and hits[0] == 1.25 and set(hits) == {0, 1}
+    text = "All is well. You idiot, go!"
+    assert [text[s:e].strip() for s, e, _ in m.matches(text)[2]] == ["You idiot"]
+
+
+def test_toxicity_held_out_and_odd_rows(spark, odd, none, labels):
+    sf = "/root/testdata/sf0.1"
+    got = entries.op3_toxicity_grammar(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
+    toxic = got[got["toxic"] == 1]
+    assert toxic["predicted"].mean() > 0.85 and got[got["toxic"] == 0]["predicted"].mean() < 0.03
+    got = toxicity.classify(odd, labels).collect()
+    assert len(got) == len(ODD) + 2 and all(0 <= r["score"] <= 1 for r in got)
+    assert toxicity.classify(none, labels).count() == 0
+
+
+def base_spans(text):
+    out = []
+    for rank, (kind, pattern, group, least) in enumerate((
+        ("assign", r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd])|(?:[Pp][Aa][Ss][Ss][Ww][Dd])|(?:[Ss][Ee][Cc][Rr][Ee][Tt])|(?:[Tt][Oo][Kk][Ee][Nn])|(?:[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+        ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24),
+    )):
+        out += [(m.start(), rank, kind, m.end()) for m in re.finditer(pattern, text) if len(m.group(group)) >= least]
+    return sorted(out)
+
+
+def entropy_hits(text):
+    out = []
+    for kind, pattern, _, window, bits in secrets.CLASSES:
+        for m in re.finditer(pattern, text):
+            s = m.group()
+            if any(re.search(a, s) for a in secrets.ALLOW):
+                continue
+            best = max((-sum(c / window * math.log2(c / window) for c in Counter(s[i : i + window]).values()) for i in range(len(s) - window + 1)), default=0)
+            if best >= bits - 1e-9:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+SECRETS = [
+    'secret=token:abcdefg', 'password = "hunter2x" tok', "API_KEY:'abc' and apikey=abcdef", "AKIA" + "A1" * 9, "AKIAAKIA12", "AKIA" + "Z" * 16, "0123456789abcdef01234567 é 0123456789abcdef0123456",
+    "日本 token = Zm9vYmFyMTIzNDU2Nzg5MDEyMzQ1Njc4OTA= end", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "550e8400-e29b-41d4-a716-446655440000", "q8Jx2LmZ0vRt5KpW9sYb3NcH7dGf1AeU", "ſecret=abcdefgh toKen=abcdefgh", "token=\nabcdef", "12345678901234567890123456789", "token==abcdef-token=xyzxyz",
+]
+
+
+def test_secrets_against_brute_force(spark, odd):
+    rng = random.Random(3)
+    texts = SECRETS + ["".join(rng.choice(SECRETS + ["AKIA", "token", "=", '"', "abc9", "f0" * 7, " ", "é"]) for _ in range(6)) for _ in range(40)]
+    got = {r["doc_id"]: r for r in secrets.digest(secrets.scan(frame(spark, texts))).collect()}
+    for k, text in enumerate(texts):
+        base = base_spans(text)
+        want = hashlib.sha256(",".join(f"{kind}:{s}:{e}" for s, _, kind, e in base).encode()).hexdigest()
+        assert got[k]["base_sha256"] == want, text
+        assert [got[k][f"n_{n}"] for n in ("assign", "access", "hex")] == [sum(b[2] == n for b in base) for n in ("assign", "access", "hex")]
+        spans = [tuple(x.split(":")) for x in got[k]["spans"].split(",") if x]
+        assert sorted((k_, int(s), int(e)) for k_, s, e in spans) == sorted([(kind, s, e) for s, _, kind, e in base] + entropy_hits(text)), text
+    odd_rows = secrets.digest(secrets.scan(odd)).collect()
+    assert len(odd_rows) == len(ODD) + 2 and all(r["spans"] == "" for r in odd_rows if r["doc_id"] in (0, 1))
+
+
+def test_redact_masks_all_spans(spark, odd, none):
+    got = [r["text"] for r in secrets.redact(frame(spark, ["a token = abcdefgh b", None, "clean", "x " + "0a" * 20])).orderBy("doc_id").collect()]
+    assert got == ["a [secret] b", None, "clean", "x [secret]"]
+    assert secrets.redact(odd).count() == len(ODD) + 2 and secrets.redact(none).columns == none.columns
+
+
+def test_cover_tree_against_brute_force():
+    rng = np.random.default_rng(5)
+    x = np.floor(64 * rng.normal(size=(700, 12)))
+    x[100:260] = x[100]  # copies
+    ids = rng.permutation(700)
+    q = np.concatenate((x[:40], x[100:101]))
+    qid = np.concatenate((ids[:40], ids[100:101]))
+    got = covertree.Search(ids, x, qid, q, 9)
+    for i in range(len(q)):
+        s = x @ q[i]
+        want = sorted(((-s[j], ids[j]) for j in range(700) if ids[j] != qid[i]))[:9]
+        assert [(-a, b) for a, b in zip(got.score[i], got.found[i])] == want
+
+
+def test_cover_tree_prunes_clusters():
+    rng = np.random.default_rng(6)
+    x = np.concatenate([c + rng.normal(size=(1500, 8)) for c in rng.normal(size=(8, 8)) * 400])
+    got = covertree.Search(np.arange(len(x)), x, np.arange(len(x))[::20], x[::20], 5)
+    assert got.compared < 0.5 * len(x) * len(x[::20])
+
+
+def test_cover_tree_odd_rows(spark):
+    rows = [(0, [1.0, 2.0]), (20, None), (40, [float("nan"), 1.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, [None, 1.0]), (60, [1.0]), (None, [1.0, 1.0]), (1, [0.5, 0.5])]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit(9)).withColumn("score", F.lit(9))
+    got = covertree.search(t, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got if r["query_id"] == 0] == [(1, 6144), (1, 6144), (2, 6144), (60, 4096)]
+    assert covertree.search(t.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_media_formats():
+    rng = np.random.default_rng(2)
+    image = rng.integers(0, 256, (21, 30), np.uint8)
+    assert (media.decode(media.encode_bmp(image)) == image).all()
+    assert (media.decode(media.encode_pgm(image.tobytes(), 30)) == image).all()
+    assert (media.decode(b"P2 # note\n30 21 255\n" + " ".join(map(str, image.ravel())).encode()) == image).all()
+    colour = rng.integers(0, 256, (4, 5, 3), np.uint8)
+    assert (media.decode(b"P6\n5 4\n255\n" + colour.tobytes()) == colour).all()
+    bits = rng.integers(0, 2, (3, 10)).astype(np.uint8)
+    assert (media.decode(b"P4\n10 3\n" + np.packbits(bits, axis=1).tobytes()) == (1 - bits) * 255).all()
+    assert (media.decode(b"P1\n10 3\n" + " ".join(map(str, bits.ravel())).encode()) == (1 - bits) * 255).all()
+    with pytest.raises(ValueError):
+        media.decode(b"GIF89a")
+
+
+def test_area_resize_is_exact():
+    image = np.random.default_rng(4).integers(0, 256, (24, 36)).astype(float)
+    assert np.allclose(media.area_resize(image, 8, 9), image.reshape(8, 3, 9, 4).mean((1, 3)))
+    assert np.isclose(media.area_resize(image, 7, 5).mean(), image.mean())
+    loaded = np.load(io.BytesIO(media.tile(image)))
+    assert loaded.shape == (32, 32) and loaded.dtype == np.uint8
+
+
+def test_media_round_trip(spark, odd, none):
+    got = media.documents_as_media(odd).collect()
+    assert len(got) == len(ODD) + 2
+    text = dict(enumerate(ODD))
+    for r in got:
+        if r["doc_id"] is None:
+            continue
+        raw = (text[r["doc_id"]] or "").encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len(raw), len(payload), zlib.crc32(payload[-64:]))
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["media_sha256"] == hashlib.sha256(r["media"]).hexdigest()
+        assert media.decode(bytes(r["media"])).tobytes() == payload
+    assert media.documents_as_media(none).count() == 0
+
+
+def bag(text):
+    w = [x.lower() if x.isascii() else "".join(c.lower() if c.isascii() else c for c in x) for x in re.split(r"[\x00-\x20]+", text) if x]
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+
+
+def test_bagminhash_estimates_weighted_jaccard():
+    rng = np.random.default_rng(8)
+    pool = rng.integers(1, 2**62, 400).astype(np.uint64)
+    a, b = rng.integers(1, 9, 400), rng.integers(1, 9, 400)
+    a[:60], b[40:120] = 0, 0
+    pick = lambda k, w: (np.full((w > 0).sum(), k), pool[w > 0], w[w > 0])
+    row, e, w = (np.concatenate(x) for x in zip(pick(0, a), pick(1, b)))
+    sig = bagminhash.signatures(row, e, w, 2, 4096)
+    want = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+    assert abs((sig[0] == sig[1]).mean() - want) < 4 * math.sqrt(want * (1 - want) / 4096)
+
+
+def test_near_duplicates_against_brute_force(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    shared = [rng.choice(vocabulary) for _ in range(60)]
+    texts = []
+    for _ in range(25):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(6, 200))]
+        if rng.random() < 0.5:
+            base += shared
+        for _ in range(rng.randint(1, 6)):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 40))):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            texts.append(" ".join(copy))
+    texts += ["one two", "one two", "", " ", "Same Words here now ok yes", "same words HERE now ok yes", None, None]
+    bags = {k: bag(t) for k, t in enumerate(texts) if t is not None}
+    root = {k: k for k in range(len(texts))}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i in bags:
+        for j in bags:
+            if i < j and sum((bags[i] & bags[j]).values()) >= 0.8 * sum((bags[i] | bags[j]).values()):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    docs = frame(spark, texts)
+    got = {r["doc_id"]: r["class_id"] for r in bagminhash.classes(docs).collect()}
+    assert got == {k: find(k) for k in range(len(texts))}
+    assert bagminhash.deduplicate(docs).count() == len({*got.values()})
+
+
+def test_near_duplicates_odd_rows(spark, odd, none):
+    got = bagminhash.classes(odd).collect()
+    assert len(got) == len(ODD) + 2
+    classes = {r["doc_id"]: r["class_id"] for r in got}
+    assert classes[0] == 0 and classes[8] == 7 and classes[1] == classes[2] == classes[3] == 1
+    assert bagminhash.classes(none).count() == 0
+
+
+@pytest.mark.parametrize("zip64", [False, True])
+def test_zip_reader_ranges(zip64, tmp_path):
+    rows = [(1, zipwarc.record(1, "http://a/\nb", b"<p>x</p>", "D", None)), (2, zipwarc.record(2, None, b"<p>x</p>", "D", 1))]
+    data = zipwarc.package(rows, zip64)
+    got = list(zipwarc.records(zipwarc.Range(data)))
+    assert [h["warc-type"] for h, _ in got] == ["response", "revisit"] and got[0][1] == b"<p>x</p>" and got[1][1] == b""
+    (tmp_path / "x.zip").write_bytes(data)
+    with open(tmp_path / "x.zip", "rb") as f:
+        assert [b for _, b in zipwarc.records(zipwarc.FileRange(f))] == [b for _, b in got]
+    assert zipfile.ZipFile(io.BytesIO(data)).testzip() is None
+
+
+def test_zip64_end_record():
+    plain = zipwarc.package([(1, zipwarc.record(1, "u", b"abc", "D", None))])
+    end = plain.rindex(b"PK\x05\x06")
+    n, size, start = (int.from_bytes(plain[end + a : end + b], "little") for a, b in ((10, 12), (12, 16), (16, 20)))
+    wide = b"PK\x06\x06" + (44).to_bytes(8, "little") + bytes(12) + b"".join(v.to_bytes(8, "little") for v in (n, n, size, start))
+    locator = b"PK\x06\x07" + bytes(4) + end.to_bytes(8, "little") + (1).to_bytes(4, "little")
+    tail = plain[end : end + 8] + b"\xff" * 12 + bytes(2)
+    assert [b for _, b in zipwarc.records(zipwarc.Range(plain[:end] + wide + locator + tail))] == [b"abc"]
+    with pytest.raises(ValueError):
+        zipwarc.directory(zipwarc.Range(b"nothing"))
+
+
+def test_warc_round_trip(spark):
+    rows = [(3, "u", "same"), (1, None, "same"), (2, "v\r\nX: y", None), (9, "u", ""), (None, "u", "same"), (5, "u", "é" * 30_000), (5, "u", "é" * 30_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("x")).withColumn("payload", F.lit(1))
+    got = zipwarc.round_trip(pages).collect()
+    by = {r["page_id"]: r for r in got}
+    assert len(got) == len(rows)
+    assert by[3]["refers_to"] == 1 and by[1]["record_type"] == "response" and by[9]["refers_to"] == 2 and by[5]["record_type"] == "response"
+    assert by[5]["payload_bytes"] == 60_000 and by[3]["payload_bytes"] == 4 and by[3]["payload_digest"] == by[1]["payload_digest"]
+    assert zipwarc.round_trip(pages.limit(0)).count() == 0
+
+
+def test_mixing_meets_targets(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labelled = entries.domains(spark, docs, SF)
+    targets = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
+    domains, priors, rows = mixing.classifier(docs, labelled)
+    own = mixing.membership(F.col("text"), priors, rows)
+    members = docs.select(own.alias("m")).select("m.n", "m.p").cache()
+    gradients, got = mixing.solve(members, domains, targets)
+    assert all(abs(a - b) / b < 0.01 for a, b in zip(got["reached"], got["target"]))
+    total = sum(got["target"])
+    assert all(abs(t / total - targets[d]) < 1e-9 for t, d in zip(got["target"], domains))
+    # the posteriors against plain Python
+    for r in docs.select("doc_id", "text", own.alias("m")).limit(20).collect():
+        assert abs(sum(r["m"]["p"]) - 1) < 1e-9 and r["m"]["n"] == len(r["text"].split())
+
+
+def test_mixing_odd_rows(spark, odd, none, labels):
+    labelled = odd.where("text is not null").select("doc_id", F.col("lang").alias("domain")).union(spark.createDataFrame([(99, "x"), (None, "y"), (4, None)], "doc_id long, domain string"))
+    got = mixing.rates(odd, labelled).collect()
+    assert len(got) == len(ODD) + 2 and all(r["rate"] >= 0 for r in got)
+    kept = mixing.resample(odd, labelled, least=1.0)
+    assert kept.columns == odd.columns and kept.count() >= len(ODD) + 2
+    assert mixing.rates(none, labelled).count() == 0 and mixing.rates(odd, labelled.limit(0)).count() == len(ODD) + 2
+
+
+def test_tokens_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    t, c = Tokenizer.from_file(packing.vocabulary_path()), packing.WordCache(packing.vocabulary_path())
+    texts = [x or "" for x in ODD[:8]] + ["İstanbul ΣΑΣ áb", "it's don't. 'S A.B, c.,d", "<|endoftext|> x.<|startoftext|>", "a\tb\r\nc d　e \x1c f", "é.", " ., ,. .", "日本語。テスト, １２３"]
+    texts += [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    for x in texts * 2:
+        assert np.frombuffer(c.encode(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+
+
+def test_best_fit():
+    rng = random.Random(7)
+    sizes = [rng.randint(1, 50) for _ in range(400)]
+    bins = packing.best_fit(sizes, 50)
+    assert sorted(i for b in bins for i in b) == list(range(400)) and all(sum(sizes[i] for i in b) <= 50 for b in bins)
+    assert len(bins) <= math.ceil(sum(sizes) / 50) * 1.05
+
+
+def test_packing_is_gapless(spark, odd, none):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(odd.select("doc_id", "text"))
+    got = packing.pack_documents(docs, capacity=256).toPandas()
+    for _, own in got.groupby("sequence_id"):
+        own = own.sort_values("offset")
+        assert own["offset"].tolist() == [0, *own["length"].cumsum().tolist()[:-1]] and own["length"].sum() <= 256
+    want = packing.pieces(docs, capacity=256).toPandas()
+    assert sorted(want["ids_crc32"]) == sorted(got["ids_crc32"]) and (want[want["piece"] > 0]["start"] % 256 == 0).all()
+    assert got["sequence_id"].nunique() <= math.ceil(got["length"].sum() / 256) * 1.02
+    assert packing.pack_documents(none).count() == 0
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    n = docs.count()
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, SF)
+        assert after.columns == docs.columns
+    kept = corpus_pipeline.keep_quality(spark, docs, SF)
+    assert 0.7 * n < kept.count() < n
+    out = corpus_pipeline.run(spark, SF)
+    assert out.where("offset + length > 2048").count() == 0 and out.select("doc_id").distinct().count() <= n
