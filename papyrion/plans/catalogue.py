@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import address, text
-from ..operators import profile, regions, table as tables, tree
+from ..operators import chunks, headings, profile, regions, table as tables, tree
 from . import views
 from .views import LINES_SQL, MERGES_SQL, STAR_SQL, table
 
@@ -345,3 +345,88 @@ def sibling_names(spark, d):
 @query(f"""WITH {TURNS_SQL} SELECT doc_id, string_agg(concat(CASE WHEN parent_id IS NULL THEN '' ELSE '  ' END, '- ', replace(title, '|', '\\|')), chr(10) ORDER BY parent_id IS NOT NULL, ord) AS toc FROM nodes GROUP BY doc_id""")
 def tree_toc(spark, d):
     return tree.contents(tree.depth_first(_turns(spark, d)))
+
+
+def _items(spark, d):
+    """Positioned items: a line of a document is a line of its page, a word is an item."""
+    t = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("r", "line"))
+    t = t.select("doc_id", "r", F.posexplode(F.split("line", " ")).alias("c", "str"))
+    return t.select(
+        "doc_id", F.lit(1).alias("page"), (F.col("r").cast("long") * 1_000_000 + F.col("c")).alias("pos"), "str", (F.col("c") * 100.0).alias("x"), (F.col("r") * -12.0).alias("y"),
+        F.lit(50.0).alias("width"), F.lit(10.0).alias("height"),
+    )
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS r FROM documents),
+c AS (SELECT doc_id, r, trim(regexp_replace(line, '[\\s\\x{3000}\\x{00A0}]+', ' ', 'g'), ' ') AS line FROM l)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, 1 AS page, string_agg(line, chr(10) ORDER BY r) AS content FROM c WHERE line <> '' GROUP BY doc_id""")
+def pdf_lines(spark, d):
+    return chunks.page_lines(_items(spark, d))
+
+
+@query(f"""WITH {STAR_SQL} SELECT doc_id, sheet_idx, row_no AS "row", CAST(2 + 2 + (q IS NOT NULL)::INT + (p IS NOT NULL)::INT + (d IS NOT NULL)::INT + (t IS NOT NULL)::INT AS INTEGER) AS n_lines FROM rows_ WHERE kind = 'TASK'""")
+def json_line_count(spark, d):
+    v, rows = _keyed(spark, d, "TASK")
+    r = tables.records(v, rows)
+    return r.select("doc_id", "sheet_idx", "row", chunks.record_lines(F.lit(2) + F.coalesce(F.size("attrs"), F.lit(0))).cast("int").alias("n_lines"))
+
+
+@query("""WITH g AS (SELECT c_custkey, count(l_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY c_custkey),
+s AS (SELECT c_custkey, n, unnest(range(0, 31)) AS k FROM g WHERE n > 0), f AS (SELECT c_custkey, n, max(greatest(1, n // (2 ** k)::BIGINT)) AS size FROM s WHERE greatest(1, n // (2 ** k)::BIGINT) = 1 OR 7 + 8 * greatest(1, n // (2 ** k)::BIGINT) <= 120 GROUP BY ALL)
+SELECT c_custkey, CAST(size AS INTEGER) AS size, CAST(unnest(range(1, CAST(ceil(n / size) AS BIGINT) + 1)) AS INTEGER) AS part FROM f""")
+def auto_split(spark, d):
+    o, l = table(spark, d, "orders"), table(spark, d, "lineitem")
+    n = l.groupBy("l_orderkey").count().join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("count").cast("int").alias("n"))
+    n = n.join(table(spark, d, "customer").select("c_custkey"), "c_custkey")
+    return chunks.auto_split(n.select("c_custkey", F.lit(5).alias("head_lines"), F.array_repeat(F.lit(8), F.col("n")).alias("task_lines")), 120).select("c_custkey", "size", "part")
+
+
+@query("""WITH RECURSIVE e AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS ord, CAST(3 + length(text) % 40 AS INTEGER) AS lines FROM conversations),
+f AS (SELECT conv_id, ord, 1 AS page, 4 + lines AS used FROM e WHERE ord = 1 UNION ALL
+SELECT e.conv_id, e.ord, CASE WHEN f.used + e.lines > 60 THEN f.page + 1 ELSE f.page END, CASE WHEN f.used + e.lines > 60 THEN 4 + e.lines ELSE f.used + e.lines END FROM f JOIN e ON e.conv_id = f.conv_id AND e.ord = f.ord + 1)
+SELECT conv_id, CAST(ord AS INTEGER) AS ord, CAST(page AS INTEGER) AS page FROM f""")
+def summary_pages(spark, d):
+    from pyspark.sql import Window as W
+
+    c = table(spark, d, "conversations").select("conv_id", F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")).alias("ord"), (3 + F.length("text") % 40).alias("lines"))
+    return chunks.summary_pages(c, ["conv_id"], 60)
+
+
+@query()
+def heading_nesting(spark, d):
+    c = views.star(spark, d)
+    rows = profile.rows(c)
+    found = headings.detect(c, rows, regions.expanded_table_rows(rows))
+    return headings.nest(found)
+
+
+@query("""SELECT user_id AS doc_id, count(*) FILTER (k = 'chunk') AS chunks, count(*) FILTER (k = 'asset') AS assets, coalesce(max_by(props, event_id) FILTER (k = 'tree'), '') AS tree, bool_or(k = 'done') AS done
+FROM (SELECT *, CASE event_id % 7 WHEN 0 THEN 'tree' WHEN 1 THEN 'asset' WHEN 2 THEN 'done' ELSE 'chunk' END AS k FROM events) GROUP BY user_id""")
+def event_fold(spark, d):
+    k = F.col("event_id") % 7
+    e = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.when(k == 0, "tree").when(k == 1, "asset").when(k == 2, "done").otherwise("chunk").alias("kind"), F.col("props").alias("payload"), F.col("event_id").alias("seq"))
+    return chunks.fold_events(e).withColumn("tree", F.coalesce("tree", F.lit("")))
+
+
+@query("""WITH p AS (SELECT doc_id, text AS f, substr(text, 1, 6000) AS t, substr(text, 1, 3000) AS s FROM documents)
+SELECT doc_id, CASE WHEN ceil(length(f) / 3.5) <= 1500 THEN 'full' WHEN ceil(length(t) / 3.5) <= 1500 THEN 'top' ELSE 'skeleton' END AS tier,
+  length(CASE WHEN ceil(length(f) / 3.5) <= 1500 THEN f WHEN ceil(length(t) / 3.5) <= 1500 THEN t ELSE s END) AS n FROM p""")
+def prompt_tiers(spark, d):
+    p = table(spark, d, "documents").select("doc_id", F.col("text").alias("full"), F.substring("text", 1, 6000).alias("top"), F.substring("text", 1, 3000).alias("skeleton"))
+    return chunks.pick_tier(p).select("doc_id", "tier", F.length("prompt").cast("long").alias("n"))
+
+
+@query()
+def llm_sample(spark, d):
+    rows = tables.classify(views.star(spark, d)).select("doc_id", "sheet_idx", "row", (F.col("type") == "HEADER").alias("is_header"), (F.col("type") == "SUBTOTAL").alias("is_subtotal"))
+    return chunks.sample_rows(profile.rows(views.star(spark, d)).join(rows, ["doc_id", "sheet_idx", "row"]))
+
+
+@query("""WITH h AS (SELECT o_custkey AS doc_id, concat(o_orderkey % 9 + 1, CASE WHEN o_orderkey % 3 > 0 THEN concat('.', o_orderkey % 5 + 1) ELSE '' END, CASE WHEN o_orderkey % 3 = 2 THEN concat('.', o_orderkey % 4 + 1) ELSE '' END) AS number, o_orderkey AS node_id FROM orders),
+p AS (SELECT h.doc_id, h.node_id, max(u.node_id) AS parent_id, length(u.number) AS k FROM h JOIN h u ON h.doc_id = u.doc_id AND starts_with(h.number, concat(u.number, '.')) GROUP BY h.doc_id, h.node_id, u.number)
+SELECT h.doc_id, h.node_id, coalesce((SELECT max_by(p.parent_id, p.k) FROM p WHERE p.doc_id = h.doc_id AND p.node_id = h.node_id), -1) AS parent_id FROM h""")
+def prefix_parent(spark, d):
+    k = F.col("o_orderkey")
+    part = lambda n, cond: F.when(cond, F.concat(F.lit("."), (k % n + 1).cast("string"))).otherwise("")
+    h = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.concat((k % 9 + 1).cast("string"), part(5, k % 3 > 0), part(4, k % 3 == 2)).alias("number"), k.alias("node_id"))
+    return tree.numbered_parent(h).select("doc_id", "node_id", F.coalesce("parent_id", F.lit(-1)).alias("parent_id"))
