@@ -14,6 +14,9 @@ ignored; texts of any length are cut into pieces of at most ``capacity`` tokens.
 from __future__ import annotations
 
 import math
+import sys
+import types
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -27,10 +30,12 @@ from .common import materialise, release
 CAPACITY = 2048
 SEPARATOR = 0
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a worker remembers; the cache is emptied when it is full.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker process remembers; when there are more, the longer ones are forgotten.
+CACHE_WORDS, SHORT = 450_000, 8
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Marks that often follow a word.
+CLOSING = (".", ",")
 MEMBER = f"struct<{PIECE.replace(' ', ':').replace(',:', ',')}>"
 BIN = f"bin_id string, fill int, members array<{MEMBER}>"
 
@@ -46,7 +51,9 @@ class WordCache:
     """Token ids of texts as little-endian 32-bit bytes.
 
     The vocabulary's rules drop white space and never merge across it, so the ids of a text
-    are those of its space-separated words in order; each distinct word is encoded once.
+    are those of its space-separated words in order. Letters and punctuation are separate
+    units too, and case is dropped; so each distinct run of lower-case letters is encoded once,
+    all new ones of a text in one call, told apart by the word-end mark of their last id.
     """
 
     def __init__(self, path: str):
@@ -54,20 +61,74 @@ class WordCache:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+
+    def words(self, text: str) -> list[str]:
+        """Space-separated words, lower-cased where that is what the vocabulary's rules do."""
+        if text.isascii() or unicodedata.is_normalized("NFC", text) and "\u03a3" not in text and "\u0130" not in text:
+            text = text.lower()
+        return text.replace("\n", " ").split(" ")
+
+    def learn(self, new: set[str]) -> None:
+        known = self.known
+        letters, other = set(), []
+        for w in new:
+            if w.isalpha():
+                letters.add(w)
+            else:
+                other.append(w)
+                if w[-1:] in CLOSING and (x := w[:-1]).isalpha() and x not in known:
+                    letters.add(x)
+        order = list(letters)
+        if order:
+            # in short groups: long strings cost more than their length
+            groups = [" ".join(order[i : i + 64]) for i in range(0, len(order), 64)]
+            ids = np.asarray([i for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False) for i in e.ids], "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(order):
+                raw, at = ids.tobytes(), 0
+                for w, stop in zip(order, (stops * 4).tolist()):
+                    known[w], at = raw[at:stop], stop
+            else:
+                for w, e in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False)):
+                    known[w] = np.asarray(e.ids, "<u4").tobytes()
+        rest = []
+        for w in other:
+            if w[-1:] in CLOSING and w[:-1].isalpha() and w[-1] in known:
+                known[w] = known[w[:-1]] + known[w[-1]]
+            else:
+                rest.append(w)
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            known[w] = np.asarray(e.ids, "<u4").tobytes()
+
+    def forget(self) -> None:
+        """Keep short words, which are the frequent ones; if they fill over half of the cache, none."""
+        short = {w: ids for w, ids in self.known.items() if len(w) <= SHORT}
+        self.known = short if len(short) < CACHE_WORDS // 2 else {}
+
+    @classmethod
+    def of_process(cls, path: str) -> WordCache:
+        """The cache of this worker process, which later tasks find filled."""
+        state = sys.modules.setdefault("papyrion_worker_state", types.ModuleType("papyrion_worker_state"))
+        held = state.__dict__.setdefault("words", {})
+        if path not in held:
+            held[path] = cls(path)
+        return held[path]
 
     def encode(self, text: str) -> bytes:
-        known, words = self.known, text.replace("\n", " ").split(" ")
+        known, words = self.known, self.words(text)
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
-            pass
-        new = list({w for w in words if w not in known})
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list(set(words))
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            known[w] = np.asarray(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+            new = {w for w in words if w not in known}
+            if len(known) + len(new) > CACHE_WORDS:
+                self.forget()
+                known = self.known
+                new = {w for w in words if w not in known}
+            self.learn(new | {w for w in CLOSING if w and w not in known})
+            return b"".join([known[w] for w in words])
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -77,7 +138,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, end, step = WordCache(path or vocabulary_path()), np.asarray([SEPARATOR], "<u4").tobytes(), 4 * capacity
+        cache, end, step = WordCache.of_process(path or vocabulary_path()), np.asarray([SEPARATOR], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -120,9 +181,10 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 def _packer(capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)).combine_chunks() if batches else None
-        if table is None or not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held).combine_chunks()
         order = pa.compute.sort_indices(table, [("fill", "descending"), ("bin_id", "ascending")])
         table = table.take(order)
         ids, fills = table.column("bin_id").to_pylist(), table.column("fill").to_pylist()
