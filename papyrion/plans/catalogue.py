@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import address, text
-from ..operators import chunks, headings, profile, regions, table as tables, tree
+from ..operators import chunks, headings, outline, profile, regions, table as tables, tree
 from . import views
 from .views import LINES_SQL, MERGES_SQL, STAR_SQL, table
 
@@ -430,3 +430,26 @@ def prefix_parent(spark, d):
     part = lambda n, cond: F.when(cond, F.concat(F.lit("."), (k % n + 1).cast("string"))).otherwise("")
     h = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.concat((k % 9 + 1).cast("string"), part(5, k % 3 > 0), part(4, k % 3 == 2)).alias("number"), k.alias("node_id"))
     return tree.numbered_parent(h).select("doc_id", "node_id", F.coalesce("parent_id", F.lit(-1)).alias("parent_id"))
+
+
+@query("""SELECT doc_id, lower(regexp_replace(regexp_replace(substr(text, 1, 200), '^[\\s\\x{3000}]*[０-９0-9]+(?:[.．][０-９0-9]+)*[.．]?[\\s\\x{3000}]*', ''), '[\\s\\x{3000}.．、,，:：]+', '', 'g')) AS bare FROM documents""")
+def bare_titles(spark, d):
+    return table(spark, d, "documents").select("doc_id", outline.bare_title(F.substring("text", 1, 200)).alias("bare"))
+
+
+@query(f"""WITH {STAR_SQL}, {CLASSES_SQL}, {GROUPS_SQL} SELECT doc_id, sheet_idx, "row", CAST(coalesce(parent_row, 0) AS INTEGER) AS parent_row, CASE type WHEN 'CATEGORY' THEN 1 WHEN 'STEP' THEN 2 ELSE CASE WHEN s1 IS NULL THEN 2 ELSE 3 END END AS depth,
+  CASE WHEN type = 'SUBTOTAL' THEN concat('📊 ', label) WHEN is_cancelled THEN concat('~~', label, '~~ *(cancelled)*') ELSE label END AS title FROM grouped""")
+def table_tree(spark, d):
+    return outline.table_rows(tables.classify(views.star(spark, d)))
+
+
+@query(f"""WITH {TURNS_SQL} SELECT doc_id, string_agg(concat(CASE WHEN parent_id IS NULL THEN '# ' ELSE '## ' END, title), chr(10) ORDER BY parent_id IS NOT NULL, ord) AS text FROM nodes GROUP BY doc_id""")
+def tree_markdown(spark, d):
+    return outline.markdown(tree.depth_first(_turns(spark, d)).withColumn("summary", F.lit(None).cast("string")))
+
+
+@query(f"""WITH {STAR_SQL} SELECT doc_id, sheet_idx, row_no AS "row", concat('R', row_no, '|C:', c, CASE WHEN strike THEN ':S' ELSE '' END, '|D:', CAST(q AS DECIMAL(18,2)), CASE WHEN strike THEN ':S' ELSE '' END) AS line FROM rows_ WHERE kind = 'TASK'""")
+def compressed_rows(spark, d):
+    c = views.star(spark, d)
+    tasks = views.star_rows(spark, d).where("kind = 'TASK'").select("doc_id", "sheet_idx", F.col("row_no").alias("row"))
+    return outline.compressed(c.where("col <= 4")).join(tasks, ["doc_id", "sheet_idx", "row"], "left_semi")

@@ -6,8 +6,11 @@ META = [("d", 0, "Sheet1", 9, 5, True, "flat", "")]
 KEY = "doc_id string, sheet_idx int"
 
 
-def answer(prompts):
-    return ['Sure: {"name": " Orders ", "description": "All orders", "sql_indexable_override": false, "sql_indexable_reason": "nested"} done' for _ in prompts]
+def provider():
+    def answer(prompts):
+        return ['Sure: {"name": " Orders ", "description": "All orders", "sql_indexable_override": false, "sql_indexable_reason": "nested"} done' for _ in prompts]
+
+    return answer
 
 
 def frames(spark, n):
@@ -27,7 +30,7 @@ def test_prompt_tiers(spark):
 def test_answers_are_applied(spark):
     meta, groups, samples = frames(spark, 3)
     asked = enrich.prompts(meta, groups, samples)
-    got = enrich.apply(meta, enrich.parse(enrich.ask(asked, answer))).first()
+    got = enrich.apply(meta, enrich.parse(enrich.ask(asked, provider()))).first()
     assert (got["name"], got["description"], got["sql_indexable"], got["reason"]) == ("Orders", "All orders", False, "LLM override: nested")
     same = enrich.apply(meta, enrich.parse(enrich.ask(asked))).first()
     assert tuple(same) == tuple(meta.first())
@@ -35,5 +38,5 @@ def test_answers_are_applied(spark):
 
 def test_map_reduce(spark):
     _, groups, _ = frames(spark, 61)
-    assert enrich.map_reduce(groups, answer).count() == 1
-    assert enrich.map_reduce(groups.limit(60), answer).count() == 0
+    assert enrich.map_reduce(groups, provider()).count() == 1
+    assert enrich.map_reduce(groups.limit(60), provider()).count() == 0
