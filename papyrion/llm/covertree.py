@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 K, SCALE = 20, 64.0
 BLOCK_ROWS, GROUP_ROWS = 8192, 4096
-LEAF, FAN = 96, 16
+LEAF, FAN = 128, 16
 
 
 def quantised(vectors: DataFrame, scale: float = SCALE) -> DataFrame:
@@ -42,7 +42,8 @@ class CoverTree:
     """Nodes with a centre point, a covering radius and either child nodes or points.
 
     The children of a node are centred on far-apart points, added farthest first until the node's
-    radius is halved or ``FAN`` children are made; every point belongs to its nearest centre.
+    radius is halved or ``FAN`` children are made; every point belongs to its nearest centre. Groups
+    under a third of a leaf are pooled into leaves, so outliers do not make a leaf each.
     """
 
     def __init__(self, x: np.ndarray, leaf: int = LEAF, fan: int = FAN):
@@ -67,9 +68,18 @@ class CoverTree:
                 closer = d < nearest
                 nearest[closer], which[closer] = d[closer], len(picks)
                 picks.append(far)
+            small = []
             for k, p in enumerate(picks):
                 at = np.flatnonzero(which == k)
-                todo.append((own[at], int(np.flatnonzero(at == p)[0]), node))
+                if len(at) < leaf // 3:
+                    small.append(at)
+                else:
+                    todo.append((own[at], int(np.flatnonzero(at == p)[0]), node))
+            pool = np.concatenate(small) if small else np.zeros(0, int)
+            for k in range(0, len(pool), leaf):
+                rows = own[pool[k : k + leaf]]
+                middle = x[rows].mean(0)
+                todo.append((rows, int(((x[rows] - middle) ** 2).sum(1).argmin()), node))
         self.c = x[np.array(self.centre)]
         self.r = np.array(self.radius) * (1 + 1e-12)
         self.norm = np.sqrt((self.c**2).sum(1))
@@ -123,10 +133,13 @@ class Search:
         self.compared += len(q) * len(d)
         s = self.query.x[q] @ self.data.x[d].T
         s[self.query_ids[q][:, None] == self.ids[d][None, :]] = -np.inf
-        own = np.flatnonzero((s >= self.score[q, -1:]).any(1))
+        better = s >= self.score[q, -1:]
+        own = np.flatnonzero(better.any(1))
         if not len(own):
             return
-        q, s = q[own], s[own]
+        # rows that improve no query, and queries that no row improves, need no sorting
+        some = np.flatnonzero(better.any(0))
+        q, d, s = q[own], d[some], s[np.ix_(own, some)]
         score = np.concatenate((self.score[q], s), 1)
         ids = np.concatenate((self.found[q], np.broadcast_to(self.ids[d], s.shape)), 1)
         order = np.lexsort((ids, -score), axis=-1)[:, : self.k]
