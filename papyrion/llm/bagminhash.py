@@ -8,11 +8,15 @@ points below the weight count, halves above it are never opened, so a large weig
 and there is no largest weight. Each point falls into one register, which keeps its earliest
 point; two registers agree with probability equal to the weighted Jaccard similarity.
 
-Candidates share a band of registers. Equal bags are merged first. In a bucket all members are
-compared with one leader; then, as long as a bucket holds more than one class, every member
-outside its largest class becomes a leader in turn, so a link inside a bucket is never lost and
-no bucket ever emits all pairs. Candidates pass an estimate from the signature and then an exact
-multiset overlap of the whole texts; classes are the connected components of the links.
+Candidates share a band of registers. Equal bags are merged first. Every text is verified against
+the most similar leader (smallest id) of its buckets. In a bucket that then still holds more than
+one class, the members outside its largest class are compared with all members, in tasks of bounded
+size: first the closest members of each other class are verified; then, where classes are still
+apart though some pair of them may reach the similarity, the text is held exactly against all
+members of the other class, chunk by chunk, and one link a chunk is reported. So a link inside a
+bucket is never lost, while texts that are connected already are not paired again and no stage emits
+the pairs of a group. Candidates pass an estimate from the signature and then an exact multiset
+overlap of the whole texts; classes are the connected components of the links.
 
 Defined edge cases: words are runs of non-blank bytes, ASCII letters in either case; a text of
 one to four words is one shingle; texts without words are copies of each other; a null text or
@@ -27,17 +31,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, materialise, mix, release, shingles, slices, unit, utf8
+from .common import U64, materialise, mix, shingles, slices, unit, utf8
 
 BANDS, ROWS = 36, 6
 REGISTERS = BANDS * ROWS
 SIMILARITY = 0.8
-#: Agreeing registers below which a pair is not read: over 7 standard deviations under 0.8.
-AGREE = int(REGISTERS * 0.58)
-#: New leaders of a bucket in each round.
-SLOTS = 16
+#: Agreeing registers below which a pair is not read: 3.7 standard deviations under 0.8.
+AGREE = int(REGISTERS * 0.70)
+#: Ids of candidates that are broadcast at most (8 bytes each).
+FEW_IDS = 1_000_000
+#: Members of a bucket that one task compares, and closest members that are verified first.
+MEMBERS, CLOSEST = 2000, 3
+#: Members of a class that one task holds against texts outside of it.
+CLASS_CHUNK = 256
 CHUNK = 1_500_000
 
 
@@ -112,7 +121,7 @@ def _arrivals(row, element, weight, limit, first, registers):
 
 
 def sketch(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, two 64-bit keys of the exact bag, band keys and the signature's low 16 bits of every whole text."""
+    """doc_id, two 64-bit keys of the exact bag, band keys and the signature's low 8 bits of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,7 +141,7 @@ def sketch(docs: DataFrame, width: int = 5) -> DataFrame:
                     sig = signatures(row, element, weight, n)
                     seeds = mix(np.arange(1, BANDS + 1).astype(U64))
                     bands = mix((mix(sig).reshape(n, BANDS, ROWS) * (mix(np.arange(1, ROWS + 1).astype(U64)) | U64(1))).sum(2, dtype=U64) + seeds)
-                low = (sig & U64(0xFFFF)).astype("<u2")
+                low = (sig & U64(0xFF)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, n), *[pa.array(k.view(np.int64)) for k in keys],
@@ -148,20 +157,139 @@ def sketch(docs: DataFrame, width: int = 5) -> DataFrame:
     )
 
 
-def agreeing(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in at least ``least`` registers."""
+def agreement(pairs: DataFrame, reps: DataFrame, least: int) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in at least ``least`` registers, with that number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(batch.num_rows, -1) for k in (2, 3))
-            keep = pa.array((x == y).sum(1) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+            same = (x == y).sum(1)
+            keep = pa.array(same >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(same, pa.int32()).filter(keep)], ["a", "b", "same"])
 
     sig = lambda at: reps.select(F.col("doc_id").alias(at), F.col("sig").alias(f"sig_{at}"))
     both = pairs.select("a", "b").join(sig("a"), "a").join(sig("b"), "b")
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, same int")
+
+
+def contacts(members: DataFrame, label: DataFrame, reps: DataFrame, least: int, closest: int) -> DataFrame:
+    """Pairs (a, b) between classes within a bucket, for buckets that hold more than one class.
+
+    ``of`` is the one that is outside the bucket's largest class, ``other`` the class of the other; of
+    these, the ``closest`` pairs by signature are returned. Members of a bucket are dealt into chunks, so a task holds
+    ``MEMBERS`` of them and as many of those outside the largest class.
+    """
+    named = members.join(label.withColumnRenamed("doc", "a"), "a", "left").select("key", "a", F.coalesce("comp", "a").alias("comp"))
+    parts = named.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    top = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("n")).where("parts > 1").select(
+        "key", F.col("top.comp").alias("top"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("chunks"), F.ceil((F.col("n") - F.col("top.n")) / MEMBERS).cast("int").alias("others")
+    )
+    live = named.join(top, "key").join(reps.select(F.col("doc_id").alias("a"), "sig"), "a")
+    deal = lambda n, salt: F.pmod(F.xxhash64("a", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    all_ = live.select("key", deal("chunks", 1).alias("i"), every("others").alias("j"), F.lit(0).alias("role"), "a", "comp", "sig")
+    some = live.where("comp <> top").select("key", every("chunks").alias("i"), deal("others", 2).alias("j"), F.lit(1).alias("role"), "a", "comp", "sig")
+    dealt = all_.unionByName(some).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "role", "a")
+
+    def compare(group):
+        role, doc, comp = (group.column(k).to_numpy() for k in ("role", "a", "comp"))
+        n = int((role == 0).sum())
+        if n == 0 or n == len(role):
+            return None
+        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(role), -1)
+        out = []
+        for k in range(n, len(role)):
+            same = (sig[:n] == sig[k]).sum(1)
+            at = np.flatnonzero((same >= least) & (comp[:n] != comp[k]))
+            if len(at):
+                order = at[np.lexsort((-same[at], comp[at]))]
+                first = np.flatnonzero(np.append(True, comp[order][1:] != comp[order][:-1]))
+                at = order[np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order)))) < closest]
+            out.append((np.full(len(at), doc[k]), doc[at], same[at], comp[at]))
+        a, b, same, other = (np.concatenate(c) for c in zip(*out))
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), pa.array(same, pa.int32()), pa.array(a), pa.array(other)], ["a", "b", "same", "of", "other"])
+
+    found = dealt.mapInArrow(grouped(compare), "a long, b long, same int, of long, other long")
+    rank = F.row_number().over(W.partitionBy("of", "other").orderBy(F.desc("same"), "a", "b"))
+    found = found.groupBy("a", "b", "of", "other").agg(F.max("same").alias("same")).withColumn("r", rank).where(F.col("r") <= closest)
+    return found.select("a", "b", "of", "other")
+
+
+def across(relations: DataFrame, label: DataFrame, docs: DataFrame, similarity: float, width: int = 5) -> DataFrame:
+    """Links (a, b) between texts and classes: each ``of`` is held against all members of its class ``other``.
+
+    Chunks of a class and chunks of the texts that meet it are dealt to tasks; a task reports one link
+    for each text, which is enough to connect them.
+    """
+    relations = relations.select("of", "other").distinct()
+    size = relations.groupBy("other").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
+    members = size.join(label.withColumnRenamed("comp", "other"), "other", "left").select("other", "parts", F.coalesce("doc", "other").alias("doc_id"))
+    chunks = members.groupBy("other").agg(F.ceil(F.count("*") / CLASS_CHUNK).cast("int").alias("chunks"))
+    deal = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = members.join(chunks, "other").select("other", deal("chunks", 1).alias("i"), every("parts").alias("j"), F.lit(0).alias("role"), "doc_id")
+    right = relations.withColumnRenamed("of", "doc_id").join(size, "other").join(chunks, "other").select("other", every("chunks").alias("i"), deal("parts", 2).alias("j"), F.lit(1).alias("role"), "doc_id")
+    both = materialise(left.unionByName(right), "across")
+    dealt = both.join(texts_of(docs, both.select("doc_id").distinct()), "doc_id").repartition("other", "i", "j").sortWithinPartitions("other", "i", "j", "role", "doc_id")
+
+    def compare(group):
+        role, doc = group.column("role").to_numpy(), group.column("doc_id").to_numpy()
+        n = int((role == 0).sum())
+        if n == 0 or n == len(role):
+            return None
+        row, element = copies(*bags(*shingles(*utf8(group.column("text").chunk(0)), width)))
+        first = np.searchsorted(row, np.arange(len(role) + 1))
+        size, out = np.diff(first), []
+        held, owner = element[: first[n]], row[: first[n]]
+        for k in range(n, len(role)):
+            own = np.sort(element[first[k] : first[k + 1]])
+            at = np.minimum(np.searchsorted(own, held), max(0, len(own) - 1))
+            shared = np.bincount(owner[own[at] == held], minlength=n) if len(own) else np.zeros(n, int)
+            hit = np.flatnonzero((shared >= similarity * (size[:n] + size[k] - shared) - 1e-9) & (doc[:n] != doc[k]))
+            if len(hit):
+                out.append((max(doc[k], doc[hit[0]]), min(doc[k], doc[hit[0]])))
+        a, b = zip(*out) if out else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return dealt.select("other", "i", "j", "role", "doc_id", "text").mapInArrow(grouped(compare, "other"), "a long, b long").distinct()
+
+
+def grouped(compare, first: str = "key"):
+    """Feeds ``compare`` the rows of one (first, i, j) after another from a sorted stream of batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            table = table.combine_chunks()
+            key, i, j = (table.column(k).to_numpy() for k in (first, "i", "j"))
+            edge = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            for lo, hi in zip(np.append(0, edge), edge):
+                if (got := compare(table.slice(lo, hi - lo))) is not None:
+                    yield got
+            rest = table.slice(edge[-1] if len(edge) else 0)
+        if rest is not None and (got := compare(rest)) is not None:
+            yield got
+
+    return run
+
+
+def copies(row: np.ndarray, element: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A bag as a set: one entry for each copy of an element."""
+    number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    with np.errstate(over="ignore"):
+        return np.repeat(row, count), mix(np.repeat(element, count) + mix(number.astype(U64)))
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of some documents; the ids go to every task if they are few, by a join if not."""
+    few = ids.count() <= FEW_IDS
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
 def overlapping(pairs: DataFrame, docs: DataFrame, similarity: float, width: int = 5) -> DataFrame:
@@ -172,14 +300,11 @@ def overlapping(pairs: DataFrame, docs: DataFrame, similarity: float, width: int
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 n = batch.num_rows
-                row, element, sign = [], [], []
+                row, element = [], []
                 for k in (2, 3):
-                    r, e, c = bags(*shingles(*utf8(batch.column(k)), width))
-                    # one entry for each copy of a shingle: the multisets become sets
-                    copy = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-                    with np.errstate(over="ignore"):
-                        row.append(np.repeat(r, c))
-                        element.append(mix(np.repeat(e, c) + mix(copy.astype(U64))))
+                    r, e = copies(*bags(*shingles(*utf8(batch.column(k)), width)))
+                    row.append(r)
+                    element.append(e)
                 r, e = np.concatenate(row), np.concatenate(element)
                 order = np.lexsort((e, r))
                 r, e = r[order], e[order]
@@ -188,7 +313,8 @@ def overlapping(pairs: DataFrame, docs: DataFrame, similarity: float, width: int
                 keep = pa.array(shared >= similarity * union - 1e-9)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    text = lambda at: docs.select(F.col("doc_id").cast("long").alias(at), F.col("text").cast("string").alias(f"text_{at}"))
+    texts = texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    text = lambda at: texts.select(F.col("doc_id").alias(at), F.col("text").alias(f"text_{at}"))
     both = pairs.join(text("a"), "a").join(text("b"), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
@@ -219,31 +345,21 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, width: int = 5) ->
     common = rows.groupBy("key").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1")
     members = materialise(rows.join(common.select("key", "b"), "key").select("key", F.col("doc_id").alias("a"), "b"), "members")
 
-    def linked(pairs, name):
-        return materialise(overlapping(agreeing(pairs.distinct(), reps, AGREE), docs, similarity, width), name)
-
-    links = linked(members.where("a <> b").select("a", "b"), "links0")
+    near = agreement(members.where("a <> b").select("a", "b").distinct(), reps, AGREE)
+    best = near.groupBy("a").agg(F.max_by("b", F.struct("same", -F.col("b"))).alias("b"))
+    tried = materialise(best.select("a", "b"), "pairs0")
+    links = materialise(overlapping(tried, docs, similarity, width), "links0")
     label = components(links)
-    done, k = None, 0
-    while True:
-        k += 1
-        named = members.select("key", "a").join(label.withColumnRenamed("doc", "a"), "a", "left").select("key", "a", F.coalesce("comp", "a").alias("comp"))
-        # buckets with more than one class, and the largest class of each
-        parts = named.groupBy("key", "comp").agg(F.count("*").alias("n"))
-        top = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", "top")
-        live = materialise(named.join(top, "key"), f"live{k}")
-        lead = live.where("comp <> top").select("key", F.col("a").alias("b"), F.col("comp").alias("b_comp"), F.pmod(F.xxhash64("a"), F.lit(SLOTS)).alias("slot"))
-        if done is not None:
-            lead = lead.join(done, ["key", "b"], "left_anti")
-        now = materialise(lead.groupBy("key", "slot").agg(F.min(F.struct("b", "b_comp")).alias("x")).select("key", "x.b", "x.b_comp"), f"lead{k}")
-        if not now.limit(1).count():
-            break
-        pairs = live.join(now, "key").where("comp <> b_comp").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        more = linked(pairs, f"links{k}")
-        done = now.select("key", "b") if done is None else done.union(now.select("key", "b"))
-        if more.limit(1).count():
-            links = links.union(more)
-            label = components(links)
+    held = members.select("key", "a")
+    pairs = contacts(held, label, reps, AGREE, CLOSEST).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    more = materialise(overlapping(materialise(pairs, "pairs1"), docs, similarity, width), "links1")
+    if more.limit(1).count():
+        links = links.union(more)
+        label = components(links)
+    relations = materialise(contacts(held, label, reps, AGREE, 1).select("of", "other").distinct(), "relations")
+    more = materialise(across(relations, label, docs, similarity, width), "links2")
+    if more.limit(1).count():
+        label = components(links.union(more))
     # of equal bags, the smallest id stands for all
     same = sketched.select("doc_id", "k1", "k2").join(reps.select("k1", "k2", F.col("doc_id").alias("rep")), ["k1", "k2"])
     known = same.join(label.withColumnRenamed("doc", "rep"), "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("class_id"))
