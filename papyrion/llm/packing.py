@@ -14,6 +14,7 @@ ignored; texts of any length are cut into pieces of at most ``capacity`` tokens.
 from __future__ import annotations
 
 import math
+import os
 import sys
 import types
 import unicodedata
@@ -57,6 +58,7 @@ class WordCache:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already uses every core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
