@@ -84,23 +84,27 @@ def fit(docs: DataFrame, graded: DataFrame, levels: int = 3, max_rows: int = MAX
     """Weight by bucket (for the mean over a text's trigrams) and thresholds."""
     sample = labelled_sample(docs, graded.where(learnable()), max_rows, ["grade"])
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                g = grams(np.frombuffer((text or "").encode(), np.uint8))
-                rows.append((np.bincount(g, minlength=BUCKETS) / max(1, len(g))).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["grade", "x"])
-
-    got = sample.where("text <> ''").select("grade", "text").mapInArrow(features, "grade int, x binary").toPandas()
-    if got["grade"].nunique() < 2:
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for batch in batches for r in zip(*(batch.column(k).to_pylist() for k in range(3)))), key=lambda r: r[0])
+        grade = np.array([r[1] for r in rows], int)
+        if len(set(grade.tolist())) < 2:
+            return
+        x = np.empty((len(rows), BUCKETS), np.float32)
+        for i, (_, _, text) in enumerate(rows):
+            g = grams(np.frombuffer(text.encode(), np.uint8))
+            x[i] = np.bincount(g, minlength=BUCKETS) / max(1, len(g))
+        centre, scale = x.mean(0), (x.std(0) + np.float32(2e-4)) * np.float32(np.sqrt(BUCKETS) / 8)
+        x -= centre
+        x /= scale
+        w, t = fit_ordinal(x, grade, levels)
+        w = (w / scale).astype("<f4")
+        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([(t + float(centre @ w)).tolist()], pa.list_(pa.float64()))], ["weights", "cuts"])
+
+    # one Python task over the bounded sample; only the fitted numbers come to the driver
+    got = sample.where("text <> ''").select("doc_id", "grade", "text").coalesce(1).mapInArrow(learn, "weights binary, cuts array<double>").collect()
+    if not got:
         return np.zeros(BUCKETS, np.float32), np.zeros(levels - 1)
-    x = np.frombuffer(b"".join(got["x"]), "<f4").reshape(-1, BUCKETS)
-    grade = got["grade"].to_numpy()
-    centre, scale = x.mean(0), x.std(0) + 2e-4
-    w, t = fit_ordinal((x - centre) / scale / np.float32(np.sqrt(BUCKETS) / 8), grade, levels)
-    w = w / scale / np.float32(np.sqrt(BUCKETS) / 8)
-    return w.astype(np.float32), t + float(centre @ w)
+    return np.frombuffer(bytes(got[0]["weights"]), "<f4").copy(), np.array(got[0]["cuts"])
 
 
 def score(docs: DataFrame, weights: np.ndarray, cuts: np.ndarray) -> DataFrame:
