@@ -31,10 +31,13 @@ CLASSES = (
     ("entropy_hex", r"[0-9A-Fa-f]{20,}", "0123456789abcdefABCDEF", 20, 3.0),
     ("entropy_digit", r"[0-9]{24,}", "0123456789", 20, 2.9),
 )
-#: Candidates that are no secrets: pure letters, identifiers of words, ruler lines, UUIDs.
+#: A word of a path: letters of one case, humps of three letters or more, a short number.
+_WORD = r"(?:[A-Z]?[a-z]+(?:[A-Z][a-z]{2,})*[0-9]{0,2}|[A-Z]+[0-9]{0,2}|[0-9]{1,8})"
+_PART = rf"(?:{_WORD}(?:[_-]+{_WORD})*)?"
+#: Candidates that are no secrets: pure letters, identifiers of words, ruler lines, UUIDs, paths all of whose parts are words.
 ALLOW = (
     r"^[A-Za-z]+$", r"^[a-z]+([_/-][a-z]+)+$", r"^(.)\1+$",
-    r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^(?:[A-Za-z0-9-]*/)+[A-Za-z0-9_-]*$", r"(?i)(example|placeholder|changeme)",
+    r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", rf"^(?:{_PART}/)+{_PART}$", r"(?i)(example|placeholder|changeme)",
 )
 
 

@@ -5,6 +5,7 @@ import io
 import math
 import random
 import re
+import string
 import zipfile
 import zlib
 from collections import Counter
@@ -175,6 +176,20 @@ def test_secrets_against_brute_force(spark, odd):
     assert len(odd_rows) == len(ODD) + 2 and all(r["spans"] == "" for r in odd_rows if r["doc_id"] in (0, 1))
 
 
+def test_slash_holding_keys_are_secrets(spark):
+    rng = random.Random(9)
+    alphabet = string.ascii_letters + string.digits + "/"
+    keys = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ8r2TuvKEY"] + [k for k in ("".join(rng.choice(alphabet) for _ in range(40)) for _ in range(80)) if "/" in k]
+    paths = ["/usr/local/lib/python3/site-packages/numpy", "src/main/java/StructureDetector/HeadingRule", "backups/2024/01/15/customer_orders_07", "docs/API/v2/Getting-Started/index"]
+    found = {r["doc_id"]: r["spans"] for r in secrets.digest(secrets.scan(frame(spark, [f"aws_secret_access_key = {k} end" for k in keys] + [f"see {p} there" for p in paths]))).collect()}
+    # what is random is judged here from the text alone, without the allow-list
+    for k, key in enumerate(keys):
+        best = max(-sum(c / 20 * math.log2(c / 20) for c in Counter(key[i : i + 20]).values()) for i in range(len(key) - 19))
+        assert best < 3.8 or f"entropy_alnum:24:{24 + len(key)}" in found[k], key
+    assert len(keys) > 30 and all(found[len(keys) + k] == "" for k in range(len(paths)))
+    assert secrets.redact(frame(spark, [f"aws_secret_access_key = {keys[0]} end"])).first()["text"] == "aws_secret_access_key = [secret] end"
+
+
 def test_redact_masks_all_spans(spark, odd, none):
     got = [r["text"] for r in secrets.redact(frame(spark, ["a token = abcdefgh b", None, "clean", "x " + "0a" * 20])).orderBy("doc_id").collect()]
     assert got == ["a [secret] b", None, "clean", "x [secret]"]
