@@ -437,6 +437,11 @@ def bare_titles(spark, d):
     return table(spark, d, "documents").select("doc_id", outline.bare_title(F.substring("text", 1, 200)).alias("bare"))
 
 
+@query("""SELECT doc_id, lower(regexp_replace(regexp_replace(text, '^[\\s\\x{3000}]*[０-９0-9]+(?:[.．][０-９0-9]+)*[.．]?[\\s\\x{3000}]*', ''), '[\\s\\x{3000}.．、,，:：]+', '', 'g')) AS bare FROM documents""")
+def bare_titles_whole(spark, d):
+    return table(spark, d, "documents").select("doc_id", outline.bare_title(F.col("text")).alias("bare"))
+
+
 @query(f"""WITH {STAR_SQL}, {CLASSES_SQL}, {GROUPS_SQL} SELECT doc_id, sheet_idx, "row", CAST(coalesce(parent_row, 0) AS INTEGER) AS parent_row, CASE type WHEN 'CATEGORY' THEN 1 WHEN 'STEP' THEN 2 ELSE CASE WHEN s1 IS NULL THEN 2 ELSE 3 END END AS depth,
   CASE WHEN type = 'SUBTOTAL' THEN concat('📊 ', label) WHEN is_cancelled THEN concat('~~', label, '~~ *(cancelled)*') ELSE label END AS title FROM grouped""")
 def table_tree(spark, d):
