@@ -458,3 +458,9 @@ def compressed_rows(spark, d):
     c = views.star(spark, d)
     tasks = views.star_rows(spark, d).where("kind = 'TASK'").select("doc_id", "sheet_idx", F.col("row_no").alias("row"))
     return outline.compressed(c.where("col <= 4")).join(tasks, ["doc_id", "sheet_idx", "row"], "left_semi")
+
+
+@query(f"""WITH {STAR_SQL}, parts AS (SELECT *, concat_ws(',', CASE WHEN is_bold THEN 'B' END, CASE WHEN is_strike THEN 'S' END, 'f:' || fill_color, 'c:' || font_color) AS flags FROM cells WHERE v_text <> '')
+SELECT doc_id, sheet_idx, "row", concat('R', "row", '|', string_agg(concat(chr(CAST(64 + col AS INTEGER)), ':', substr(v_text, 1, 50), CASE WHEN flags <> '' THEN concat(':', flags) ELSE '' END), '|' ORDER BY col)) AS line FROM parts GROUP BY "row", doc_id, sheet_idx""")
+def compressed_rows_whole(spark, d):
+    return outline.compressed(views.star(spark, d))
