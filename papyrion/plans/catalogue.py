@@ -306,15 +306,17 @@ def title_band_anti(spark, d):
     return regions.without_table_titles(r.where("kind = 'STEP'"), r.where("kind = 'SUBTOTAL'").withColumn("start_row", F.col("row"))).select("doc_id", "sheet_idx", "row")
 
 
-def _turns(spark, d):
-    """Conversations as trees: a root for each, its turns below it."""
+def _turns(spark, d, most=30):
+    """Conversations as trees: a root for each, its turns below it; titles hold ``most`` characters of a turn, all if None."""
     c = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", "role", "text")
     root = c.select("doc_id").distinct().select("doc_id", F.lit("root").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("ord"), F.lit("Conversation").alias("title"))
-    return root.union(c.select("doc_id", F.concat(F.lit("t"), F.col("turn").cast("string")), F.lit("root"), F.col("turn").cast("int"), F.concat_ws(" ", "role", F.substring("text", 1, 30))))
+    return root.union(c.select("doc_id", F.concat(F.lit("t"), F.col("turn").cast("string")), F.lit("root"), F.col("turn").cast("int"), F.concat_ws(" ", "role", F.substring("text", 1, most) if most else F.col("text"))))
 
 
 TURNS_SQL = """nodes AS (SELECT DISTINCT conv_id AS doc_id, 'root' AS node_id, CAST(NULL AS VARCHAR) AS parent_id, 0 AS ord, 'Conversation' AS title FROM conversations
 UNION ALL SELECT conv_id, concat('t', turn), 'root', CAST(turn AS INTEGER), concat(role, ' ', substr(text, 1, 30)) FROM conversations)"""
+WHOLE_TURNS_SQL = """nodes AS (SELECT DISTINCT conv_id AS doc_id, 'root' AS node_id, CAST(NULL AS VARCHAR) AS parent_id, 0 AS ord, 'Conversation' AS title FROM conversations
+UNION ALL SELECT conv_id, concat('t', turn), 'root', CAST(turn AS INTEGER), concat_ws(' ', role, text) FROM conversations)"""
 
 
 @query(f"""WITH {TURNS_SQL} SELECT doc_id, node_id, CASE WHEN parent_id IS NULL THEN 0 ELSE 1 END AS depth, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY parent_id IS NOT NULL, ord) - 1 AS INTEGER) AS rank FROM nodes""")
@@ -347,6 +349,17 @@ def tree_toc(spark, d):
     return tree.contents(tree.depth_first(_turns(spark, d)))
 
 
+@query(f"""WITH {WHOLE_TURNS_SQL}, s AS (SELECT *, {_CLEAN.format(x='title')} AS s, count(*) OVER (PARTITION BY doc_id, parent_id) AS n, row_number() OVER (PARTITION BY doc_id, parent_id ORDER BY ord) AS k FROM nodes)
+SELECT doc_id, node_id, concat(lpad(CAST(k AS VARCHAR), CAST(greatest(2, length(CAST(n AS VARCHAR))) AS INTEGER), '0'), '_', {_SEGMENT}) AS name FROM s""")
+def sibling_names_whole(spark, d):
+    return tree.sibling_names(_turns(spark, d, None)).select("doc_id", "node_id", "name")
+
+
+@query(f"""WITH {WHOLE_TURNS_SQL} SELECT doc_id, string_agg(concat(CASE WHEN parent_id IS NULL THEN '' ELSE '  ' END, '- ', replace(title, '|', '\\|')), chr(10) ORDER BY parent_id IS NOT NULL, ord) AS toc FROM nodes GROUP BY doc_id""")
+def tree_toc_whole(spark, d):
+    return tree.contents(tree.depth_first(_turns(spark, d, None)))
+
+
 def _items(spark, d):
     """Positioned items: a line of a document is a line of its page, a word is an item."""
     t = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("r", "line"))
@@ -453,6 +466,11 @@ def tree_markdown(spark, d):
     return outline.markdown(tree.depth_first(_turns(spark, d)).withColumn("summary", F.lit(None).cast("string")))
 
 
+@query(f"""WITH {WHOLE_TURNS_SQL} SELECT doc_id, string_agg(concat(CASE WHEN parent_id IS NULL THEN '# ' ELSE '## ' END, title), chr(10) ORDER BY parent_id IS NOT NULL, ord) AS text FROM nodes GROUP BY doc_id""")
+def tree_markdown_whole(spark, d):
+    return outline.markdown(tree.depth_first(_turns(spark, d, None)).withColumn("summary", F.lit(None).cast("string")))
+
+
 @query(f"""WITH {STAR_SQL} SELECT doc_id, sheet_idx, row_no AS "row", concat('R', row_no, '|C:', c, CASE WHEN strike THEN ':S' ELSE '' END, '|D:', CAST(q AS DECIMAL(18,2)), CASE WHEN strike THEN ':S' ELSE '' END) AS line FROM rows_ WHERE kind = 'TASK'""")
 def compressed_rows(spark, d):
     c = views.star(spark, d)
