@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import address, text
-from ..operators import chunks, headings, outline, profile, regions, table as tables, tree
+from ..operators import chunks, enrich, headings, outline, profile, regions, table as tables, tree
 from . import views
 from .views import LINES_SQL, MERGES_SQL, STAR_SQL, table
 
@@ -429,6 +429,27 @@ def prompt_tiers(spark, d):
     return chunks.pick_tier(p).select("doc_id", "tier", F.length("prompt").cast("long").alias("n"))
 
 
+def _prompt_parts(spark, d):
+    """Meta, groups and samples of the star sheets: the customer's sheet, its category and steps, up to five of its rows."""
+    c = views.star(spark, d)
+    rows = tables.classify(c)
+    meta = profile.extents(c).select("doc_id", "sheet_idx", F.concat(F.lit("Sheet "), F.col("sheet_idx").cast("string")).alias("name"), F.col("max_row").alias("n_rows"), F.col("max_col").alias("n_cols"))
+    g = tables.groups(rows).where("row = group_row AND type IN ('CATEGORY', 'STEP')")
+    top = g.where("type = 'CATEGORY'").select("doc_id", "sheet_idx", F.col("row").alias("s0"), text.path(F.col("label")).alias("above"))
+    g = g.join(top, ["doc_id", "sheet_idx", "s0"])
+    is_top = F.col("type") == "CATEGORY"
+    groups = g.select(
+        "doc_id", "sheet_idx", F.col("row").alias("ord"), F.concat(F.lit("group_"), F.col("s0").cast("string"), F.when(is_top, "").otherwise(F.concat(F.lit("_step"), F.col("row").cast("string")))).alias("chunk_id"),
+        F.when(is_top, F.col("above")).otherwise(F.concat_ws(" › ", "above", text.path(F.col("label")))).alias("path"), is_top.alias("top"),
+    )
+    return meta, groups, enrich.sample_lines(c, rows, 5)
+
+
+@query()
+def sheet_prompts(spark, d):
+    return enrich.prompts(*_prompt_parts(spark, d))
+
+
 @query()
 def llm_sample(spark, d):
     rows = tables.classify(views.star(spark, d)).select("doc_id", "sheet_idx", "row", (F.col("type") == "HEADER").alias("is_header"), (F.col("type") == "SUBTOTAL").alias("is_subtotal"))
