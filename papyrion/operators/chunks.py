@@ -82,8 +82,11 @@ def sample_rows(rows: DataFrame, n_headers: int = 3, n_subtotals: int = 5, most:
     """Rows of a sheet that show its structure: headers, subtotals, one row of each new format, then evenly spaced numeric rows."""
     rank = lambda cond, name: F.when(cond, F.row_number().over(W.partitionBy(*SHEET, cond).orderBy("row"))).alias(name)
     shape = F.concat_ws("|", F.coalesce("fill_color", F.lit("")), F.col("bold_cols") > 0, "filled_cols", "is_strike")
-    r = rows.select("*", rank(F.col("is_header"), "h"), rank(F.col("is_subtotal"), "s"), F.row_number().over(W.partitionBy(*SHEET, shape).orderBy("row")).alias("f"))
-    r = r.withColumn("kind", F.when(F.col("h") <= n_headers, "header").when(F.col("s") <= n_subtotals, "subtotal").when(F.col("f") == 1, "pattern"))
+    r = rows.select("*", rank(F.col("is_header"), "h"), rank(F.col("is_subtotal"), "s"), shape.alias("shape"))
+    r = r.withColumn("kind", F.when(F.col("h") <= n_headers, "header").when(F.col("s") <= n_subtotals, "subtotal"))
+    # a format counts as seen once a row that is not taken yet has it
+    r = r.withColumn("f", F.row_number().over(W.partitionBy(*SHEET, "shape", F.col("kind").isNull()).orderBy("row")))
+    r = r.withColumn("kind", F.coalesce("kind", F.when(F.col("f") == 1, "pattern")))
     taken = F.count("kind").over(W.partitionBy(*SHEET))
     numeric = F.col("kind").isNull() & F.col("has_numeric")
     n = F.count_if(numeric).over(W.partitionBy(*SHEET))
@@ -94,6 +97,19 @@ def sample_rows(rows: DataFrame, n_headers: int = 3, n_subtotals: int = 5, most:
     return r.withColumn("kind", F.coalesce("kind", F.when(spaced, "data"))).where("kind is not null").select(*SHEET, "row", "kind")
 
 
+def trim_samples(sampled: DataFrame, lines: DataFrame, most: int = 2000) -> DataFrame:
+    """Sampled rows without the last data rows by which their lines exceed ``most`` tokens; other kinds and an only row stay.
+
+    ``lines``: sheet key, row, line; the lines of a sheet count as joined by line feeds.
+    """
+    d = sampled.join(lines.select(*SHEET, "row", "line"), [*SHEET, "row"], "left")
+    size = F.length(F.coalesce("line", F.concat(F.lit("R"), F.col("row").cast("string"), F.lit("|")))) + 1
+    w = W.partitionBy(*SHEET).orderBy(F.col("kind") == "data", "row")
+    tokens = F.ceil((F.sum(size).over(w.rowsBetween(W.unboundedPreceding, 0)) - 1) / F.lit(4.0))
+    d = d.withColumn("keep", (F.col("kind") != "data") | (tokens <= most) | (F.row_number().over(w) == 1))
+    return d.where("keep").select(*SHEET, "row", "kind")
+
+
 def fold_events(events: DataFrame) -> DataFrame:
     """Events of each document folded: chunks and assets counted, the last tree kept, whether it is done."""
     return events.groupBy("doc_id").agg(

@@ -452,8 +452,9 @@ def sheet_prompts(spark, d):
 
 @query()
 def llm_sample(spark, d):
-    rows = tables.classify(views.star(spark, d)).select("doc_id", "sheet_idx", "row", (F.col("type") == "HEADER").alias("is_header"), (F.col("type") == "SUBTOTAL").alias("is_subtotal"))
-    return chunks.sample_rows(profile.rows(views.star(spark, d)).join(rows, ["doc_id", "sheet_idx", "row"]))
+    c = views.star(spark, d)
+    rows = tables.classify(c).select("doc_id", "sheet_idx", "row", (F.col("type") == "HEADER").alias("is_header"), (F.col("type") == "SUBTOTAL").alias("is_subtotal"))
+    return chunks.trim_samples(chunks.sample_rows(profile.rows(c).join(rows, ["doc_id", "sheet_idx", "row"])), outline.compressed(c))
 
 
 @query("""WITH h AS (SELECT o_custkey AS doc_id, concat(o_orderkey % 9 + 1, CASE WHEN o_orderkey % 3 > 0 THEN concat('.', o_orderkey % 5 + 1) ELSE '' END, CASE WHEN o_orderkey % 3 = 2 THEN concat('.', o_orderkey % 4 + 1) ELSE '' END) AS number, o_orderkey AS node_id FROM orders),
