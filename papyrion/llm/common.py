@@ -26,15 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder, with writer ``options``, and read it back.
 
     This cuts the lineage at a replicated, durable table: a lost executor costs only the
     tasks it was running, and several consumers do not recompute the producer.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/papyrion-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,8 +3,8 @@
 ``decode`` reads Netpbm (P1 to P6, 8-bit) and uncompressed BMP (8, 24 and 32 bits) bytes;
 ``area_resize`` averages areas through an integral image, interpolated at fractional edges;
 ``tile`` writes the resized picture as NPY bytes and ``difference_hash`` compares neighbours of
-a 9x8 picture. ``documents_as_media`` stores whole texts as 64 samples wide PGM pictures, reads
-the stored bytes back and measures what it has read.
+a 9x8 picture. ``documents_as_media`` stores whole texts as 64 samples wide PGM pictures with
+their NPY tiles in the shared folder, reads the stored bytes back and measures what it has read.
 
 Defined edge cases: a null or empty text is a picture of 64 zero samples; texts of any length
 make a higher picture; repeated rows are measured each for itself; extra columns are ignored; an
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import materialise, utf8
 
 WIDTH = 64
 TILE = 32
@@ -134,33 +134,44 @@ def tile(image: np.ndarray, size: int = TILE) -> bytes:
     return out.getvalue()
 
 
-def measure(media: bytes) -> tuple:
-    """payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature and NPY tile of stored media."""
+def measure(media: bytes, npy: bytes) -> tuple:
+    """payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature of stored media and its stored NPY tile."""
     image = decode(media)
     samples = image.tobytes()
-    npy = tile(image)
     feature = f"{difference_hash(image)}:{zlib.crc32(npy):08x}"
-    return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, npy
+    return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
 
-def documents_as_media(docs: DataFrame, with_media: bool = True) -> DataFrame:
-    """One row per document: what ``measure`` reads from its stored picture and, if asked for, the picture and tile."""
+def pictures(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, the text as a PGM picture and its NPY tile, of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary())
-        names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile", "media")
-        use = len(names) if with_media else len(names) - 2
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             raw, at = data.tobytes(), offsets.tolist()
-            rows = []
-            for i, j in zip(at, at[1:]):
-                text = raw[i:j]
-                media = encode_pgm(text + bytes(max(-len(text) % WIDTH, 0 if text else WIDTH)))
-                rows.append((j - i, *measure(media), media)[:use])
-            columns = zip(*rows) if rows else [[]] * use
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds)]], ["doc_id", *names[:use]])
+            texts = [raw[i:j] for i, j in zip(at, at[1:])]
+            media = [encode_pgm(text + bytes(max(-len(text) % WIDTH, 0 if text else WIDTH))) for text in texts]
+            tiles = [tile(decode(m)) for m in media]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(tiles, pa.binary()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "tile", "media"])
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, schema + ", tile binary, media binary" * with_media)
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, tile binary, media binary")
+
+
+def documents_as_media(docs: DataFrame, with_media: bool = True) -> DataFrame:
+    """One row per document: what ``measure`` reads from its stored picture and tile and, if asked for, the picture and tile.
+
+    Pictures and tiles are written to the shared folder; all columns come from what is read from there.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+        for batch in batches:
+            rows = [measure(m.as_py(), t.as_py()) for t, m in zip(batch.column(2), batch.column(3))]
+            columns = zip(*rows) if rows else [[]] * len(names)
+            stored = [batch.column(2), batch.column(3)] * with_media
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds)], *stored], ["doc_id", "n_bytes", *names, *["tile", "media"][: len(stored)]])
+
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return materialise(pictures(docs), "media", compression="zstd").mapInArrow(run, schema + ", tile binary, media binary" * with_media)

@@ -1,5 +1,6 @@
 """Each operator against brute force, an exact round trip or held-out labels, and on odd rows."""
 
+import glob
 import hashlib
 import io
 import math
@@ -15,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from papyrion.llm import bagminhash, covertree, entries, langid, media, mixing, packing, quality, secrets, toxicity, zipwarc
-from papyrion.llm.common import shingles, words
+from papyrion.llm.common import shared_dir, shingles, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, block int"
 SF = "/root/testdata/sf0.001"
@@ -263,6 +264,19 @@ def test_media_round_trip(spark, odd, none):
     assert media.documents_as_media(none).count() == 0
 
 
+def test_media_columns_come_from_stored_files(spark, odd):
+    before = {f.rsplit("/", 1)[0] for f in glob.glob(shared_dir(spark).removeprefix("file://") + "/papyrion-*/media/*.parquet")}
+    got = media.documents_as_media(odd, with_media=False)
+    (folder,) = {f.rsplit("/", 1)[0] for f in glob.glob(shared_dir(spark).removeprefix("file://") + "/papyrion-*/media/*.parquet")} - before
+    stored = spark.read.parquet("file://" + folder).collect()
+    assert len(stored) == len(ODD) + 2
+    for r in stored:
+        assert np.load(io.BytesIO(r["tile"])).shape == (32, 32)
+    key = lambda rows: sorted((r["n_bytes"], r["media_sha256"], r["feature"][-8:]) for r in rows)
+    want = [{"n_bytes": r["n_bytes"], "media_sha256": hashlib.sha256(r["media"]).hexdigest(), "feature": f"{zlib.crc32(r['tile']):08x}"} for r in stored]
+    assert "tile" not in got.columns and key(got.collect()) == key(want)
+
+
 def bag(text):
     w = [x.lower() if x.isascii() else "".join(c.lower() if c.isascii() else c for c in x) for x in re.split(r"[\x00-\x20]+", text) if x]
     return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
