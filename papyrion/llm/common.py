@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
+import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +21,13 @@ _GOLD, _MIX1, _MIX2 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session leaves it unset (local tests), a temporary folder is set once.
+    Where a local session leaves it unset (tests), a temporary folder is set once; on a cluster
+    that would be another folder on each machine, so there it is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="papyrion-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -35,17 +42,43 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/papyrion-{uuid.uuid4().hex}/{name}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path.rsplit("/", 1)[0]
+    return out
 
 
-def release(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete the Parquet files behind materialised ``frames`` that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+def release(*frames: DataFrame) -> None:
+    """Delete the files behind materialised ``frames``, which no later plan may read."""
     for frame in frames:
-        for folder in {f.rsplit("/", 1)[0] for f in frame.inputFiles() if "/papyrion-" in f}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+        context = frame.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(frame.stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Module that holds what a worker process keeps from one task to the next.
+WORKER_STATE = "papyrion_worker_state"
+
+
+def tidy(run, keep_state: bool = False):
+    """``run`` for mapInArrow that gives unused memory back when its task ends.
+
+    Worker processes serve many tasks, so what one leaves behind counts against the next. State
+    that another operator keeps in the process goes first, unless ``keep_state``.
+    """
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep_state:
+            sys.modules.pop(WORKER_STATE, None)
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # only glibc has it
+                pass
+
+    return tidied
 
 
 def held_out(doc_id="doc_id"):
@@ -58,8 +91,12 @@ def learnable(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 != 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, columns: list[str], keep=None) -> DataFrame:
-    """Texts of at most ``max_rows`` labelled documents, chosen by a hash of doc_id.
+#: Bytes of a text from which a sample leaves it out, so that rows bound the bytes of a sample too.
+MAX_TEXT = 1 << 16
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, columns: list[str], keep=None, max_text: int = MAX_TEXT) -> DataFrame:
+    """Texts, of at most ``max_text`` bytes each, of at most ``max_rows`` labelled documents, chosen by a hash of doc_id.
 
     The labels are cut to ``max_rows`` rows first (top-k by hash, one row per doc_id, the
     largest label values of repeated rows), so the broadcast side holds at most that many
@@ -74,7 +111,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, columns:
         picked.groupBy("doc_id").agg(*[F.max(c).cast("int").alias(c) for c in columns])
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
-    joined = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    joined = docs.select("doc_id", "text").where(F.octet_length("text") <= max_text).join(F.broadcast(picked), "doc_id")
     return joined.groupBy("doc_id", *columns).agg(F.min("text").alias("text"))
 
 
@@ -103,6 +140,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def apart(data: np.ndarray, offsets: np.ndarray, blanks: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """The rows with ``blanks`` blanks after each, so that no run of bytes reaches into the next row, and the places of their bytes."""
+    size = np.diff(offsets)
+    place = np.arange(len(data)) + np.repeat(np.arange(len(size)) * blanks, size)
+    out = np.full(len(data) + blanks * len(size), 32, np.uint8)
+    out[place] = data
+    return out, place
+
+
 def slices(offsets: np.ndarray, most: int):
     """Row ranges [i, j) of at most ``most`` bytes each; a longer row is a range of its own."""
     i, n = 0, len(offsets) - 1

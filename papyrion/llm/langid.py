@@ -5,8 +5,9 @@ run has a likelihood under each language's smoothed n-gram model, and expectatio
 estimates the document's language proportions from those likelihoods. The set of languages is
 grown one by one as long as the likelihood, penalised by log(runs) for each language, rises.
 
-The model is fitted on a bounded, hashed sample of documents (``max_rows``, default 6000) with a
-known language; prediction covers every whole text.
+The model is fitted on a bounded, hashed sample of documents (``max_rows``, default 6000, with texts
+of at most ``max_text`` bytes) with a known language; prediction covers every whole text, and each
+by itself: its result does not depend on the rows beside it.
 
 Defined edge cases: a null text and a text without any letter are ``und`` with score 0; an
 empty table gives an empty result; with no learnable row every text is ``und``; repeated rows
@@ -23,12 +24,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import learnable, held_out, slices, utf8
+from .common import MAX_TEXT, apart, held_out, learnable, slices, tidy, utf8
 
 BUCKETS = 1 << 16
 MAX_ROWS = 6000
 RUN = 24
-CHUNK = 2_000_000
+#: Bytes whose n-grams are held at once; whole runs.
+CHUNK = RUN * 40_000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[:65] = 32
@@ -47,14 +49,15 @@ def ngrams(data: np.ndarray) -> np.ndarray:
     return h >> np.uint32(16)
 
 
-def fit(docs: DataFrame, max_rows: int = MAX_ROWS, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, max_rows: int = MAX_ROWS, smoothing: float = 0.5, max_text: int = MAX_TEXT) -> tuple[list[str], np.ndarray]:
     """Languages, and the log-probability of each n-gram bucket under each, as (buckets, languages).
 
-    Learns from text and lang of at most ``max_rows`` learnable rows, chosen by a hash of doc_id.
+    Learns from text (of at most ``max_text`` bytes) and lang of at most ``max_rows`` learnable rows,
+    chosen by a hash of doc_id; a repeated doc_id counts once (smallest lang, then text).
     """
-    rows = docs.where(learnable() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).distinct()
-    sample = rows.join(F.broadcast(ids), "doc_id").select("lang", "text")
+    rows = docs.where(learnable() & F.col("lang").isNotNull() & (F.octet_length("text") <= max_text)).select("doc_id", "lang", "text")
+    ids = rows.groupBy("doc_id").agg(F.min("lang").alias("lang")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    sample = rows.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -66,7 +69,7 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, smoothing: float = 0.5) -> tu
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["lang", "bucket", "n"])
 
-    counts = sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = sample.mapInArrow(tidy(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
     table = np.full((BUCKETS, len(langs)), smoothing)
     for k, lang in enumerate(langs):
@@ -140,6 +143,34 @@ def proportions(loglik: np.ndarray, unit: np.ndarray, count: np.ndarray, penalty
     return share
 
 
+def likelihoods(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihood of each run under each language, as (runs, languages), and the number of runs of each row.
+
+    A row's n-grams end in blanks, never in the next row; a row longer than ``CHUNK`` is taken in parts.
+    """
+    size = np.diff(offsets)
+    count = -(-size // RUN)
+    parts = []
+    for i, j in slices(offsets, CHUNK):
+        for at in range(offsets[i], max(offsets[j], offsets[i] + 1), CHUNK) if j == i + 1 else (offsets[i],):
+            end = min(at + CHUNK, offsets[j]) if j == i + 1 else offsets[j]
+            if end == at:
+                continue
+            if j == i + 1:
+                # two bytes of what follows belong to the part's last n-grams
+                gram = ngrams(data[at : min(end + 2, offsets[j])])[: end - at]
+                starts = np.arange(0, end - at, RUN)
+            else:
+                spread, place = apart(data[at:end], offsets[i : j + 1] - at)
+                gram = ngrams(spread)[place]
+                n = count[i:j]
+                begin = np.concatenate(([0], np.cumsum(n)[:-1]))
+                row = np.repeat(np.arange(j - i), n)
+                starts = (offsets[i:j] - at)[row] + (np.arange(len(row)) - begin[row]) * RUN
+            parts.append(np.stack([np.add.reduceat(table[:, k][gram], starts) for k in range(table.shape[1])], 1))
+    return np.concatenate(parts) if parts else np.zeros((0, table.shape[1]), table.dtype), count
+
+
 def predict(docs: DataFrame, langs: list[str], table: np.ndarray, penalty: float = 1.0) -> DataFrame:
     """doc_id, lang_pred, score (the leading language's proportion) and the proportions of every whole text."""
     letters = "\\p{L}"
@@ -151,17 +182,8 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, penalty: float
             data, offsets = utf8(text)
             share = np.zeros((len(text), max(1, len(langs))))
             for i, j in slices(offsets, CHUNK) if langs else ():
-                part, o = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                if not len(part):
-                    continue
-                gram = ngrams(part)
-                size = np.diff(o)
-                count = -(-size // RUN)
-                unit = np.repeat(np.arange(j - i), count)
-                begin = np.concatenate(([0], np.cumsum(count)[:-1]))
-                starts = o[:-1][unit] + (np.arange(len(unit)) - begin[unit]) * RUN
-                loglik = np.stack([np.add.reduceat(table[:, k][gram], starts) for k in range(len(langs))], 1)
-                share[i:j] = proportions(loglik, unit, count, penalty)
+                loglik, count = likelihoods(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], table)
+                share[i:j] = proportions(loglik, np.repeat(np.arange(j - i), count), count, penalty)
             share[~known] = 0
             lead = share.argmax(1)
             names = [langs[k] if ok and langs else "und" for k, ok in zip(lead, known)]
@@ -173,7 +195,7 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, penalty: float
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, lang_pred string, score double, mixture array<struct<lang:string,share:double>>"
+        tidy(run), "doc_id long, lang_pred string, score double, mixture array<struct<lang:string,share:double>>"
     )
 
 

@@ -4,8 +4,10 @@ One weight vector over hashed byte trigrams gives a text its score s; ordered th
 t_1 < t_2 < ... cut the score into grades: P(grade >= j) = sigmoid(s - t_j). The weights are
 shared by all thresholds. Expected grade and tail probabilities follow for each whole text.
 
-The model is fitted on at most ``max_rows`` rated documents (default 4000), chosen by a hash
-of doc_id, from rows whose crc32(doc_id as text) mod 5 is not 0.
+The model is fitted on at most ``max_rows`` rated documents (default 4000) of at most 64 KiB, chosen
+by a hash of doc_id, from rows whose crc32(doc_id as text) mod 5 is not 0. Their feature vectors
+are made where the texts are; one task fits the weights from those vectors of fixed size. A
+text's score does not depend on the rows beside it, their order or the size of a batch.
 
 Defined edge cases: a null or empty text has no quality: expected grade 0, all tails 0; rows
 with a null rating are not learned from, the best of repeated ratings counts; without any
@@ -22,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, learnable, slices, utf8
+from .common import apart, held_out, labelled_sample, learnable, slices, tidy, utf8
 
 BUCKETS = 4096
 MAX_ROWS = 4000
-CHUNK = 2_000_000
+#: Bytes whose trigrams are held at once.
+CHUNK = 1_000_000
+#: Weights are summed as integers of this step, so a sum has no order.
+STEP = 2.0**-32
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -84,15 +89,23 @@ def fit(docs: DataFrame, graded: DataFrame, levels: int = 3, max_rows: int = MAX
     """Weight by bucket (for the mean over a text's trigrams) and thresholds."""
     sample = labelled_sample(docs, graded.where(learnable()), max_rows, ["grade"])
 
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column(2):
+                g = grams(np.frombuffer(text.as_py().encode(), np.uint8))
+                rows.append((np.bincount(g, minlength=BUCKETS) / len(g)).astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["doc_id", "grade", "x"])
+
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((r for batch in batches for r in zip(*(batch.column(k).to_pylist() for k in range(3)))), key=lambda r: r[0])
-        grade = np.array([r[1] for r in rows], int)
+        table = pa.Table.from_batches(list(batches), pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("x", pa.binary())])).sort_by("doc_id")
+        grade = table.column("grade").to_numpy().astype(int)
         if len(set(grade.tolist())) < 2:
             return
-        x = np.empty((len(rows), BUCKETS), np.float32)
-        for i, (_, _, text) in enumerate(rows):
-            g = grams(np.frombuffer(text.encode(), np.uint8))
-            x[i] = np.bincount(g, minlength=BUCKETS) / max(1, len(g))
+        x = np.empty((len(grade), BUCKETS), np.float32)
+        for i, row in enumerate(table.column("x")):
+            x[i] = np.frombuffer(row.as_buffer(), "<f4")
+        del table
         centre, scale = x.mean(0), (x.std(0) + np.float32(2e-4)) * np.float32(np.sqrt(BUCKETS) / 8)
         x -= centre
         x /= scale
@@ -100,13 +113,37 @@ def fit(docs: DataFrame, graded: DataFrame, levels: int = 3, max_rows: int = MAX
         w = (w / scale).astype("<f4")
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([(t + float(centre @ w)).tolist()], pa.list_(pa.float64()))], ["weights", "cuts"])
 
-    # one Python task over the bounded sample; only the fitted numbers come to the driver
-    got = sample.where("text <> ''").select("doc_id", "grade", "text").coalesce(1).mapInArrow(learn, "weights binary, cuts array<double>").collect()
+    vectors = sample.where("text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "grade", "text").mapInArrow(tidy(features), "doc_id long, grade int, x binary")
+    # one Python task over vectors of fixed size, max_rows at most; only the fitted numbers come to the driver
+    got = vectors.repartition(1).mapInArrow(tidy(learn), "weights binary, cuts array<double>").collect()
     if not got:
         return np.zeros(BUCKETS, np.float32), np.zeros(levels - 1)
     return np.frombuffer(bytes(got[0]["weights"]), "<f4").copy(), np.array(got[0]["cuts"])
 
 
+def scores(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The mean weight of each row's trigrams, whose last ones end in blanks; 0 for empty rows."""
+    step = np.rint(weights.astype(np.float64) / STEP).astype(np.int64)
+    size = np.diff(offsets)
+    total = np.zeros(len(size), np.int64)
+    for i, j in slices(offsets, CHUNK):
+        if j == i + 1:
+            # a row of any length, in parts that see two bytes of what follows
+            for at in range(offsets[i], offsets[j], CHUNK):
+                end = min(at + CHUNK, offsets[j])
+                total[i] += step[grams(data[at : min(end + 2, offsets[j])])[: end - at]].sum()
+            continue
+        own = np.flatnonzero(size[i:j])
+        if len(own):
+            spread, place = apart(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            total[i + own] = np.add.reduceat(step[grams(spread)[place]], (offsets[i:j] - offsets[i])[own])
+    return total * STEP / np.maximum(size, 1)
+
+
+def tail(s: np.ndarray, cut) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(s - cut, -40, 40)))
+
+
 def score(docs: DataFrame, weights: np.ndarray, cuts: np.ndarray) -> DataFrame:
     """doc_id, expected_grade and tails (P(grade >= 1), P(grade >= 2), ...) of every whole text."""
     levels = len(cuts) + 1
@@ -114,19 +151,11 @@ def score(docs: DataFrame, weights: np.ndarray, cuts: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            n = batch.num_rows
-            s = np.zeros(n)
-            size = np.diff(offsets)
-            for i, j in slices(offsets, CHUNK):
-                part = data[offsets[i] : offsets[j]]
-                own = np.flatnonzero(size[i:j])
-                if len(part):
-                    s[i + own] = np.add.reduceat(weights[grams(part)].astype(np.float64), (offsets[i:j] - offsets[i])[own]) / size[i + own]
-            tails = 1 / (1 + np.exp(-np.clip(s[:, None] - cuts, -40, 40))) * (size > 0)[:, None]
+            tails = tail(scores(data, offsets, weights)[:, None], cuts) * (np.diff(offsets) > 0)[:, None]
             lists = pa.FixedSizeListArray.from_arrays(pa.array(tails.ravel()), levels - 1).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(1)), lists], ["doc_id", "expected_grade", "tails"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, expected_grade double, tails array<double>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, expected_grade double, tails array<double>")
 
 
 def classify(docs: DataFrame, graded: DataFrame, keep_grade: int = 1, least: float = 0.5, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -143,13 +172,7 @@ def select(docs: DataFrame, graded: DataFrame, keep_grade: int = 1, least: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(at))
-            size, s = np.diff(offsets), np.zeros(batch.num_rows)
-            for i, j in slices(offsets, CHUNK):
-                part = data[offsets[i] : offsets[j]]
-                own = np.flatnonzero(size[i:j])
-                if len(part):
-                    s[i + own] = np.add.reduceat(w[grams(part)].astype(np.float64), (offsets[i:j] - offsets[i])[own]) / size[i + own]
-            p = 1 / (1 + np.exp(-np.clip(s - t[keep_grade - 1], -40, 40)))
-            yield batch.filter(pa.array((p >= least) & (size > 0)))
-
-    return docs.mapInArrow(run, schema)
+            p = tail(scores(data, offsets, w), t[keep_grade - 1])
+            yield batch.filter(pa.array((p >= least) & (np.diff(offsets) > 0)))
+
+    return docs.mapInArrow(tidy(run), schema)
