@@ -4,12 +4,13 @@ Base patterns give their leftmost non-overlapping matches. Splitting the text by
 gives the gaps between its matches, and the running sum of gap and match lengths gives code
 point positions, so spans need no Python. The entropy detector looks at candidate strings:
 runs of one character class. A window slides over each candidate; the counts of its
-characters change by one in and one out, and the sum of c*log2(c) follows from those two
-counts. A candidate whose best window exceeds the class threshold is reported unless an
+characters change by one in and one out, and the sum of c*log2(c) follows from those two counts. A candidate whose best window exceeds the class threshold is reported unless an
 allow-list pattern suppresses it.
 
 Defined edge cases: a null text counts as empty; texts without match have empty span strings;
-repeated rows are scanned each for itself; extra columns are ignored.
+repeated rows are scanned each for itself; a candidate of any length takes time linear in it, and
+spans of a text take n times the square root of n; extra columns, whatever their names, are ignored
+by the scan and kept by ``redact``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,56 +33,106 @@ CLASSES = (
     ("entropy_digit", r"[0-9]{24,}", "0123456789", 20, 2.9),
 )
 #: A word of a path: letters of one case, humps of three letters or more, a short number.
-_WORD = r"(?:[A-Z]?[a-z]+(?:[A-Z][a-z]{2,})*[0-9]{0,2}|[A-Z]+[0-9]{0,2}|[0-9]{1,8})"
-_PART = rf"(?:{_WORD}(?:[_-]+{_WORD})*)?"
+_WORD = r"(?:[A-Z]?[a-z]++(?:[A-Z][a-z]{2,}+)*+[0-9]{0,2}+|[A-Z]++[0-9]{0,2}+|[0-9]{1,8}+)"
+_PART = rf"(?:{_WORD}(?:[_-]++{_WORD})*+)?+"
 #: Candidates that are no secrets: pure letters, identifiers of words, ruler lines, UUIDs, paths all of whose parts are words.
+#: Possessive throughout: nothing here needs a second try, and the matcher keeps no stack for groups that repeat.
 ALLOW = (
-    r"^[A-Za-z]+$", r"^[a-z]+([_/-][a-z]+)+$", r"^(.)\1+$",
-    r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", rf"^(?:{_PART}/)+{_PART}$", r"(?i)(example|placeholder|changeme)",
+    r"^[A-Za-z]++$", r"^[a-z]++(?:[_/-][a-z]++)++$", r"^(.)\1++$",
+    r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", rf"^(?:{_PART}/)++{_PART}$", r"(?i)(?:example|placeholder|changeme)",
 )
+#: Bits of a count, and counts in a word of packed counts.
+BITS, PER_WORD = 5, 12
+
+
+def let(value: Column, body) -> Column:
+    """``body`` applied to ``value``, which is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, kind: str, start: Column, merge) -> Column:
+    """Running results of ``merge`` over an array, each with its own element, in blocks of the square root of its length.
+
+    An accumulator that grows element by element is copied at every step; within blocks that costs
+    n times the square root of n in place of n squared.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def inside(block, first):
+        step = lambda out, x: F.concat(out, F.array(merge(F.coalesce(F.try_element_at(out, F.lit(-1)), first), x).cast(kind)))
+        return F.aggregate(block, none, step)
+
+    def blocks(size):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / size).cast("int")), lambda k: F.slice(values, k * size + 1, size))
+
+    def joined(parts):
+        ends = F.transform(parts, lambda p: F.element_at(p, -1))
+        return let(
+            F.concat(F.array(start.cast(kind)), inside(ends, start)),
+            lambda before: F.flatten(F.transform(parts, lambda p, k: F.transform(p, lambda v: merge(F.get(before, k), v).cast(kind)))),
+        )
+
+    size = F.ceil(F.sqrt(F.size(values).cast("double"))).cast("int")
+    return F.when(F.size(values) == 0, none).otherwise(let(size, lambda n: let(blocks(n), lambda b: let(F.transform(b, lambda p: inside(p, start)), joined))))
 
 
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start,end,s>> of leftmost non-overlapping matches, code points, end exclusive."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
     empty = F.array().cast("array<struct<start:int,end:int,s:string>>")
-    spans = F.aggregate(
-        F.arrays_zip(found.alias("s"), F.slice(gaps, 1, F.size(found)).alias("g")),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda a, m: F.struct(
-            (a["at"] + F.length(m["g"]) + F.length(m["s"])).cast("int").alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + F.length(m["g"])).cast("int").alias("start"), (a["at"] + F.length(m["g"]) + F.length(m["s"])).cast("int").alias("end"), m["s"].alias("s")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    return F.when(text.rlike(pattern), spans).otherwise(empty)
+
+    def spans(found):
+        gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(found)), lambda g: F.length(g))
+        length = F.zip_with(found, gaps, lambda m, g: F.length(m) + g)
+        ends = running(length, "int", F.lit(0), lambda a, b: a + b)
+        return F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("s")))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.coalesce(F.size(found), F.lit(0)) > 0, spans(found)).otherwise(empty))
+
+
+def constant(values, kind: str) -> Column:
+    """A constant array; the optimiser folds it into one literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
 def window_entropy(s: Column, alphabet: str, window: int) -> Column:
     """The highest Shannon entropy, in bits a character, of any window of ``window`` characters of ``s``.
 
-    State: the counts by character of the alphabet and the sum of c*log2(c), changed by the
-    character that enters and the one that leaves.
+    State: the counts by character of the alphabet, packed twelve to a word, and the sum of
+    c*log2(c); the character that enters and the one that leaves change one count each. The window
+    starts full of a blank that has a count of its own. The time is linear in the length.
     """
-    term = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
-    bits = float(math.log2(window))
-
-    def step(a, i):
-        enters = F.position(F.substring(s, i, F.lit(1)), F.lit(alphabet)) - 1
-        leaves = F.when(i > window, F.position(F.substring(s, i - window, F.lit(1)), F.lit(alphabet)) - 1).otherwise(F.lit(-1))
-        old = F.when(leaves >= 0, F.get(a["n"], leaves)).otherwise(F.lit(0))
-        less = F.when(leaves >= 0, a["sum"] - term(old) + term(old - 1)).otherwise(a["sum"])
-        new = F.get(a["n"], enters) - F.when(leaves == enters, 1).otherwise(0)
-        total = less - term(new) + term(new + 1)
+    if window >= 1 << BITS:
+        raise ValueError("a window holds less than 32 characters")
+    bits, words, codes_ = float(math.log2(window)), len(alphabet) // PER_WORD + 1, range(len(alphabet) + 1)
+    term = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
+    # what the sum gains when a count rises from c
+    gain = constant([after - before for before, after in zip(term, term[1:])], "double")
+    word, shift = constant([k // PER_WORD for k in codes_], "int"), constant([BITS * (k % PER_WORD) for k in codes_], "int")
+    # one count of character k in word w, at k * words + w
+    one = constant([(1 << (BITS * (k % PER_WORD))) * (k // PER_WORD == w) for k in codes_ for w in range(words)], "bigint")
+    count = lambda n, code: F.call_function("shiftright", F.get(n, F.get(word, code)), F.get(shift, code)).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+
+    def step(a, x):
+        # x: the places of the characters that leave and enter; the least sum lags by one character
+        left, new = count(a["n"], x["out"]), count(a["n"], x["in"])
         return F.struct(
-            F.transform(a["n"], lambda c, k: c + F.when(k == enters, 1).otherwise(0) - F.when(k == leaves, 1).otherwise(0)).alias("n"),
-            total.alias("sum"),
-            F.when(i >= window, F.greatest(a["best"], F.lit(bits) - total / F.lit(float(window)))).otherwise(a["best"]).alias("best"),
+            F.transform(a["n"], lambda v, w: v + F.get(one, x["in"] * words + w) - F.get(one, x["out"] * words + w)).alias("n"),
+            (a["sum"] + F.when(x["in"] == x["out"], 0.0).otherwise(F.get(gain, new) - F.get(gain, left - 1))).alias("sum"),
+            (a["at"] + 1).alias("at"),
+            F.when(a["at"] >= window, F.least(a["least"], a["sum"])).otherwise(a["least"]).alias("least"),
         )
 
-    start = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), start, step, lambda a: a["best"])
+    def moves(codes):
+        return F.arrays_zip(F.slice(F.concat(F.array_repeat(F.lit(0), window), codes), F.lit(1), F.size(codes)).alias("out"), codes.alias("in"))
+
+    def best(a):
+        least = F.when(a["at"] >= window, F.least(a["least"], a["sum"])).otherwise(a["least"])
+        return F.lit(bits) - least / F.lit(float(window))
+
+    blank = constant([window] + [0] * (words - 1), "bigint")
+    start = F.struct(blank.alias("n"), F.lit(window * bits).alias("sum"), F.lit(0).alias("at"), F.lit(window * bits).alias("least"))
+    codes = F.transform(F.split(s, ""), lambda c: F.position(c, F.lit(alphabet)))
+    return let(codes, lambda k: F.aggregate(moves(k), start, step, best))
 
 
 def detectors(text: Column, classes=CLASSES, allow=ALLOW) -> dict[str, Column]:
@@ -143,17 +194,26 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     Overlapping spans are masked as one. A null text stays null.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    spans = F.array_sort(F.transform(F.concat(*detectors(text).values()), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))))
-    d = docs.withColumn("__spans", spans)
-    masked = F.aggregate(
-        F.col("__spans"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, m: F.struct(
-            F.greatest(a["at"], m["end"]).alias("at"),
-            F.when(m["start"] >= a["at"], F.concat(a["out"], F.substring(text, a["at"] + 1, m["start"] - a["at"]), F.lit(mask))).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
-    )
-    d = d.withColumn("text", F.when(F.size("__spans") > 0, masked).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return d.select(*docs.columns)
+    found = F.array_sort(F.transform(F.concat(*detectors(text).values()), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))))
+
+    def masked(spans):
+        ends = running(F.transform(spans, lambda m: m["end"]), "int", F.lit(0), F.greatest)
+
+        def pieces(chars, reach):
+            def piece(m, k):
+                done = F.get(reach, k)
+                return F.when(m["start"] >= done, F.concat(F.array_join(F.slice(chars, done + 1, m["start"] - done), ""), F.lit(mask))).otherwise("")
+
+            rest = F.array_join(F.slice(chars, F.element_at(reach, -1) + 1, F.size(chars)), "")
+            return F.concat(F.array_join(F.transform(spans, piece), ""), rest)
+
+        return let(F.split(text, ""), lambda chars: let(F.concat(F.array(F.lit(0)), ends), lambda reach: pieces(chars, reach)))
+
+    clean = let(found, lambda spans: F.when(F.size(spans) > 0, masked(spans)).otherwise(F.col("text").cast("string")))
+    if "n_chars" not in docs.columns:
+        return docs.withColumn("text", clean)
+    # the text is masked once and measured in the same expression
+    kind = docs.schema["n_chars"].dataType
+    both = let(clean, lambda t: F.struct(t.alias("text"), F.length(t).cast(kind).alias("n_chars")))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), both.alias("new"))
+    return rows.select(*[F.col(f"new.{c}" if c in ("text", "n_chars") else f"row.`{c}`").alias(c) for c in docs.columns])
