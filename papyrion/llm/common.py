@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import re
 import sys
@@ -41,12 +42,25 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/papyrion-{uuid.uuid4().hex}/{name}"
-    df.write.options(**options).parquet(path)
+    with small_batches(spark):
+        df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path.rsplit("/", 1)[0]
     return out
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, most: str = "4m"):
+    """Arrow batches of at most ``most`` bytes for the jobs inside, whatever the length of texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete the files behind materialised ``frames``, which no later plan may read."""
     for frame in frames:

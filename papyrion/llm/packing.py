@@ -6,9 +6,10 @@ groups, which pack them best-fit again, until one group is left or a round no lo
 bins. A task never holds more than ``group_rows`` residual bins, so no group grows with the
 corpus.
 
-Defined edge cases: a null text is the empty text, whose only token is the separator; an
-empty table gives an empty result; repeated rows are packed once each; extra columns are
-ignored; texts of any length are cut into pieces of at most ``capacity`` tokens.
+Defined edge cases: a null text is the empty text, whose only token is the separator; a null
+doc_id stays null and its pieces are packed like others; an empty table gives an empty result;
+repeated rows are packed once each; extra columns are ignored; texts of any length are cut into
+pieces of at most ``capacity`` tokens.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, release
+from .common import WORKER_STATE, materialise, tidy
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -113,7 +114,7 @@ class WordCache:
     @classmethod
     def of_process(cls, path: str) -> WordCache:
         """The cache of this worker process, which later tasks find filled."""
-        state = sys.modules.setdefault("papyrion_worker_state", types.ModuleType("papyrion_worker_state"))
+        state = sys.modules.setdefault(WORKER_STATE, types.ModuleType(WORKER_STATE))
         held = state.__dict__.setdefault("words", {})
         if path not in held:
             held[path] = cls(path)
@@ -153,7 +154,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
             names = ("doc_id", "piece", "start", "length", "ids_crc32", "ids")
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)][: 5 + with_ids], names[: 5 + with_ids])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECE + ", ids array<long>" * with_ids)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run, keep_state=True), PIECE + ", ids array<long>" * with_ids)
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -202,7 +203,7 @@ def _packer(capacity: int):
         out = pa.table({"bin_id": pa.array([ids[own[0]] for own in packed]), "fill": pa.array([sum(fills[i] for i in own) for own in packed], pa.int32()), "members": lists.cast(table.schema.field("members").type)})
         yield from out.to_batches(max_chunksize=4096)
 
-    return run
+    return tidy(run)
 
 
 def pack(pieces_: DataFrame, capacity: int = CAPACITY, nearly_full: float = 0.995, fan_in: int = 8, group_rows: int = 100_000, least_saving: float = 0.002) -> DataFrame:
@@ -212,10 +213,10 @@ def pack(pieces_: DataFrame, capacity: int = CAPACITY, nearly_full: float = 0.99
     into one by each round. ``group_rows``: residual bins that one task may hold. A round that
     saves less than ``least_saving`` of its bins is the last.
     """
-    member = F.struct("doc_id", "piece", "start", F.col("length"), "ids_crc32")
+    # repeated rows and null ids make equal pieces; a row's place tells them apart
     items = pieces_.select(
-        F.concat_ws("-", F.coalesce("doc_id", F.lit("null")), "piece", F.lpad(F.monotonically_increasing_id().cast("string"), 18, "0")).alias("bin_id"),
-        F.col("length").cast("int").alias("fill"), F.array(member).alias("members"),
+        F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("piece").cast("string"), F.lpad(F.monotonically_increasing_id().cast("string"), 18, "0")).alias("bin_id"),
+        F.col("length").cast("int").alias("fill"), F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32")).alias("members"),
     )
     full = F.col("fill") >= F.lit(int(nearly_full * capacity))
     table = materialise(items.mapInArrow(_packer(capacity), BIN), "bins0")
@@ -237,11 +238,12 @@ def pack(pieces_: DataFrame, capacity: int = CAPACITY, nearly_full: float = 0.99
     bins = done[0]
     for more in done[1:]:
         bins = bins.unionByName(more)
+    # the bins are stored, so a bin's place among them is its number: no two are equal
     return bins.select(
-        F.xxhash64("bin_id").alias("sequence_id"), F.posexplode("members").alias("at", "m"), "members"
-    ).select(
-        "m.*", "sequence_id",
-        F.aggregate(F.slice("members", F.lit(1), F.col("at")), F.lit(0).cast("long"), lambda a, x: a + x["length"]).alias("offset"),
+        F.monotonically_increasing_id().alias("sequence_id"), F.col("members"),
+        F.aggregate("members", F.array(F.lit(0).cast("long")), lambda a, m: F.concat(a, F.array(F.element_at(a, -1) + m["length"]))).alias("offsets"),
+    ).select("sequence_id", F.explode(F.arrays_zip("members", F.slice("offsets", F.lit(1), F.size("members")).alias("offset"))).alias("m")).select(
+        "m.members.*", "sequence_id", "m.offset"
     )
 
 

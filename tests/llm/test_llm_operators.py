@@ -438,3 +438,9 @@ def test_pipeline_stages(spark):
     assert 0.7 * n < kept.count() < n
     out = corpus_pipeline.run(spark, SF)
     assert out.where("offset + length > 2048").count() == 0 and out.select("doc_id").distinct().count() <= n
+
+
+def test_packing_keeps_null_ids_and_repeated_rows(spark, odd):
+    got = packing.pack_documents(odd, capacity=64)
+    assert got.where("doc_id is null").count() == 1 and got.where("doc_id = 4").count() == 2
+    assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
