@@ -336,6 +336,15 @@ def test_near_duplicates_odd_rows(spark, odd, none):
     assert bagminhash.classes(none).count() == 0
 
 
+def test_rows_that_share_an_id_are_kept(spark):
+    rows = [(7, "one two three four five six seven"), (7, "a wholly other text with words of its own"), (7, "one two three four five six seven"), (3, "one two three four five six seven"), (9, "b c d e f g h"), (None, "x"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.lit("mine")).withColumn("row", F.lit(1)).withColumn("node", F.lit(2))
+    got = bagminhash.deduplicate(docs)
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got.collect()) == sorted([(3, rows[0][1]), (7, rows[1][1]), (9, rows[4][1]), (0, "x"), (4, "")])
+    assert sorted((r["doc_id"] or 0, r["class_id"] or 0) for r in bagminhash.classes(docs).collect()) == sorted([(7, 3), (7, 7), (7, 3), (3, 3), (9, 9), (0, 0), (4, 4)])
+
+
 @pytest.mark.parametrize("zip64", [False, True])
 def test_zip_reader_ranges(zip64, tmp_path):
     rows = [(1, zipwarc.record(1, "http://a/\nb", b"<p>x</p>", "D", None)), (2, zipwarc.record(2, None, b"<p>x</p>", "D", 1))]
