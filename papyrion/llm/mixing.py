@@ -5,17 +5,22 @@ A naive Bayes classifier over hashed words, counted on a bounded sample of label
 is tempered to ``evidence`` words, so membership stays soft. A document of n tokens read at rate r
 adds r * n * p_k expected tokens to domain k. Rates are found by projected-gradient least squares:
 every round sums the expected totals over all documents, and each document moves its rate along
-its own posterior and back to ``least`` (zero by default) if it falls below. A rate is a function of the posterior
-and the rounds' gradients, so no state is kept between rounds but those few numbers.
+its own posterior and back to ``least`` (zero by default) if it falls below. A rate is a function of the
+posterior, rounded to steps of 1/``GRID``, and of the rounds' gradients. So the documents are summed
+once by rounded posterior, with their exact expected tokens, and the rounds run over those sums.
 
-By default the targets are tempered shares, total_k ** ``temper``, at the scale at which the
-richest domain is read once; so no domain loses documents and poor domains are read more often.
-A rate becomes copies: its whole part, and one more with the rest as probability, drawn by a hash.
+Targets are shares by domain, at the scale at which the richest domain is read once; a domain
+without a target keeps its natural share, and without any targets they are tempered shares,
+total_k ** ``temper``. ``solve`` ends when every total is within ``TOLERANCE`` of its target, when a
+round no longer brings them nearer, or after ``rounds``; its report, and the columns target,
+reached and met of ``rates``, say how far it came. A rate becomes copies: its whole part, and one more
+with the rest as probability, drawn by a hash.
 
 Defined edge cases: null and empty texts have no tokens, the prior as posterior and a rate like
-others; labels of unknown documents and null domains teach nothing; without labelled documents
-there is one domain; repeated rows get equal rates; a domain without tokens cannot be met and
-is left out; extra columns stay; an empty table gives an empty result.
+others; labels of unknown documents and null domains teach nothing, a repeated document teaches
+once; without labelled documents there is one domain; repeated rows get equal rates; a domain
+without tokens cannot be met and is left out; extra columns stay, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,14 +30,16 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import MAX_TEXT, materialise, release
 
 BUCKETS = 4096
 MAX_ROWS = 4000
 EVIDENCE = 16.0
 TEMPER = 0.7
-ROUNDS = 30
+ROUNDS = 200
 TOLERANCE = 1e-3
+#: Steps of a posterior in one.
+GRID = 256
 
 
 def buckets(text: Column) -> Column:
@@ -54,15 +61,19 @@ def let(value: Column, body) -> Column:
 def classifier(docs: DataFrame, labelled: DataFrame, max_rows: int = MAX_ROWS, smoothing: float = 0.5) -> tuple[list[str], list[float], list[list[float]]]:
     """Domains, their log priors, and the log-probability of each bucket under each domain.
 
-    ``labelled`` has doc_id and domain; of repeated labels the smallest domain counts.
+    ``labelled`` has doc_id and domain; of repeated labels the smallest domain counts. Texts over
+    64 KiB are not learned from, so ``max_rows`` bounds the bytes too.
     """
     picked = (
         labelled.where(F.col("doc_id").isNotNull() & F.col("domain").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text is not null")
+    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= MAX_TEXT)
+    sample = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "domain").agg(F.min("text").alias("text"))
+    sample = materialise(sample.select("domain", "text"), "sample")
     counts = sample.select("domain", F.explode(buckets(F.col("text"))).alias("bucket")).groupBy("domain", "bucket").count().collect()
     sizes = {r["domain"]: r["count"] for r in sample.groupBy("domain").count().collect()}
+    release(sample)
     domains = sorted({r["domain"] for r in counts})
     if not domains:
         return ["all"], [0.0], [[0.0] * BUCKETS]
@@ -95,64 +106,86 @@ def membership(text: Column, priors: list[float], rows: list[list[float]], evide
     )
 
 
-def rate(p: Column, gradients: list[list[float]], least: float = 0.0) -> Column:
-    """The rate of a document: from 1, a step along its posterior for each round, projected to ``least`` and more."""
+def rounded(p: Column) -> Column:
+    """A posterior in steps of 1/``GRID``."""
+    return F.transform(p, lambda x: F.rint(x * GRID).cast("int"))
+
+
+def rate(q: Column, gradients: list[list[float]], least: float = 0.0) -> Column:
+    """The rate of a document with rounded posterior q: from 1, a step along it for each round, projected to ``least`` and more."""
     r = F.lit(1.0)
     for g in gradients:
-        step = sum((F.get(p, F.lit(k)) * F.lit(x) for k, x in enumerate(g) if x), F.lit(0.0))
+        step = sum((F.get(q, F.lit(k)) * F.lit(x / GRID) for k, x in enumerate(g) if x), F.lit(0.0))
         r = F.greatest(F.lit(least), r - step)
     return r
 
 
-def solve(members: DataFrame, domains: list[str], targets: dict[str, float] | None = None, temper: float = TEMPER, rounds: int = ROUNDS, least: float = 0.0) -> tuple[list[list[float]], dict]:
-    """Gradients of all rounds, and targets, natural and reached totals; ``members`` has n and p.
+def sums(members: DataFrame, domains: list[str]) -> DataFrame:
+    """Expected tokens t of each domain by rounded posterior q; ``members`` has n and p."""
+    tokens = [F.sum(F.col("n") * F.get("p", F.lit(i))) for i in range(len(domains))]
+    return members.where("n > 0").groupBy(rounded(F.col("p")).alias("q")).agg(F.array(*tokens).alias("t"))
 
-    ``targets`` are shares by domain; their scale is the largest at which no rate must fall below
-    one for a document of the richest domain.
-    """
+
+def solve(by_q: DataFrame, domains: list[str], targets: dict[str, float] | None = None, temper: float = TEMPER, rounds: int = ROUNDS, least: float = 0.0) -> tuple[list[list[float]], dict]:
+    """Gradients of all rounds, and a report: natural, target and reached totals, and whether all targets are met."""
     k = range(len(domains))
-    total = lambda r: [F.coalesce(F.sum(F.col("n") * r * F.get("p", F.lit(i))), F.lit(0.0)) for i in k]
-    natural = list(members.agg(*total(F.lit(1.0))).first())
+    total = lambda r: [x or 0.0 for x in by_q.agg(*[F.sum(r * F.get("t", F.lit(i))) for i in k]).first()]
+    natural = total(F.lit(1.0))
     known = [i for i in k if natural[i] > 0]
-    weight = [((targets or {}).get(domains[i], 0.0) if targets else natural[i] ** temper) if i in known else 0.0 for i in k]
+    if not known:
+        return [], {"natural": natural, "target": natural, "reached": natural, "met": True}
+    every = sum(natural)
+    wanted = lambda i: targets.get(domains[i], natural[i] / every) if targets else natural[i] ** temper
+    weight = [wanted(i) if i in known else 0.0 for i in k]
     paid = [i for i in known if weight[i] > 0]
     if not paid:
-        return [], {"natural": natural, "target": natural, "reached": natural}
+        return [], {"natural": natural, "target": [0.0] * len(domains), "reached": natural, "met": False}
     scale = max(natural[i] / weight[i] for i in paid)
     target = [scale * w for w in weight]
+    gap = lambda now: max(abs(now[i] - target[i]) / max(target[i], TOLERANCE * sum(target)) for i in known)
     gradients: list[list[float]] = []
-    reached = natural
-    for _ in range(rounds):
-        if max(abs(reached[i] - target[i]) / max(target[i], TOLERANCE * sum(target)) for i in known) < TOLERANCE:
+    reached, best = natural, math.inf
+    while gap(reached) >= TOLERANCE and len(gradients) < rounds:
+        far = sum((reached[i] - target[i]) ** 2 for i in known)
+        if far > best * (1 - 1e-6):
             break
+        best = far
         gradients.append([(reached[i] - target[i]) / natural[i] if i in known else 0.0 for i in k])
-        reached = list(members.agg(*total(rate(F.col("p"), gradients, least))).first())
-    return gradients, {"natural": natural, "target": target, "reached": reached}
+        reached = total(rate(F.col("q"), gradients, least))
+    return gradients, {"natural": natural, "target": target, "reached": reached, "met": gap(reached) < TOLERANCE}
+
 
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, keep: list[str] | None = None, max_rows: int = MAX_ROWS, temper: float = TEMPER, least: float = 0.0, seed: int = 17) -> tuple[DataFrame, dict]:
+    """row (a struct of the ``keep`` columns, all by default), doc_id, domain, p, n, rate and copies of every document, and the report of ``solve`` with the domains.
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, max_rows: int = MAX_ROWS, temper: float = TEMPER, least: float = 0.0, seed: int = 17) -> DataFrame:
-    """``docs`` with __n, __p, __domain, __rate and __copies columns."""
+    Membership is computed once, over one pass of the texts, and stored.
+    """
     domains, priors, rows = classifier(docs, labelled, max_rows)
     own = membership(F.col("text").cast("string"), priors, rows)
-    members = materialise(docs.select(own.alias("m")).select("m.n", "m.p"), "members")
-    gradients, _ = solve(members, domains, targets, temper, least=least)
-    named = docs.withColumn("__m", own).withColumns({"__n": F.col("__m.n"), "__p": F.col("__m.p")}).drop("__m")
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    d = named.withColumn("__rate", rate(F.col("__p"), gradients, least))
-    return d.withColumns({
-        "__domain": F.element_at(F.array(*map(F.lit, domains)), F.array_position("__p", F.array_max("__p")).cast("int")),
-        "__copies": (F.floor("__rate") + F.when(draw < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)).cast("int"),
-    })
+    row = F.struct(*[docs[c] for c in (docs.columns if keep is None else keep)])
+    members = materialise(docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), own.alias("m")).select("row", "doc_id", "m.n", "m.p"), "members")
+    by_q = materialise(sums(members, domains), "sums")
+    gradients, report = solve(by_q, domains, targets, temper, least=least)
+    release(by_q)
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    d = members.withColumn("rate", rate(rounded(F.col("p")), gradients, least))
+    return d.select(
+        "row", "doc_id", F.element_at(F.array(*map(F.lit, domains)), F.array_position("p", F.array_max("p")).cast("int")).alias("domain"), "p", "n", "rate",
+        (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int").alias("copies"),
+    ), report | {"domains": domains}
 
 
 def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, **options) -> DataFrame:
-    """doc_id, domain, posterior of that domain, n_tokens, rate and copies of every document."""
-    return mix(docs, labelled, targets, **options).select(
-        "doc_id", F.col("__domain").alias("domain"), F.array_max("__p").alias("posterior"), F.col("__n").alias("n_tokens"), F.col("__rate").alias("rate"), F.col("__copies").alias("copies")
+    """doc_id, domain, posterior of that domain, n_tokens, rate and copies of every document; target and reached tokens of its domain, and met: all targets are."""
+    d, report = mix(docs, labelled, targets, keep=["doc_id"], **options)
+    place = F.array_position(F.array(*map(F.lit, report["domains"])), F.col("domain")).cast("int") - 1
+    return d.select(
+        "doc_id", "domain", F.array_max("p").alias("posterior"), F.col("n").alias("n_tokens"), "rate", "copies",
+        F.get(literal(report["target"]), place).alias("target"), F.get(literal(report["reached"]), place).alias("reached"), F.lit(report["met"]).alias("met"),
     )
 
 
 def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, **options) -> DataFrame:
     """Every document as many times as its copies say, with the columns of ``docs``."""
-    d = mix(docs, labelled, targets, **options).where("__copies > 0")
-    return d.withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    d, _ = mix(docs, labelled, targets, **options)
+    return d.where("copies > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")

@@ -387,7 +387,8 @@ def test_mixing_meets_targets(spark):
     domains, priors, rows = mixing.classifier(docs, labelled)
     own = mixing.membership(F.col("text"), priors, rows)
     members = docs.select(own.alias("m")).select("m.n", "m.p").cache()
-    gradients, got = mixing.solve(members, domains, targets)
+    gradients, got = mixing.solve(mixing.sums(members, domains), domains, targets)
+    assert got["met"] and not mixing.solve(mixing.sums(members, domains), domains, targets, rounds=1)[1]["met"]
     assert all(abs(a - b) / b < 0.01 for a, b in zip(got["reached"], got["target"]))
     total = sum(got["target"])
     assert all(abs(t / total - targets[d]) < 1e-9 for t, d in zip(got["target"], domains))
@@ -396,12 +397,38 @@ def test_mixing_meets_targets(spark):
         assert abs(sum(r["m"]["p"]) - 1) < 1e-9 and r["m"]["n"] == len(r["text"].split())
 
 
+def test_mixing_against_plain_python(spark):
+    """Posteriors and rates of op9 from the same counts and gradients, computed without Spark."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labelled = entries.domains(spark, docs, SF)
+    domains, priors, rows = mixing.classifier(docs, labelled)
+    got = {r["doc_id"]: r for r in entries.op9_soft_mixing(spark, SF).collect()}
+    hashed = docs.select("doc_id", mixing.buckets(F.col("text")).alias("b")).collect()
+    posterior, tokens = {}, {}
+    for r in hashed:
+        logs = [prior + mixing.EVIDENCE * sum(row[x] for x in r["b"]) / max(1, len(r["b"])) for prior, row in zip(priors, rows)]
+        e = np.exp(np.array(logs) - max(logs))
+        posterior[r["doc_id"]], tokens[r["doc_id"]] = e / e.sum(), len(r["b"])
+    p, n = np.array(list(posterior.values())), np.array(list(tokens.values()))
+    q = np.rint(p * mixing.GRID) / mixing.GRID
+    natural = n @ p
+    target = max(natural[i] / entries.WEIGHTS[d] for i, d in enumerate(domains)) * np.array([entries.WEIGHTS[d] for d in domains])
+    r = np.ones(len(n))
+    while np.max(np.abs((n * r) @ p - target) / target) >= mixing.TOLERANCE:
+        r = np.maximum(0, r - q @ (((n * r) @ p - target) / natural))
+    for k, doc in enumerate(posterior):
+        assert abs(got[doc]["rate"] - r[k]) < 1e-6 and abs(got[doc]["posterior"] - p[k].max()) < 1e-9 and got[doc]["n_tokens"] == n[k]
+        assert got[doc]["met"] and abs(got[doc]["target"] - target[domains.index(got[doc]["domain"])]) < 1e-6 * target.sum()
+
+
 def test_mixing_odd_rows(spark, odd, none, labels):
     labelled = odd.where("text is not null").select("doc_id", F.col("lang").alias("domain")).union(spark.createDataFrame([(99, "x"), (None, "y"), (4, None)], "doc_id long, domain string"))
     got = mixing.rates(odd, labelled).collect()
     assert len(got) == len(ODD) + 2 and all(r["rate"] >= 0 for r in got)
     kept = mixing.resample(odd, labelled, least=1.0)
     assert kept.columns == odd.columns and kept.count() >= len(ODD) + 2
+    clash = odd.withColumn("row", F.lit(1)).withColumn("p", F.lit(2)).withColumn("rate", F.lit("x")).withColumn("domain", F.lit(3))
+    assert mixing.resample(clash, labelled, least=1.0).columns == clash.columns
     assert mixing.rates(none, labelled).count() == 0 and mixing.rates(odd, labelled.limit(0)).count() == len(ODD) + 2
 
 
