@@ -39,7 +39,7 @@ def detect(cells: DataFrame, rows: DataFrame, table_rows: DataFrame) -> DataFram
     median = under.join(total, SHEET).where("upto > floor(all / 2)").groupBy(*SHEET).agg(F.min("size").alias("median"))
     r = per_row.join(sheet, SHEET).join(median, SHEET, "left").join(table_rows.select(*SHEET, "row").distinct().withColumn("in_table", F.lit(True)), [*SHEET, "row"], "left")
     t, bold, size = F.col("first.t"), F.coalesce("first.is_bold", F.lit(False)), F.coalesce("first.size", F.lit(11.0))
-    bare = (t == "") | t.rlike(r"^[0-9０-９]+$") | ((F.length(t) <= 1) & ~t.rlike(r"\p{L}"))
+    bare = (t == "") | t.rlike(r"^[0-9０-９]+$") | ((F.length(t) <= 1) & ~t.rlike(r"[a-zA-Z\x{3000}-\x{9FFF}]"))
     is_table = (F.col("n") > 4) & (F.col("wide") > 0.4)
     mid = F.coalesce("median", F.lit(11.0))
     by_font = F.when(size >= mid + 4, 0).when(size >= mid + 2, 1).otherwise(2)
@@ -62,55 +62,53 @@ def nest_sheet(rows: list[tuple[int, int, str | None]]) -> list[int | None]:
     parents: list[int | None] = []
     by_number: dict[str, int] = {}
     lists: dict[int, tuple[int, int | None]] = {}
-    path: list[int] = []
-    kids: dict[int | None, int] = {}
+    tops: list[int] = []
+    last: dict[int, int] = {}  # the last child of a heading
     levels = [depth + 1 for _, depth, _ in rows]
+    least = None  # no heading so far is shallower
 
     def hang(k: int, parent: int | None) -> None:
         parents.append(parent)
-        kids[parent] = k
+        if parent is None:
+            tops.append(k)
+        else:
+            last[parent] = k
+
+    def shallower(level: int) -> int | None:
+        """The deepest heading of a smaller level on the rightmost path of the last top heading that has one."""
+        if least is None or least >= level:
+            return None
+        for top in reversed(tops):
+            found, at = None, top
+            while at is not None:
+                found, at = at if levels[at] < level else found, last.get(at)
+            if found is not None:
+                return found
+        return None
 
     for k, (_, depth, number) in enumerate(rows):
+        parent, known, tail = None, lists.get(depth), None
+        parts = number.split(".") if number is not None else []
         if number is not None:
             by_number[number] = k
-            parts = number.split(".")
-            up = next((by_number[p] for i in range(len(parts) - 1, 0, -1) if (p := ".".join(parts[:i])) in by_number), None)
-            if up is not None:
-                hang(k, up)
-                continue
-        tail = int(number.split(".")[-1]) if number is not None and number.replace(".", "").isdigit() else None
-        known = lists.get(depth)
-        if tail is not None:
+            tail = int(parts[-1]) if all(p.isdigit() for p in parts) else None
+        prefix = next((by_number[p] for i in range(len(parts) - 1, 0, -1) if (p := ".".join(parts[:i])) in by_number), None)
+        if prefix is not None:
+            hang(k, prefix)
+        else:
             if known and tail == 1 and known[0] >= 1 and k and k - 1 != known[1]:
-                hang(k, k - 1)
-                lists[depth] = (tail, k - 1)
-                continue
-            if known and tail > known[0] and known[1] is not None:
-                hang(k, known[1])
-                lists[depth] = (tail, known[1])
-                continue
-        # the rightmost path hangs below every top node in turn; only the last one of each level counts
-        path, at = [], kids.get(None)
-        while at is not None:
-            path.append(at)
-            at = kids.get(at)
-        tops = [i for i, p in enumerate(parents) if p is None]
-        order = [x for top in tops[:-1] for x in _right(top, kids)] + path
-        up = next((i for i in reversed(order) if levels[i] < levels[k]), None)
-        hang(k, up)
-        if tail is not None:
-            lists[depth] = (tail, up)
+                parent = k - 1
+            elif known and tail is not None and tail > known[0] and known[1] is not None:
+                parent = known[1]
+            else:
+                parent = shallower(levels[k])
+            hang(k, parent)
+            if tail is not None:
+                lists[depth] = (tail, parent)
+        least = levels[k] if least is None else min(least, levels[k])
     return parents
 
 
-def _right(top: int, kids: dict) -> list[int]:
-    out, at = [], top
-    while at is not None:
-        out.append(at)
-        at = kids.get(at)
-    return out
-
-
 def nest(headings: DataFrame) -> DataFrame:
     """parent_row of each heading; a task holds the headings of one sheet, never its cells."""
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..model import SHEET
 
+# Words of subtotal rows, texts that are dates.
 SUBTOTAL = r"(?iu)小計|合計|subtotal|total|sum|tổng|cộng"
 DATE = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}"
 # Kinds of numbering in order of precedence.
@@ -69,20 +70,28 @@ def most_frequent(cells: DataFrame, by: list[str], value: str, name: str) -> Dat
     return n.groupBy(*by).agg(F.max_by(value, F.struct("n", -F.col("first"))).alias(name))
 
 
+def commonest(values: Column) -> Column:
+    """The commonest element of an array; of equally common ones, the first."""
+    scored = F.transform(F.array_distinct(values), lambda v: F.struct(F.size(F.filter(values, lambda x: x == v)).alias("n"), (-F.array_position(values, v)).alias("first"), v.alias("v")))
+    return F.array_max(scored)["v"]
+
+
 def rows(cells: DataFrame, merges: DataFrame | None = None) -> DataFrame:
-    """Filled and bold columns, numeric, strike and merge flags and the commonest colours of each row."""
+    """Filled and bold columns, numeric, strike and merge flags and the commonest colours of each row; the cells move once."""
     key = [*SHEET, "row"]
+    tint = lambda c: F.sort_array(F.collect_list(F.when(filled() & F.col(c).isNotNull(), F.struct("pos", F.col(c).alias("v")))))
     out = cells.groupBy(*key).agg(
         F.sum(filled().cast("int")).cast("long").alias("filled_cols"), F.sum((filled() & F.col("is_bold")).cast("int")).cast("long").alias("bold_cols"),
         F.coalesce(F.bool_or(F.col("v_kind") == "number"), F.lit(False)).alias("has_numeric"), F.coalesce(F.bool_or("is_strike"), F.lit(False)).alias("is_strike"),
+        tint("fill_color").alias("fills"), tint("font_color").alias("fonts"), F.max("col").alias("last_col"),
     )
-    solid = cells.where(filled())
-    out = out.join(most_frequent(solid, key, "fill_color", "fill_color"), key, "left").join(most_frequent(solid, key, "font_color", "font_color"), key, "left")
+    of = lambda c: commonest(F.transform(c, lambda x: x["v"]))
+    out = out.withColumn("fill_color", of("fills")).withColumn("font_color", of("fonts")).drop("fills", "fonts")
     if merges is None:
-        return out.withColumn("merged_across", F.lit(False))
-    wide = topology(merges).where("is_horizontal").join(extents(cells), SHEET).where("span_cols >= 0.6 * max_col")
-    flags = wide.select(*SHEET, F.col("start_row").alias("row"), F.lit(True).alias("m")).distinct()
-    return out.join(flags, key, "left").withColumn("merged_across", F.coalesce("m", F.lit(False))).drop("m")
+        return out.drop("last_col").withColumn("merged_across", F.lit(False))
+    wide = topology(merges).where("is_horizontal").groupBy(*SHEET, F.col("start_row").alias("row")).agg(F.max("span_cols").alias("span"))
+    across = F.coalesce(F.col("span") >= 0.6 * F.max("last_col").over(W.partitionBy(*SHEET)), F.lit(False))
+    return out.join(wide, key, "left").withColumn("merged_across", across).drop("last_col", "span")
 
 
 def colours(cells: DataFrame, column: str = "fill_color") -> DataFrame:

@@ -16,30 +16,61 @@ from ..model import SHEET
 #: The fill of header rows, the measure columns; fixed values.
 HEADER_FILL = "#205EB5"
 FIRST_MEASURE, LAST_MEASURE = 4, 11
-SUBTOTAL = r"(?iu)小計|合計|subtotal|total|sum|tổng|cộng"
+#: Subtotal words of a row's label (the sheet profile knows more), and step labels.
+SUBTOTAL = r"(?iu)小計|合計|subtotal|total"
 STEP = r"(?i)^Step\s*\d+"
 KEY = [*SHEET, "row"]
 
 
-def classify(cells: DataFrame) -> DataFrame:
-    """Type, label and cancelled flag of each row: one aggregation, then one CASE."""
-    at = lambda c, v: F.max(F.when(F.col("col") == c, v))
+def packed(cells: DataFrame) -> DataFrame:
+    """One row per sheet row: type, label, is_cancelled, filled, its cells in order of position, and the header texts of its sheet.
+
+    The cells move once, by sheet; rows, their types and the header of a sheet are made where they
+    land. ``heads`` has the label and the key of each column: the first line of its cell in the
+    sheet's first header row. A row has no more cells than a sheet has columns.
+    """
     clean = text.strip(F.coalesce("v_text", F.lit("")))
-    r = cells.groupBy(*KEY).agg(
-        F.bool_or(F.upper("fill_color") == HEADER_FILL).alias("header"), at(1, F.col("is_bold")).alias("a_bold"), at(1, clean).alias("a"), at(3, F.col("is_bold")).alias("c_bold"),
-        at(2, clean).alias("b"), at(3, clean).alias("c"), F.bool_or(F.col("col").between(FIRST_MEASURE, LAST_MEASURE) & (F.col("v_kind") == "number")).alias("measured"),
-        F.coalesce(F.bool_or("is_strike"), F.lit(False)).alias("is_cancelled"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(clean != "", F.struct("pos", clean.alias("t"))))), lambda x: x["t"]), " | ").alias("joined"),
-        F.sum((clean != "").cast("int")).cast("long").alias("filled"),
-    )
-    a, b, c = (F.coalesce(x, F.lit("")) for x in ("a", "b", "c"))
-    bold = F.coalesce("c_bold", F.lit(False))
+    cell = F.struct("pos", "col", "v_kind", "v_num", "v_text", clean.alias("t"), F.coalesce("is_bold", F.lit(False)).alias("bold"), (F.upper("fill_color") == HEADER_FILL).alias("head"), F.coalesce("is_strike", F.lit(False)).alias("strike"))
+    r = cells.select(*KEY, cell.alias("c")).repartition(*SHEET).groupBy(*KEY).agg(F.sort_array(F.collect_list("c")).alias("cells"))
+    first = lambda col, field: F.get(F.transform(F.filter("cells", lambda x: x["col"] == col), lambda x: x[field]), F.lit(0))
+    a, b, c = (F.coalesce(first(k, "t"), F.lit("")) for k in (1, 2, 3))
+    a_bold, c_bold = (F.coalesce(first(k, "bold"), F.lit(False)) for k in (1, 3))
+    measured = F.exists("cells", lambda x: x["col"].between(FIRST_MEASURE, LAST_MEASURE) & (x["v_kind"] == "number"))
+    r = r.select(*KEY, "cells", a.alias("a"), b.alias("b"), c.alias("c"), a_bold.alias("a_bold"), c_bold.alias("c_bold"), measured.alias("measured"))
+    a, b, c, bold = F.col("a"), F.col("b"), F.col("c"), F.col("c_bold")
     kind = (
-        F.when(F.col("header"), "HEADER").when(F.coalesce("a_bold", F.lit(False)) & (a != ""), "CATEGORY").when(c == "", "EMPTY")
-        .when(bold & c.rlike(STEP), "STEP").when(bold & c.rlike(SUBTOTAL), "SUBTOTAL").when(bold & ~F.coalesce("measured", F.lit(False)), "SUBSECTION").otherwise("TASK")
+        F.when(F.exists("cells", lambda x: F.coalesce(x["head"], F.lit(False))), "HEADER").when(F.col("a_bold") & (a != ""), "CATEGORY").when(c == "", "EMPTY")
+        .when(bold & c.rlike(STEP), "STEP").when(bold & c.rlike(SUBTOTAL), "SUBTOTAL").when(bold & ~F.col("measured"), "SUBSECTION").otherwise("TASK")
     )
-    label = F.when(kind == "HEADER", F.col("joined")).when(kind == "CATEGORY", F.concat_ws(" ", *[F.nullif(x, F.lit("")) for x in (a, b, c)])).when(kind == "EMPTY", "").otherwise(c)
-    return r.select(*KEY, kind.alias("type"), label.alias("label"), "is_cancelled", "filled")
+    r = r.withColumn("type", kind)
+    joined = F.array_join(F.transform(F.filter("cells", lambda x: x["t"] != ""), lambda x: x["t"]), " | ")
+    kind = F.col("type")
+    label = F.when(kind == "HEADER", joined).when(kind == "CATEGORY", F.concat_ws(" ", *[F.nullif(x, F.lit("")) for x in (a, b, c)])).when(kind == "EMPTY", "").otherwise(c)
+    # of a column's header cells the last one counts
+    line = lambda x: F.substring_index(x["t"], "\n", 1)
+    named = F.transform(F.filter("cells", lambda x: x["v_text"].isNotNull() & (line(x) != "")), lambda x: F.struct(x["col"].alias("col"), line(x).alias("label"), text.key(line(x)).alias("key")))
+    last = text.let(named, lambda all_: F.filter(all_, lambda x, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda y: y["col"] == x["col"])))
+    heads = F.map_from_entries(F.transform(last, lambda x: F.struct(x["col"], F.struct(x["label"].alias("label"), x["key"].alias("key")))))
+    whole = W.partitionBy(*SHEET)
+    r = r.select(
+        *KEY, "type", label.alias("label"), F.exists("cells", lambda x: x["strike"]).alias("is_cancelled"), F.size(F.filter("cells", lambda x: x["t"] != "")).cast("long").alias("filled"),
+        "cells", F.when(kind == "HEADER", heads).alias("own"),
+    )
+    return r.withColumn("heads", F.min_by("own", F.when(kind == "HEADER", F.col("row"))).over(whole)).drop("own")
+
+
+def measures(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``packed`` with ``values``: key -> (kind, number, text) of the cells from the first measure column on; the last cell of a key wins."""
+    key = lambda x: F.coalesce(F.try_element_at("heads", x["col"])["key"], text.key(F.concat(F.lit("col_"), address.letters(x["col"]))))
+    found = F.transform(F.filter("cells", lambda x: x["col"] >= FIRST_MEASURE), lambda x: F.struct(key(x).alias("key"), F.struct(x["v_kind"].alias("kind"), x["v_num"].alias("num"), x["v_text"].alias("text")).alias("value")))
+    return rows.withColumn("found", found).withColumn(
+        "values", F.map_from_entries(F.filter("found", lambda x, i: ~F.exists(F.slice("found", i + 2, F.size("found")), lambda y: y["key"] == x["key"])))
+    ).drop("found")
+
+
+def classify(cells: DataFrame) -> DataFrame:
+    """Type, label and cancelled flag of each row."""
+    return packed(cells).select(*KEY, "type", "label", "is_cancelled", "filled")
 
 
 def type_counts(rows: DataFrame) -> DataFrame:
@@ -69,42 +100,29 @@ def sql_indexable(rows: DataFrame, merges: DataFrame | None = None) -> DataFrame
     return d.select(*SHEET, flat.alias("sql_indexable"), reason.alias("reason"))
 
 
-def headers(cells: DataFrame, rows: DataFrame) -> DataFrame:
-    """The label of each column: the first line of its cell in the first header row."""
-    first = rows.where("type = 'HEADER'").groupBy(*SHEET).agg(F.min("row").alias("row"))
-    line = F.substring_index(text.strip(F.col("v_text")), "\n", 1)
-    return cells.join(first, KEY).where("v_text is not null").withColumn("label", line).where("label <> ''").groupBy(*SHEET, "col").agg(F.max_by("label", "pos").alias("header"))
-
-
-def keyed(cells: DataFrame, rows: DataFrame, heads: DataFrame, types: list[str]) -> DataFrame:
-    """Measure cells of rows of the given types, with the key of their column; the last cell of a key wins."""
-    own = cells.where(f"col >= {FIRST_MEASURE}").join(rows.where(F.col("type").isin(*types)).select(*KEY, "type", "label", "is_cancelled"), KEY)
-    name = F.coalesce("header", F.concat(F.lit("col_"), address.letters(F.col("col"))))
-    k = own.join(heads, [*SHEET, "col"], "left").withColumn("key", text.key(name))
-    return k.groupBy(*KEY, "key").agg(F.max_by(F.struct("v_kind", "v_num", "v_text"), "pos").alias("v")).select(*KEY, "key", "v.*")
-
-
-def totals(values: DataFrame) -> DataFrame:
-    """Sums of the numbers of every subtotal row by key."""
-    return values.where("v_kind = 'number'").groupBy(*SHEET, "key").agg(F.sum(F.col("v_num").cast("decimal(30,6)")).cast("double").alias("total"))
+def totals(rows: DataFrame) -> DataFrame:
+    """Sums of the numbers of every subtotal row by key; ``rows`` of ``measures``."""
+    v = rows.where("type = 'SUBTOTAL'").select(*SHEET, F.explode("values").alias("key", "v")).where("v.kind = 'number'")
+    return v.groupBy(*SHEET, "key").agg(F.sum(F.col("v.num").cast("decimal(30,6)")).cast("double").alias("total"))
 
 
-def records(values: DataFrame, rows: DataFrame) -> DataFrame:
-    """One record for each task row: task, cancelled, and its values by key."""
-    v = values.where("key <> 'task' and v_text <> ''")
-    shown = F.when(F.col("v_kind") == "string", text.ellipsis(F.col("v_text"), 300)).otherwise(F.col("v_text"))
-    maps = v.groupBy(*KEY).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", shown.alias("value"))))).alias("attrs"))
-    return rows.where("type = 'TASK'").select(*KEY, text.ellipsis(F.col("label"), 200).alias("task"), F.col("is_cancelled").alias("cancelled")).join(maps, KEY, "left")
+def records(rows: DataFrame) -> DataFrame:
+    """One record for each task row: task, cancelled, and its values by key; ``rows`` of ``measures``."""
+    shown = lambda v: F.when(v["kind"] == "string", text.ellipsis(v["text"], 300)).otherwise(v["text"])
+    attrs = F.transform_values(F.map_filter("values", lambda k, v: (k != "task") & F.coalesce(text.strip(v["text"]) != "", F.lit(False))), lambda k, v: shown(v))
+    return rows.where("type = 'TASK'").select(*KEY, text.ellipsis(F.col("label"), 200).alias("task"), F.col("is_cancelled").alias("cancelled"), F.map_from_entries(F.sort_array(F.map_entries(attrs))).alias("attrs"))
 
 
-def flat_types(cells: DataFrame, rows: DataFrame, heads: DataFrame) -> DataFrame:
-    """Label, key and type of each column over the task rows."""
-    used = cells.where("v_text is not null").join(rows.where("type = 'TASK'").select(*KEY), KEY)
-    kinds = used.groupBy(*SHEET, "col").agg(F.sort_array(F.collect_set("v_kind")).alias("kinds"))
-    all_ = heads.select(*SHEET, "col").union(kinds.select(*SHEET, "col")).distinct().join(heads, [*SHEET, "col"], "left").join(kinds, [*SHEET, "col"], "left")
-    label = F.coalesce("header", F.concat(F.lit("col_"), address.letters(F.col("col"))))
+def flat_types(rows: DataFrame) -> DataFrame:
+    """Label, key and type of each column over the task rows; ``rows`` of ``packed``."""
+    task = F.col("type") == "TASK"
+    used = rows.select(*SHEET, F.explode(F.filter("cells", lambda x: x["v_text"].isNotNull())).alias("c"), task.alias("task"))
+    kinds = used.groupBy(*SHEET, F.col("c.col").alias("col")).agg(F.collect_set(F.when(F.col("task"), F.col("c.v_kind"))).alias("kinds"))
+    heads = rows.groupBy(*SHEET).agg(F.first("heads").alias("heads")).select(*SHEET, F.explode("heads").alias("col", "head"))
+    all_ = kinds.join(heads, [*SHEET, "col"], "full")
+    label = F.coalesce("head.label", F.concat(F.lit("col_"), address.letters(F.col("col"))))
     kind = F.when(F.coalesce(F.size("kinds"), F.lit(0)) < 1, "string").when(F.size("kinds") == 1, F.get("kinds", F.lit(0))).otherwise("mixed")
-    return all_.select(*SHEET, "col", label.alias("label"), text.key(label).alias("key"), kind.alias("data_type"))
+    return all_.select(*SHEET, "col", label.alias("label"), F.coalesce("head.key", text.key(label)).alias("key"), kind.alias("data_type"))
 
 
 def groups(rows: DataFrame) -> DataFrame:
@@ -124,10 +142,12 @@ def groups(rows: DataFrame) -> DataFrame:
     r = r.withColumn("s2", row_of(is_("SUBSECTION") & (F.col("row") > F.col("s1")), w1))
     run = lambda cond, *by: F.count_if(cond).over(W.partitionBy(*SHEET, *by).orderBy("row").rowsBetween(W.unboundedPreceding, 0))
     r = r.withColumn("category_no", run(is_("CATEGORY"))).withColumn("step_no", run(is_("STEP"), "cat"))
+    # a subsection's number starts again with every category and step
+    r = r.withColumn("sub_no", run(is_("SUBSECTION"), "cat", "step_no"))
     lead = is_("CATEGORY", "STEP", "SUBSECTION")
     own = F.when(lead, F.col("row")).otherwise(F.coalesce("s2", "s1", "s0"))
     parent = F.when(lead & (F.col("row") == F.col("s0")), None).when(lead & (F.col("row") == F.col("s1")), F.col("s0")).when(lead, F.col("s1")).otherwise(own)
-    return r.select(*KEY, "type", "label", "is_cancelled", "s0", "s1", "s2", "category_no", "step_no", own.alias("group_row"), parent.cast("int").alias("parent_row"))
+    return r.select(*KEY, "type", "label", "is_cancelled", "s0", "s1", "s2", "category_no", "step_no", "sub_no", own.alias("group_row"), parent.cast("int").alias("parent_row"))
 
 
 def group_ranges(grouped: DataFrame) -> DataFrame:

@@ -222,30 +222,25 @@ def sql_indexable(spark, d):
     return tables.sql_indexable(tables.classify(views.star(spark, d)), views.merges(spark, d))
 
 
-def _keyed(spark, d, *types):
-    c = views.star(spark, d)
-    rows = tables.classify(c)
-    return tables.keyed(c, rows, tables.headers(c, rows), list(types)), rows
+def _measures(spark, d):
+    return tables.measures(tables.packed(views.star(spark, d)))
 
 
 @query(f"""WITH {STAR_SQL} SELECT doc_id, sheet_idx, row_no AS "row", c AS task, strike AS cancelled, concat(CAST(q AS DECIMAL(18,2)), '') AS quantity, concat(CAST(p AS DECIMAL(18,2)), '') AS price, concat(CAST(d AS DECIMAL(18,2)), '') AS giam_gia FROM rows_ WHERE kind = 'TASK'""")
 def flat_records(spark, d):
-    v, rows = _keyed(spark, d, "TASK")
-    return tables.records(v, rows).select("doc_id", "sheet_idx", "row", "task", "cancelled", *[F.col("attrs")[k].alias(k) for k in ("quantity", "price", "giam_gia")])
+    return tables.records(_measures(spark, d)).select("doc_id", "sheet_idx", "row", "task", "cancelled", *[F.col("attrs")[k].alias(k) for k in ("quantity", "price", "giam_gia")])
 
 
 @query(f"""WITH {STAR_SQL}, t AS (SELECT doc_id, sheet_idx, bool_or(kind = 'TASK') AS has FROM rows_ GROUP BY ALL)
 SELECT doc_id, sheet_idx, col, label, "key", CASE WHEN has THEN CASE WHEN col < 4 THEN CASE WHEN col = 3 THEN 'string' ELSE 'string' END ELSE 'number' END ELSE 'string' END AS data_type
 FROM t, (VALUES (1, 'Customer', 'customer'), (3, 'Task name', 'task_name'), (4, 'Quantity', 'quantity'), (5, 'Price', 'price'), (6, 'Giảm giá', 'giam_gia'), (7, 'Tax', 'tax')) v(col, label, "key")""")
 def flat_types(spark, d):
-    c = views.star(spark, d)
-    rows = tables.classify(c)
-    return tables.flat_types(c, rows, tables.headers(c, rows))
+    return tables.flat_types(tables.packed(views.star(spark, d)))
 
 
 @query(f"""WITH {STAR_SQL} SELECT doc_id, sheet_idx, "key", CAST(sum(CAST(v AS DECIMAL(30,6))) AS DOUBLE) AS total FROM (SELECT doc_id, sheet_idx, 'quantity' AS "key", q AS v FROM rows_ WHERE kind = 'SUBTOTAL' UNION ALL SELECT doc_id, sheet_idx, 'price', p FROM rows_ WHERE kind = 'SUBTOTAL') GROUP BY ALL""")
 def totals(spark, d):
-    return tables.totals(_keyed(spark, d, "SUBTOTAL")[0])
+    return tables.totals(_measures(spark, d))
 
 
 @query(f"""WITH {STAR_SQL}, {CLASSES_SQL}, {GROUPS_SQL} SELECT doc_id, sheet_idx, "row", type, CAST(group_row AS INTEGER) AS group_row, CAST(coalesce(parent_row, -1) AS INTEGER) AS parent_row,
@@ -379,8 +374,7 @@ def pdf_lines(spark, d):
 
 @query(f"""WITH {STAR_SQL} SELECT doc_id, sheet_idx, row_no AS "row", CAST(2 + 2 + (q IS NOT NULL)::INT + (p IS NOT NULL)::INT + (d IS NOT NULL)::INT + (t IS NOT NULL)::INT AS INTEGER) AS n_lines FROM rows_ WHERE kind = 'TASK'""")
 def json_line_count(spark, d):
-    v, rows = _keyed(spark, d, "TASK")
-    r = tables.records(v, rows)
+    r = tables.records(_measures(spark, d))
     return r.select("doc_id", "sheet_idx", "row", chunks.record_lines(F.lit(2) + F.coalesce(F.size("attrs"), F.lit(0))).cast("int").alias("n_lines"))
 
 
