@@ -85,3 +85,21 @@ def document_id(where: Column) -> Column:
 def number(x: Column) -> Column:
     """A number as text, whole numbers without a fraction."""
     return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
+
+
+def join_path(parent: Column, child: Column) -> Column:
+    """A label below a path; blank parts are left out."""
+    part = lambda x: F.nullif(path(F.coalesce(x, F.lit(""))), F.lit(""))
+    return F.concat_ws(" › ", part(parent), part(child))
+
+
+def slug(x: Column) -> Column:
+    """A label as an ASCII identifier of at most 40 characters; ``item`` if none is left."""
+    y = F.regexp_replace(F.trim(F.regexp_replace(F.lower(x), r"[^A-Za-z0-9_\s-]", "")), r"\s+", "_")
+    return F.coalesce(F.nullif(F.substring(y, 1, 40), F.lit("")), F.lit("item"))
+
+
+def json_string(x: Column) -> Column:
+    """A text as a JSON string; null stays null."""
+    whole = F.to_json(F.array(x))
+    return F.when(x.isNotNull(), F.substring(whole, F.lit(2), F.length(whole) - 2))

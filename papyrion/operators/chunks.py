@@ -116,3 +116,15 @@ def fold_events(events: DataFrame) -> DataFrame:
         F.count_if(F.col("kind") == "chunk").alias("chunks"), F.count_if(F.col("kind") == "asset").alias("assets"),
         F.max_by(F.when(F.col("kind") == "tree", F.col("payload")), F.when(F.col("kind") == "tree", F.col("seq"))).alias("tree"), F.bool_or(F.col("kind") == "done").alias("done"),
     )
+
+
+def fallback_stats(chunks: DataFrame) -> DataFrame:
+    """Chunks of each document and the tokens that they name, for documents that were never finished."""
+    return chunks.groupBy("doc_id").agg(F.count("*").alias("chunk_count"), F.sum(F.coalesce("tokens", F.lit(0))).cast("long").alias("token_estimate"))
+
+
+def progress(done: DataFrame, of: str = "n_pages", first: int = 15, share: int = 75) -> DataFrame:
+    """pct: how far each document is, from ``first`` on, as its pages are done; a tenth of the pages, or the last, makes news."""
+    pct = F.lit(first) + F.floor(F.col("page") / F.col(of) * share + 0.5)
+    every = F.greatest(F.lit(1), F.floor(F.col(of) / 10))
+    return done.withColumn("pct", pct.cast("int")).where((F.col("page") % every == 0) | (F.col("page") == F.col(of)))

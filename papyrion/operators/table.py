@@ -125,8 +125,8 @@ def flat_types(rows: DataFrame) -> DataFrame:
     return all_.select(*SHEET, "col", label.alias("label"), F.coalesce("head.key", text.key(label)).alias("key"), kind.alias("data_type"))
 
 
-def groups(rows: DataFrame) -> DataFrame:
-    """Rows of the hierarchy with their group: s0, s1, s2 (start rows of category, step, subsection level) and ordinals."""
+def groups(rows: DataFrame, *extra: str) -> DataFrame:
+    """Rows of the hierarchy with their group: s0, s1, s2 (start rows of category, step, subsection level), ordinals and ``extra`` columns."""
     w = W.partitionBy(*SHEET).orderBy("row").rowsBetween(W.unboundedPreceding, 0)
     row_of = lambda cond, window=w: F.last(F.when(cond, F.col("row")), ignorenulls=True).over(window)
     is_ = lambda *kinds: F.col("type").isin(*kinds)
@@ -147,7 +147,7 @@ def groups(rows: DataFrame) -> DataFrame:
     lead = is_("CATEGORY", "STEP", "SUBSECTION")
     own = F.when(lead, F.col("row")).otherwise(F.coalesce("s2", "s1", "s0"))
     parent = F.when(lead & (F.col("row") == F.col("s0")), None).when(lead & (F.col("row") == F.col("s1")), F.col("s0")).when(lead, F.col("s1")).otherwise(own)
-    return r.select(*KEY, "type", "label", "is_cancelled", "s0", "s1", "s2", "category_no", "step_no", "sub_no", own.alias("group_row"), parent.cast("int").alias("parent_row"))
+    return r.select(*KEY, "type", "label", "is_cancelled", "s0", "s1", "s2", "category_no", "step_no", "sub_no", own.alias("group_row"), parent.cast("int").alias("parent_row"), *extra)
 
 
 def group_ranges(grouped: DataFrame) -> DataFrame:
@@ -169,3 +169,21 @@ def keywords(words: DataFrame, by: list[str], stop: list[str], most: int = 6) ->
     n = found.where((F.length("token") >= 3) & ~low.isin(*stop)).groupBy(*by, "token").agg(F.count("*").alias("n"), F.min(F.struct("pos", "k")).alias("first"))
     rank = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("n"), "first"))
     return n.withColumn("rank", rank).where(F.col("rank") <= most).select(*by, "rank", "token", "n")
+
+
+#: Words that are no keywords.
+STOP_WORDS = (
+    "và", "của", "cho", "các", "là", "với", "theo", "từ", "trên", "tại",
+    "một", "những", "này", "đó", "đã", "sẽ", "có", "không", "để", "bằng",
+    "the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "by", "with",
+    "tổng", "cộng", "small", "sub", "subtotal", "total",
+)
+#: Columns whose texts give keywords, and how many of a group's twelve commonest words a summary shows.
+KEYWORD_COLUMNS, KEYWORDS_SHOWN = 6, 6
+
+
+def is_table_sheet(cells: DataFrame) -> DataFrame:
+    """Whether a sheet looks like a table: a bold wide row among the first three, and five rows with three numbers or more."""
+    r = cells.groupBy(*KEY).agg(F.count("*").alias("n"), F.count_if(F.coalesce("is_bold", F.lit(False))).alias("bold"), F.count_if(F.col("v_kind") == "number").alias("numbers"))
+    head = (F.col("row") <= 3) & (F.col("bold") >= 3) & (F.col("n") >= 5)
+    return r.groupBy(*SHEET).agg((F.bool_or(head) & (F.count_if(F.col("numbers") >= 3) >= 5)).alias("is_table"))

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import address, text
 from ..operators import chunks, enrich, headings, outline, profile, regions, table as tables, tree
 from . import views
+from .registry import QUERIES, SQL, query
 from .views import LINES_SQL, MERGES_SQL, STAR_SQL, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
 
 ROW_PROFILE_SQL = """
 profile AS (SELECT doc_id, sheet_idx, "row", sum(CASE WHEN v_text <> '' THEN 1 ELSE 0 END) AS filled_cols, sum(CASE WHEN v_text <> '' AND is_bold THEN 1 ELSE 0 END) AS bold_cols,
@@ -29,18 +26,6 @@ grouped AS (SELECT *, CASE WHEN type IN ('CATEGORY', 'STEP') THEN "row" ELSE coa
 """
 
 
-def query(sql: str | None = None):
-    """Register a query function under its own name, with its SQL if there is one."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
 @query("SELECT lang, count(*) AS chunk_count, CAST(sum(ceil(length(text) / 4.0)) AS BIGINT) AS token_estimate FROM documents GROUP BY lang")
 def doc_stats_by_lang(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("chunk_count"), F.sum(text.tokens(F.col("text"))).alias("token_estimate"))
@@ -498,3 +483,6 @@ def compressed_rows(spark, d):
 SELECT doc_id, sheet_idx, "row", concat('R', "row", '|', string_agg(concat(chr(CAST(64 + col AS INTEGER)), ':', substr(v_text, 1, 50), CASE WHEN flags <> '' THEN concat(':', flags) ELSE '' END), '|' ORDER BY col)) AS line FROM parts GROUP BY "row", doc_id, sheet_idx""")
 def compressed_rows_whole(spark, d):
     return outline.compressed(views.star(spark, d))
+
+
+from . import documents  # noqa: E402, F401 -- registers its queries

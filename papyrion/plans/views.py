@@ -2,7 +2,8 @@
 
 LINES: a document is a sheet, a line is a row, a field between bars is a cell. STAR: a nation is
 a workbook, a customer is a sheet with a header row, a category row, a step row for each order,
-task rows for its lines and a subtotal row. PARTS: a brand is a sheet, a part is a row. All
+task rows for its lines and a subtotal row. UNEVEN: a customer is a sheet whose orders are rows
+of any type in any order, with empty rows between them, ragged cells, and not always a header. All
 window functions stay within one customer, brand or document.
 """
 
@@ -105,3 +106,46 @@ MERGES_SQL = """
 merges AS (SELECT doc_id, sheet_idx, row_no AS start_row, row_no AS end_row, 1 AS start_col, 7 AS end_col FROM rows_ WHERE kind = 'CATEGORY'
   UNION ALL SELECT doc_id, sheet_idx, row_no, row_no + 1, 2, 2 FROM rows_ WHERE kind = 'STEP')
 """
+
+UNEVEN_ROWS = """
+SELECT concat('book', CAST(ck % 25 AS {s})) AS doc_id, CAST(ck AS INT) AS sheet_idx, CAST(sum(step) OVER (PARTITION BY ck ORDER BY ok ROWS UNBOUNDED PRECEDING) AS INT) AS row_no,
+       CASE WHEN rn = 1 AND ck % 3 = 0 THEN 'HEADER' WHEN k = 0 THEN 'CATEGORY' WHEN k IN (1, 2) THEN 'STEP' WHEN k IN (3, 4) THEN 'SUBSECTION' WHEN k = 5 THEN 'SUBTOTAL' WHEN k = 6 THEN 'EMPTY' ELSE 'TASK' END AS kind,
+       ok, k, priority, status, price
+FROM (
+  SELECT o_custkey AS ck, o_orderkey AS ok, o_orderkey % 13 AS k, CASE WHEN o_orderkey % 5 = 0 THEN 3 ELSE 1 END AS step, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn,
+         o_orderpriority AS priority, o_orderstatus AS status, CAST(o_totalprice AS DECIMAL(18,2)) AS price FROM {orders}
+) x
+"""
+#: Column, kind of value, number, text and condition of each cell of an uneven sheet.
+_UNEVEN_CELLS = (
+    (1, "string", None, "concat('Group ', CAST(ok AS {s}))", "kind = 'CATEGORY'"), (1, "string", None, "'No'", "kind = 'HEADER'"), (2, "string", None, "priority", "kind = 'CATEGORY'"), (2, "string", None, "'note'", "kind = 'EMPTY'"),
+    (3, "string", None, "CASE kind WHEN 'HEADER' THEN 'Task name' WHEN 'STEP' THEN concat('Step ', CAST(k AS {s}), ': ', priority) WHEN 'SUBSECTION' THEN concat('Summary of ', priority) WHEN 'SUBTOTAL' THEN 'Subtotal' ELSE concat('Check ', status, ' order ', CAST(ok AS {s})) END", "kind IN ('HEADER', 'STEP', 'SUBSECTION', 'SUBTOTAL', 'TASK')"),
+    (4, "number", "price", "CAST(price AS {s})", "kind IN ('SUBTOTAL', 'TASK')"), (4, "string", None, "'Total'", "kind = 'HEADER'"),
+    (5, "number", "ok", "CAST(ok AS {s})", "(kind = 'SUBTOTAL' OR kind = 'TASK' AND ok % 2 = 0)"), (5, "string", None, "'Giảm giá'", "kind = 'HEADER'"),
+    (6, "string", None, "priority", "kind = 'TASK' AND ok % 3 = 0"), (6, "string", None, "'Ghi chú'", "kind = 'HEADER'"),
+)
+
+
+def _uneven_cells(q: str, s: str) -> str:
+    cell = """SELECT doc_id, sheet_idx, row_no AS {q}row{q}, {col} AS col, CAST(row_no AS BIGINT) * 100 + {col} AS pos, '{kind}' AS v_kind, CAST({num} AS DOUBLE) AS v_num, {text} AS v_text, CAST(NULL AS {s}) AS formula,
+  kind NOT IN ('TASK', 'EMPTY') AS is_bold, CASE WHEN kind = 'HEADER' THEN '#205eb5' END AS fill_color, CAST(NULL AS {s}) AS font_color, kind = 'TASK' AND ok % 4 = 0 AS is_strike FROM uneven_rows WHERE {where}"""
+    return "\nUNION ALL\n".join(cell.format(q=q, s=s, col=col, kind=kind, num=num or "NULL", text=text.format(s=s), where=where) for col, kind, num, text, where in _UNEVEN_CELLS)
+
+
+#: DuckDB: WITH clauses that define the uneven sheets under the names uneven_rows and cells.
+UNEVEN_SQL = "uneven_rows AS (" + UNEVEN_ROWS.format(orders="orders", s="VARCHAR") + "), cells AS (" + _uneven_cells('"', "VARCHAR") + ")"
+
+
+def uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of the uneven sheets: each row is opened into its cells in one pass."""
+    rows = spark.sql(UNEVEN_ROWS.format(orders="{orders}", s="STRING"), orders=table(spark, sf_dir, "orders"))
+    cells = [
+        F.when(F.expr(where), F.struct(F.lit(col).alias("col"), F.lit(kind).alias("v_kind"), F.expr(f"CAST({num or 'NULL'} AS DOUBLE)").alias("v_num"), F.expr(text.format(s="STRING")).alias("v_text")))
+        for col, kind, num, text, where in _UNEVEN_CELLS
+    ]
+    kind, none = F.col("kind"), F.lit(None).cast("string")
+    r = rows.withColumn("cell", F.explode(F.filter(F.array(*cells), lambda x: x.isNotNull())))
+    return r.select(
+        "doc_id", "sheet_idx", F.col("row_no").alias("row"), "cell.col", (F.col("row_no").cast("long") * 100 + F.col("cell.col")).alias("pos"), "cell.v_kind", "cell.v_num", "cell.v_text", none.alias("formula"),
+        (~kind.isin("TASK", "EMPTY")).alias("is_bold"), F.when(kind == "HEADER", "#205eb5").alias("fill_color"), none.alias("font_color"), ((kind == "TASK") & (F.col("ok") % 4 == 0)).alias("is_strike"),
+    )
