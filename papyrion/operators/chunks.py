@@ -110,9 +110,9 @@ def trim_samples(sampled: DataFrame, lines: DataFrame, most: int = 2000) -> Data
     return d.where("keep").select(*SHEET, "row", "kind")
 
 
-def fold_events(events: DataFrame) -> DataFrame:
+def fold_events(events: DataFrame, *by) -> DataFrame:
     """Events of each document folded: chunks and assets counted, the last tree kept, whether it is done."""
-    return events.groupBy("doc_id").agg(
+    return events.groupBy("doc_id", *by).agg(
         F.count_if(F.col("kind") == "chunk").alias("chunks"), F.count_if(F.col("kind") == "asset").alias("assets"),
         F.max_by(F.when(F.col("kind") == "tree", F.col("payload")), F.when(F.col("kind") == "tree", F.col("seq"))).alias("tree"), F.bool_or(F.col("kind") == "done").alias("done"),
     )

@@ -1,7 +1,8 @@
 """Positioned text items of PDF files, for plain and deflated content streams with simple fonts.
 
 Reads the page tree, decodes content streams and follows the text operators (Tf, Td, TD, Tm, T*, Tj,
-TJ, ' and "). Encrypted files, object streams and composite fonts give no items.
+TJ, ' and "), with objects that are packed into streams. Encrypted and broken files give an error row;
+text in composite fonts is taken byte by byte.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..model import PDF_ITEMS
+from .shared import stored
 
 _TOKEN = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s/\[\]()<>]+|[-+]?\d*\.?\d+|[A-Za-z'\"*]+[0-9]?\*?", re.S)
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
@@ -93,6 +96,9 @@ def parse(content: bytes) -> list[list[tuple[str, float, float, float, float]]]:
     """Items of each page in page order."""
     objects = {int(m[1]): m[2] for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", content, re.S)}
 
+    if re.search(rb"/Encrypt\s+\d+\s+\d+\s+R", content):
+        raise ValueError("the file is encrypted")
+
     def stream(n: int) -> bytes:
         body = objects.get(n, b"")
         m = re.search(rb"stream\r?\n(.*?)\r?\n?endstream", body, re.S)
@@ -100,6 +106,15 @@ def parse(content: bytes) -> list[list[tuple[str, float, float, float, float]]]:
             return b""
         return zlib.decompressobj().decompress(m[1]) if b"/FlateDecode" in body[: m.start()] else m[1]
 
+    # objects that are packed into streams
+    for n in [k for k, b in objects.items() if re.search(rb"/Type\s*/ObjStm\b", b[:400])]:
+        count, first = (int(m[1]) if (m := re.search(rb"/%s\s+(\d+)" % name, objects[n])) else 0 for name in (b"N", b"First"))
+        body = stream(n)
+        places = [int(x) for x in body[:first].split()[: 2 * count]]
+        ends = [*places[3::2], len(body) - first]
+        for number, at, end in zip(places[::2], places[1::2], ends):
+            objects.setdefault(number, body[first + at : first + end])
+
     def pages(n: int, depth: int = 0) -> Iterator[int]:
         body = objects.get(n, b"")
         kids = re.search(rb"/Kids\s*\[(.*?)\]", body, re.S)
@@ -119,16 +134,36 @@ def parse(content: bytes) -> list[list[tuple[str, float, float, float, float]]]:
     return out
 
 
-def items(spark: SparkSession, path) -> DataFrame:
-    """Positioned text items of every PDF file under ``path``."""
-    files = spark.read.format("binaryFile").load(path).select(text.document_id(F.col("path")).alias("doc_id"), "content")
+class Files(NamedTuple):
+    """Frames of the PDF files under a path: documents (doc_id, title), pages (doc_id, page), items, errors (doc_id, title, error)."""
+
+    documents: DataFrame
+    pages: DataFrame
+    items: DataFrame
+    errors: DataFrame
+
+
+def read(spark: SparkSession, path) -> Files:
+    """All PDF files under ``path``, each parsed once; a file that can't be read gives a row of ``errors``."""
+    files = spark.read.format("binaryFile").load(path).select(text.document_id(F.col("path")).alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("title"), "content")
+    names = ["part", "title", "error", "doc_id", "page", "pos", "str", "x", "y", "width", "height"]
+    kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = (None,) * 6
         for batch in batches:
-            for doc, content in zip(*(batch.column(k).to_pylist() for k in range(2))):
-                rows = [(doc, p + 1, k, *item) for p, page in enumerate(parse(content)) for k, item in enumerate(page)]
-                columns = list(zip(*rows)) if rows else [[]] * 8
-                kinds = (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "page", "pos", "str", "x", "y", "width", "height"])
-
-    return files.mapInArrow(run, PDF_ITEMS)
+            for doc, title, content in zip(*(batch.column(k) for k in range(3))):
+                doc, title = doc.as_py(), title.as_py()
+                try:
+                    pages = parse(content.as_py())
+                    if not pages:
+                        raise ValueError("no page was found")
+                    rows = [("document", title, None, doc, None, *none)] + [("page", None, None, doc, p, *none) for p in range(1, len(pages) + 1)]
+                    rows += [("item", None, None, doc, p + 1, k, *item) for p, page in enumerate(pages) for k, item in enumerate(page)]
+                except Exception as e:  # any broken file is an error row, never a failed job
+                    rows = [("error", title, f"{type(e).__name__}: {e}", doc, None, *none)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+    rows = stored(files.mapInArrow(run, "part string, title string, error string, " + PDF_ITEMS), "pdf")
+    frame = lambda part, *own: rows.where(F.col("part") == part).select(*own)
+    return Files(frame("document", "doc_id", "title"), frame("page", "doc_id", "page"), frame("item", *names[3:]), frame("error", "doc_id", "title", "error"))

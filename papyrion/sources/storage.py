@@ -51,6 +51,10 @@ class Store:
             out.close()
         return f"{doc_id}/{name}"
 
+    def exists(self, doc_id: str, name: str) -> bool:
+        path = self.jvm.org.apache.hadoop.fs.Path(self.resolve(f"{doc_id}/{name}"))
+        return path.getFileSystem(self.conf).exists(path)
+
     def put_json(self, doc_id: str, name: str, value) -> str:
         return self.put(doc_id, name, json.dumps(value, indent=2, ensure_ascii=False).encode())
 

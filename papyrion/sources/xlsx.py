@@ -1,18 +1,21 @@
 """Excel workbooks: cells with styles, sheets, merges.
 
-Files are read with Spark, one row a file;
-``cells(spark, path)``, ``sheets(spark, path)`` and ``merges(spark, path)`` read through
-``binaryFile``, so any file system that Spark reads will do. Parsing uses the standard library.
+``read(spark, path)`` reads through ``binaryFile``, so any file system that Spark reads will do,
+and parses each file once: its cells, sheets and merges are stored as one tagged table that the
+three frames are read from. A file that can't be parsed gives a row of ``errors`` and nothing else.
+Comma-separated files are workbooks of one sheet. Parsing uses the standard library.
 """
 
 from __future__ import annotations
 
+import csv
 import io
 import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
+from typing import NamedTuple
 from xml.etree import ElementTree as ET
 
 import pyarrow as pa
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..model import CELLS, MERGES, SHEETS
+from .shared import stored
 
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -126,31 +130,61 @@ def parse(doc_id: str, content: bytes) -> tuple[list[dict], list[dict], list[dic
     return cells, sheets, merges
 
 
-def _read(spark: SparkSession, path, part: int, schema: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path).select(text.document_id(F.col("path")).alias("doc_id"), "content")
+def parse_csv(doc_id: str, name: str, content: bytes) -> tuple[list[dict], list[dict], list[dict]]:
+    """A comma-separated file as a workbook of one sheet; numbers are what ``float`` reads without loss of form."""
+    cells, far = [], [0, 0]
+    for r, line in enumerate(csv.reader(io.StringIO(content.decode("utf-8-sig", "replace"))), 1):
+        for c, raw in enumerate(line, 1):
+            number = float(raw) if re.fullmatch(r"-?(?:0|[1-9]\d{0,14})(?:\.\d+)?", raw) else None
+            value = {"v_kind": "string", "v_num": None, "v_str": raw, "v_text": raw} if number is None else {"v_kind": "number", "v_num": number, "v_str": None, "v_text": _number(raw)}
+            far = [r, max(far[1], c)]
+            cells.append({
+                "doc_id": doc_id, "sheet_idx": 0, "sheet": name, "row": r, "col": c, "ref": None, "pos": len(cells) + 1, **value, "v_bool": None, "formula": None,
+                "is_bold": False, "font_size": None, "is_merged": False, "is_strike": False, "fill_color": None, "font_color": None,
+            })
+    return cells, [{"doc_id": doc_id, "sheet_idx": 0, "sheet": name, "max_row": far[0], "max_col": far[1], "hidden": False}], []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in schema.split(", ")]
-        kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
-        types = [kinds[c.split()[1]] for c in schema.split(", ")]
-        for batch in batches:
-            for doc, content in zip(*(batch.column(k).to_pylist() for k in range(2))):
-                rows = parse(doc, content)[part]
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types)], names)
 
-    return files.mapInArrow(run, schema)
+class Workbooks(NamedTuple):
+    """Frames of the workbooks under a path: documents (doc_id, title), cells, sheets, merges, errors (doc_id, title, error)."""
+
+    documents: DataFrame
+    cells: DataFrame
+    sheets: DataFrame
+    merges: DataFrame
+    errors: DataFrame
 
 
-def cells(spark: SparkSession, path) -> DataFrame:
-    """The cells of every workbook under ``path``."""
-    return _read(spark, path, 0, CELLS)
+def _columns(schema: str) -> list[tuple[str, str]]:
+    return [tuple(c.split()) for c in schema.split(", ")]
 
 
-def sheets(spark: SparkSession, path) -> DataFrame:
-    """The sheets of every workbook: name, extents over all cells, hidden flag."""
-    return _read(spark, path, 1, SHEETS)
+def read(spark: SparkSession, path) -> Workbooks:
+    """All workbooks under ``path``, each parsed once."""
+    files = spark.read.format("binaryFile").load(path).select(text.document_id(F.col("path")).alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("title"), "content")
+    parts = (_columns(CELLS), _columns(SHEETS), _columns(MERGES))
+    columns = dict([("part", "string"), ("title", "string"), ("error", "string")] + [c for part in parts for c in part])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
 
-def merges(spark: SparkSession, path) -> DataFrame:
-    """The merged ranges of every workbook."""
-    return _read(spark, path, 2, MERGES)
+        def batch_of(rows: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds[t]) for n, t in columns.items()], list(columns))
+
+        for batch in batches:
+            for doc, title, content in zip(*(batch.column(k) for k in range(3))):
+                doc, title, content = doc.as_py(), title.as_py(), content.as_py()
+                try:
+                    found = parse_csv(doc, title.rsplit(".", 1)[0], content) if title.lower().endswith(".csv") else parse(doc, content)
+                except Exception as e:  # any broken file is an error row, never a failed job
+                    yield batch_of([{"part": "error", "doc_id": doc, "title": title, "error": f"{type(e).__name__}: {e}"}])
+                    continue
+                yield batch_of([{"part": "document", "doc_id": doc, "title": title}])
+                for part, rows in zip(("cells", "sheets", "merges"), found):
+                    for k in range(0, len(rows), 10_000):
+                        yield batch_of([{"part": part, **r} for r in rows[k : k + 10_000]])
+
+    rows = stored(files.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in columns.items())), "workbooks")
+    frame = lambda part, own: rows.where(F.col("part") == part).select(*[n for n, _ in own])
+    both = [("doc_id", ""), ("title", "")]
+    return Workbooks(frame("document", both), *(frame(n, p) for n, p in zip(("cells", "sheets", "merges"), parts)), frame("error", [*both, ("error", "")]))
