@@ -1,37 +1,45 @@
 """WARC archives packaged in ZIP files, read by ranges.
 
-A package is a ZIP file of stored members: an archive of WARC records and an index with one line
-for each record (page, offset, length, type, digest). The reader takes anything that gives bytes
-by offset and length: it finds the end record, follows the ZIP64 locator where there is one,
-parses the central directory with its ZIP64 extra fields, locates the stored members, reads the
-index and then each record by its own range. Nothing is extracted.
+A package is a ZIP file of stored members in the shared folder: an archive of WARC records, each a
+gzip member of its own, and an index with one line for each record (page, offset, length). The
+reader takes anything that gives bytes by offset and length: it finds the end record, follows the ZIP64 locator
+where there is one, parses the central directory with its ZIP64 extra fields, locates the stored
+members, reads the index and then each record by its own range. Nothing is extracted.
 
 Pages with equal payloads are written once: the record with the smallest page_id is a response,
-the others are revisits that name it.
+the others are revisits that name it. Payloads move only with rows that may be a response, the
+smallest ids so far of their payload in their partition; the other rows move with a digest alone.
 
 Defined edge cases: a null html is the empty payload; repeated pages are written each; rows with
 a null page_id are responses of their own; line breaks in urls are escaped; extra columns are
-ignored; an empty table gives an empty result.
+ignored; an empty table gives an empty result. A task that is run again writes packages of other
+names, and only those of the run that counts are read.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
+import math
 import struct
+import uuid
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 -- pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release, shared_dir, tidy
 
 #: Payload bytes after which a package is closed.
 PACKAGE_BYTES = 4_000_000
-ARCHIVE, INDEX = "archive/data.warc", "indexes/index.cdx"
+#: Package bytes that one reading task is given, unless there are cores to spare.
+READ_BYTES = 128_000_000
+ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 
 
 class Range:
@@ -50,7 +58,8 @@ class FileRange(Range):
 
     def __init__(self, file):
         self.file, self.read_bytes = file, 0
-        self.size = file.seek(0, io.SEEK_END)
+        file.seek(0, io.SEEK_END)
+        self.size = file.tell()
 
     def read(self, offset: int, length: int) -> bytes:
         self.read_bytes += length
@@ -105,7 +114,9 @@ def index(source: Range, members: dict | None = None) -> list[tuple[int, int]]:
 
 
 def parse(record: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and block of one record."""
+    """Headers and block of one record, packed or plain."""
+    if record[:2] == b"\x1f\x8b":
+        record = gzip.decompress(record)
     end = record.index(b"\r\n\r\n")
     lines = record[:end].decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
@@ -122,13 +133,13 @@ def records(source: Range) -> Iterator[tuple[dict[str, str], bytes]]:
         yield parse(source.read(base + offset, length))
 
 
-def record(page_id, url: str, payload: bytes, digest: str, refers_to) -> bytes:
-    """A WARC record: the payload in a response, none in a revisit."""
+def record(page_id, url: str, payload: bytes | None, digest: str, refers_to, size: int | None = None) -> bytes:
+    """A WARC record: the payload in a response, none (its ``size`` is enough) in a revisit."""
     url = (url or "").replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if url and ("\r" in url or "\n" in url) else url or ""
     kind = "response" if refers_to is None else "revisit"
     head = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", "WARC-Date: 2000-01-01T00:00:00Z", f"WARC-Target-URI: {url}",
-        f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {len(payload)}",
+        f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {len(payload) if size is None else size}",
     ]
     if refers_to is not None:
         head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
@@ -150,27 +161,66 @@ def package(rows: list[tuple[object, bytes]], zip64: bool = False) -> bytes:
     return out.getvalue()
 
 
-def write(pages: DataFrame, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
-    """Packages (name, content) that hold a record for every row of ``pages``."""
+def opened(uri: str):
+    """The file system of a uri and the path in it; any that Arrow knows."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
+def lean(rows: DataFrame) -> DataFrame:
+    """``rows`` (page_id, url, payload) with digest and size; the payload is null where a row of the partition before it has a smaller id and the same payload."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[bytes, int] = {}
+        for batch in batches:
+            digests, sizes, keep = [], [], []
+            for page, payload in zip(batch.column(0).to_pylist(), batch.column(2)):
+                data = payload.as_buffer()
+                key = hashlib.sha1(data).digest()
+                digests.append(key)
+                sizes.append(data.size)
+                keep.append(page is None or page <= least.get(key, page))
+                if page is not None and page <= least.get(key, page):
+                    least[key] = page
+            payload = pa.compute.if_else(pa.array(keep, pa.bool_()), batch.column(2), pa.scalar(None, pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), payload, pa.array(digests, pa.binary()), pa.array(sizes, pa.int64())], ["page_id", "url", "payload", "digest", "size"])
+
+    return rows.mapInArrow(tidy(run), "page_id long, url string, payload binary, digest binary, size long")
+
+
+def write(pages: DataFrame, package_bytes: int = PACKAGE_BYTES, least_bytes: int = 0) -> DataFrame:
+    """Write packages that hold a record for every row of ``pages`` into the shared folder: name (a uri), size, records.
+
+    Payloads under ``least_bytes`` are responses each.
+    """
+    folder = f"{shared_dir(pages.sparkSession)}/papyrion-{uuid.uuid4().hex}/packages"
     p = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"),
-    ).withColumn("digest", F.sha1("payload"))
-    first = p.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    rows = p.join(first, "digest", "left").select("page_id", "url", "payload", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
+    )
+    p = materialise(lean(p), "lean", compression="zstd")
+    large = p.where(F.col("size") >= least_bytes)
+    first = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    refers = F.when((F.col("size") >= least_bytes) & (F.col("first") != F.col("page_id")), F.col("first"))
+    # a page that refers to another needs no payload
+    rows = p.join(first, "digest", "left").withColumn("refers_to", refers).select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "digest", "size", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = opened(folder)
+        store.create_dir(base, recursive=True)
         held, size = [], 0
 
         def close():
-            content = package(held)
-            return pa.RecordBatch.from_arrays([pa.array([hashlib.sha1(content).hexdigest() + ".zip"]), pa.array([content], pa.binary())], ["name", "content"])
+            name, content = f"{uuid.uuid4().hex}.zip", package(held)
+            with store.open_output_stream(f"{base}/{name}") as out:
+                out.write(content)
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(content)], pa.int64()), pa.array([len(held)], pa.int64())], ["name", "size", "records"])
 
         for batch in batches:
-            for page, url, payload, refers in zip(*(batch.column(k) for k in range(4))):
-                page, payload = page.as_py(), payload.as_py()
-                digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                data = record(page, url.as_py(), payload, digest, refers.as_py())
+            for page, url, payload, digest, length, refers in zip(*(batch.column(k) for k in range(6))):
+                page, digest = page.as_py(), base64.b32encode(digest.as_py()).decode()
+                data = gzip.compress(record(page, url.as_py(), payload.as_py(), digest, refers.as_py(), length.as_py()), 3, mtime=0)
                 held.append((page, data))
                 size += len(data)
                 if size >= package_bytes:
@@ -179,35 +229,42 @@ def write(pages: DataFrame, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
         if held:
             yield close()
 
-    return rows.mapInArrow(run, "name string, content binary")
+    names = materialise(rows.mapInArrow(tidy(run), "name string, size long, records long"), "names")
+    release(p)
+    return names
 
 
 def read(packages: DataFrame, with_payload: bool = True) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to (and the payload) of every record of the packages."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to (and the payload) of every record of the packages (name, size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = lambda v: None if (x := v.split(":")[-1].rstrip(">")) == "None" else int(x)
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+        names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload")
+        made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)][: 5 + with_payload], names[: 5 + with_payload])
         for batch in batches:
-            for content in batch.column(0):
+            for name in batch.column(0).to_pylist():
+                store, path = opened(name)
                 out: tuple[list, ...] = ([], [], [], [], [], [])
-                for head, block in records(Range(content.as_buffer())):
-                    digest = head["warc-payload-digest"].removeprefix("sha1:")
-                    response = head["warc-type"] == "response"
-                    if response:
-                        # what is reported of a response is what was read
-                        digest = base64.b32encode(hashlib.sha1(block).digest()).decode()
-                    refers = head.get("warc-refers-to")
-                    row = (number(head["warc-record-id"]), len(block) if response else int(head["warc-payload-length"]), digest, head["warc-type"], number(refers) if refers else None, block)
-                    for column, v in zip(out, row):
-                        column.append(v)
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
-                names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload")
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)][: 5 + with_payload], names[: 5 + with_payload])
+                with store.open_input_file(path) as file:
+                    for head, block in records(FileRange(file)):
+                        digest = head["warc-payload-digest"].removeprefix("sha1:")
+                        response = head["warc-type"] == "response"
+                        if response:
+                            # what is reported of a response is what was read
+                            digest = base64.b32encode(hashlib.sha1(block).digest()).decode()
+                        refers = head.get("warc-refers-to")
+                        row = (number(head["warc-record-id"]), len(block) if response else int(head["warc-payload-length"]), digest, head["warc-type"], number(refers) if refers else None, block if with_payload else None)
+                        for column, v in zip(out, row):
+                            column.append(v)
+                yield made(out)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
-    return packages.select("content").mapInArrow(run, schema)
+    n, size = packages.agg(F.count("*"), F.sum("size")).first()
+    tasks = max(1, min(n, packages.sparkSession.sparkContext.defaultParallelism), math.ceil((size or 0) / READ_BYTES))
+    return packages.select("name").repartition(tasks, "name").mapInArrow(tidy(run), schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write the packages into the shared folder and read every record back."""
-    return read(materialise(write(pages), "packages"), with_payload=False)
+    return read(write(pages), with_payload=False)
