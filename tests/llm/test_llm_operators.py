@@ -197,33 +197,66 @@ def test_redact_masks_all_spans(spark, odd, none):
     assert secrets.redact(odd).count() == len(ODD) + 2 and secrets.redact(none).columns == none.columns
 
 
+def test_cover_tree_keeps_its_invariants():
+    rng = np.random.default_rng(3)
+    x = np.floor(np.concatenate([c + rng.normal(size=(900, 3)) * 20 for c in rng.normal(size=(5, 3)) * 900]))
+    t = covertree.CoverTree(x, leaf=20)
+    inner = [n for n, c in enumerate(t.children) if c]
+    assert len(inner) > 20
+    for n in range(len(t.centre)):
+        assert covertree.distances(x[t.points[n]], t.c[n]).max() <= t.r[n]
+    for n in inner:
+        kids = t.children[n]
+        assert sorted(p for k in kids for p in t.points[k]) == sorted(t.points[n]) and t.centre[n] in [t.centre[k] for k in kids]
+        assert all(t.r[k] <= t.radius[n] / 2 * (1 + 1e-9) for k in kids)
+        assert all(covertree.distances(t.c[[a]], t.c[b])[0] > t.radius[n] / 2 * (1 - 1e-9) for a in kids for b in kids if a != b)
+
+
 def test_cover_tree_against_brute_force():
     rng = np.random.default_rng(5)
     x = np.floor(64 * rng.normal(size=(700, 12)))
     x[100:260] = x[100]  # copies
     ids = rng.permutation(700)
-    q = np.concatenate((x[:40], x[100:101]))
-    qid = np.concatenate((ids[:40], ids[100:101]))
-    got = covertree.Search(ids, x, qid, q, 9)
-    for i in range(len(q)):
-        s = x @ q[i]
-        want = sorted(((-s[j], ids[j]) for j in range(700) if ids[j] != qid[i]))[:9]
+    q = np.concatenate((np.arange(40), [100]))
+    got = covertree.Search(ids, x, np.arange(700), x[q], q, 9)
+    for i, own in enumerate(q):
+        s = x @ x[own]
+        want = sorted(((-s[j], ids[j]) for j in range(700) if j != own))[:9]
         assert [(-a, b) for a, b in zip(got.score[i], got.found[i])] == want
 
 
 def test_cover_tree_prunes_clusters():
     rng = np.random.default_rng(6)
     x = np.concatenate([c + rng.normal(size=(1500, 8)) for c in rng.normal(size=(8, 8)) * 400])
-    got = covertree.Search(np.arange(len(x)), x, np.arange(len(x))[::20], x[::20], 5)
+    got = covertree.Search(np.arange(len(x)), x, np.arange(len(x)), x[::20], np.arange(len(x))[::20], 5)
     assert got.compared < 0.5 * len(x) * len(x[::20])
 
 
+@pytest.mark.parametrize("spread", [1, 30])
+def test_search_over_blocks_and_groups(spark, spread):
+    rng = np.random.default_rng(spread)
+    x = np.concatenate([c + rng.normal(size=(150, 6)) for c in rng.normal(size=(6, 6)) * spread]).astype(np.float32)
+    x[40] = x[20]
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(5)
+    got = covertree.search(t, F.col("vec_id") % 20 == 0, 7, block_rows=60, group_rows=4, cells=12).collect()
+    y = np.floor(64 * x.astype(np.float64))
+    want = set()
+    for q in range(0, len(x), 20):
+        best = sorted((-int(y[j] @ y[q]), j) for j in range(len(x)) if j != q)[:7]
+        want |= {(q, r + 1, j, -s) for r, (s, j) in enumerate(best)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_cover_tree_odd_rows(spark):
-    rows = [(0, [1.0, 2.0]), (20, None), (40, [float("nan"), 1.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, [None, 1.0]), (60, [1.0]), (None, [1.0, 1.0]), (1, [0.5, 0.5])]
-    t = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit(9)).withColumn("score", F.lit(9))
+    rows = [(0, [1.0, 2.0]), (20, None), (40, [float("nan"), 1.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, [None, 1.0]), (60, [1.0]), (None, [1.0, 1.0]), (1, [0.5, 0.5]), (80, []), (100, [float("inf")])]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit(9)).withColumn("score", F.lit(9)).withColumn("row", F.lit(9))
     got = covertree.search(t, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()
     assert [(r["vec_id"], r["score"]) for r in got if r["query_id"] == 0] == [(1, 6144), (1, 6144), (2, 6144), (60, 4096)]
-    assert covertree.search(t.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    assert covertree.search(t.limit(0), F.col("vec_id") % 20 == 0).count() == 0 and covertree.search(t, F.lit(False)).count() == 0
+    # rows that share a vec_id are queries each and meet one another; no score is too large
+    twins = spark.createDataFrame([(20, [1.0]), (20, [3.0]), (1, [1e25])], "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in covertree.search(twins, F.col("vec_id") % 20 == 0).collect())
+    assert [(q, r, i) for q, r, i, _ in got] == [(20, 1, 1), (20, 1, 1), (20, 2, 20), (20, 2, 20)] and [s for *_, s in got if s < 10**6] == [64 * 192] * 2
 
 
 def test_media_formats():
@@ -378,6 +411,26 @@ def test_warc_round_trip(spark):
     assert by[3]["refers_to"] == 1 and by[1]["record_type"] == "response" and by[9]["refers_to"] == 2 and by[5]["record_type"] == "response"
     assert by[5]["payload_bytes"] == 60_000 and by[3]["payload_bytes"] == 4 and by[3]["payload_digest"] == by[1]["payload_digest"]
     assert zipwarc.round_trip(pages.limit(0)).count() == 0
+    # real ZIP files, which the standard library reads too
+    packages = zipwarc.write(pages.repartition(3)).collect()
+    assert sum(r["records"] for r in packages) == len(rows)
+    for r in packages:
+        with zipfile.ZipFile(r["name"].removeprefix("file://")) as z:
+            assert z.testzip() is None and all(i.compress_type == zipfile.ZIP_STORED for i in z.infolist())
+
+
+def test_warc_of_all_pages(spark):
+    """op8 against digests taken by DuckDB and Python from the whole pages table."""
+    import base64
+
+    import duckdb
+
+    pages = duckdb.sql("SELECT page_id, coalesce(html, '') FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()
+    first = {}
+    for page, html in pages:
+        first[html] = min(page, first.get(html, page))
+    want = {(p, len(h.encode()), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(), "response" if first[h] == p else "revisit", None if first[h] == p else first[h]) for p, h in pages}
+    assert {tuple(r) for r in entries.op8_zip_warc(spark, "/root/testdata/sf0.01").collect()} == want and len(want) == len(pages)
 
 
 def test_mixing_meets_targets(spark):
