@@ -1,15 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols (insult, threat, target, negation, reported speech, other). Three
-transducers are composed into one: negation scope, reported-speech scope, and the pattern
-transducer that matches an insult or threat, alone or with a target near it. Each clause that
-holds an insult or threat runs through the composed machine; its matches carry the weight of
+Words are read by lexical transducers, tries over characters, one each for insults, threats,
+targets, negations and reported speech; their union gives every word its symbol. Clauses of symbols run through
+a composition of five transducers: negation scope, reported-speech scope, target nearness, insults
+and threats, which match alone or with a target near them, before or after. Compositions are made
+as far as they are used. Each clause that holds an insult or threat is matched as a whole; its matches carry the weight of
 their pattern. A text's evidence is the likelihood ratio of its weighted matches against its
 length, for the family of terms that fits best; a logistic curve turns it into a score.
 
 Terms, rates and the curve are learned from at most ``max_rows`` labelled documents (default
-4000, by hash of doc_id) whose crc32(doc_id as text) mod 5 is not 0. Terms are word beginnings
-that are far more frequent in toxic documents, joined into families by the documents they share.
+4000 of at most 64 KiB, by hash of doc_id) whose crc32(doc_id as text) mod 5 is not 0. Terms are word
+beginnings that are far more frequent in toxic documents, joined into families by the documents they
+share; a family that holds a known threat is one of threats. The listed threats, targets, negations
+and reporting words are fixed; what a listed threat is worth is learned like the rest.
 
 Defined edge cases: null and empty texts have no match and get the score of a text without
 evidence; without labels the built-in terms and curve hold; a null label is not learned from;
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, learnable
+from .common import held_out, labelled_sample, learnable, tidy
 
 MAX_ROWS = 4000
 
@@ -44,109 +47,167 @@ REPORTS = frozenset("said says say quoted quotes called wrote reported claimed a
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER, END = range(7)
 MARKED = ("plain", "negated", "reported", "negated reported")
 #: Weight of a match by pattern: (kind, with target) and by its mark.
-PATTERN_WEIGHT = {("insult", False): 1.0, ("insult", True): 1.25, ("threat", False): 0.0, ("threat", True): 1.5}
+PATTERN_WEIGHT = {("insult", False): 1.0, ("insult", True): 1.25, ("threat", False): 0.25, ("threat", True): 1.5}
 MARK_WEIGHT = {"plain": 1.0, "negated": 0.5, "reported": 0.5, "negated reported": 0.25}
 SCOPE, NEAR = 3, 4
+#: Words whose symbols a matcher remembers.
+KNOWN_WORDS = 50_000
 
 
 class Transducer:
-    """A deterministic finite-state transducer: (state, symbol) -> (state, outputs)."""
+    """A deterministic finite-state transducer: ``step`` maps (state, symbol) to (state, outputs); steps are remembered."""
 
-    def __init__(self, start, table: dict):
-        self.start, self.table = start, table
+    def __init__(self, start, step):
+        self.start, self.step, self.table = start, step, {}
+
+    def at(self, state, symbol):
+        key = state, symbol
+        if key not in self.table:
+            self.table[key] = self.step(state, symbol)
+        return self.table[key]
 
     def __call__(self, symbols):
         state, out = self.start, []
         for s in symbols:
-            state, more = self.table[state, s]
+            state, more = self.at(state, s)
             out += more
         return out
 
 
-def compose(a: Transducer, b: Transducer, alphabet) -> Transducer:
+def compose(a: Transducer, b: Transducer) -> Transducer:
     """The transducer that feeds the outputs of ``a`` to ``b``."""
-    start, table = (a.start, b.start), {}
-    todo, seen = [start], {start}
-    while todo:
-        p, q = todo.pop()
-        for s in alphabet:
-            p2, mid = a.table[p, s]
-            q2, out = q, []
-            for m in mid:
-                q2, more = b.table[q2, m]
-                out += more
-            table[(p, q), s] = ((p2, q2), out)
-            if (p2, q2) not in seen:
-                seen.add((p2, q2))
-                todo.append((p2, q2))
-    return Transducer(start, table)
-
-
-def grammar() -> Transducer:
-    """Symbols of a clause -> matched patterns (kind, with target, mark)."""
-    alphabet = range(7)
-    # negation scope: an insult or threat within SCOPE words after a negation is marked
-    table = {}
-    for k in range(SCOPE + 1):
-        for s in alphabet:
-            table[k, s] = (SCOPE if s == NEGATION else 0 if s == END else max(0, k - 1), [(s, k > 0)])
-    negation = Transducer(0, table)
-    # reported speech holds to the end of the clause
-    mid = [(s, n) for s in alphabet for n in (False, True)]
-    table = {(r, m): (int((r or m[0] == REPORT) and m[0] != END), [(m[0], m[1], bool(r))]) for r in (0, 1) for m in mid}
-    reported = Transducer(0, table)
-    marks = [(s, n, r) for s in alphabet for n in (False, True) for r in (False, True)]
-    mark = lambda n, r: MARKED[n + 2 * r]
-    # state: words since a target (NEAR: none near), and the match that still waits for one
-    waiting = [None] + [(kind, m, left) for kind in ("insult", "threat") for m in MARKED for left in range(1, NEAR + 1)]
-    table = {}
-    for since in range(NEAR + 1):
-        for w in waiting:
-            for s, n, r in marks:
-                out, nxt = [], None
-                if w:
-                    kind, m, left = w
-                    if s == TARGET:
-                        out.append((kind, True, m))
-                    elif s == END or left == 1 or s in (INSULT, THREAT):
-                        out.append((kind, False, m))
-                    else:
-                        nxt = (kind, m, left - 1)
-                if s in (INSULT, THREAT):
-                    kind = "insult" if s == INSULT else "threat"
-                    if since < NEAR:
-                        out.append((kind, True, mark(n, r)))
-                    else:
-                        nxt = (kind, mark(n, r), NEAR)
-                after = 0 if s == TARGET else NEAR if s == END else min(NEAR, since + 1)
-                table[(since, w), (s, n, r)] = ((after, nxt), out)
-    pattern = Transducer((NEAR, None), table)
-    return compose(compose(negation, reported, alphabet), pattern, alphabet)
+
+    def step(state, symbol):
+        p, q = state
+        p, mid = a.at(p, symbol)
+        out = []
+        for m in mid:
+            q, more = b.at(q, m)
+            out += more
+        return (p, q), out
+
+    return Transducer((a.start, b.start), step)
+
+
+def lexicon(entries: dict[str, object], whole: bool) -> Transducer:
+    """Characters of a word, then "" -> what its longest listed beginning stands for, or with ``whole`` the word itself; nothing if it is not listed."""
+    trie: list[dict[str, int]] = [{}]
+    means: list[object] = [None]
+    for word, meaning in entries.items():
+        at = 0
+        for c in word:
+            if c not in trie[at]:
+                trie[at][c] = len(trie)
+                trie.append({})
+                means.append(None)
+            at = trie[at][c]
+        means[at] = meaning
+
+    def step(state, c):
+        # a state is a place in the trie (None: outside of it) and the last meaning passed
+        at, last = state
+        if c == "":
+            meaning = last if not whole else means[at] if at is not None else None
+            return (0, None), [] if meaning is None else [meaning]
+        at = trie[at].get(c) if at is not None else None
+        return (at, means[at] if at is not None and means[at] is not None else last), []
+
+    return Transducer((0, None), step)
+
+
+def union(parts: list[Transducer]) -> Transducer:
+    """Reads with all of ``parts``; of what several give at once, the first part's output counts."""
+
+    def step(state, symbol):
+        steps = [p.at(q, symbol) for p, q in zip(parts, state)]
+        return tuple(q for q, _ in steps), next((out for _, out in steps if out), [])
+
+    return Transducer(tuple(p.start for p in parts), step)
+
+
+def negation(scope: int = SCOPE) -> Transducer:
+    """symbol -> (symbol, whether a negation is within ``scope`` words before it)."""
+    return Transducer(0, lambda k, s: (scope if s == NEGATION else 0 if s == END else max(0, k - 1), [(s, k > 0)]))
+
+
+def reported() -> Transducer:
+    """(symbol, negated) -> (symbol, mark); reported speech holds to the end of the clause."""
+    return Transducer(False, lambda r, m: ((r or m[0] == REPORT) and m[0] != END, [(m[0], MARKED[m[1] + 2 * r])]))
+
+
+def nearness(near: int = NEAR) -> Transducer:
+    """(symbol, mark) -> (symbol, mark, whether a target is less than ``near`` words before it)."""
+    return Transducer(near, lambda since, m: (0 if m[0] == TARGET else near if m[0] == END else min(near, since + 1), [(*m, since < near)]))
+
+
+def matches_of(symbol: int, kind: str, near: int = NEAR) -> Transducer:
+    """Passes (symbol, mark, near) on, with a match (kind, with target, mark) after it for every ``symbol`` once it is known whether a target is near.
+
+    A match waits ``near`` words for a target, to the end of the clause or the next insult or threat at most.
+    """
+
+    def step(waiting, m):
+        if isinstance(m[0], str):
+            return waiting, [m]
+        s, mark, target = m
+        out, nxt = [m], None
+        if waiting:
+            held, left = waiting
+            if s == TARGET:
+                out.append((kind, True, held))
+            elif s == END or left == 1 or s in (INSULT, THREAT):
+                out.append((kind, False, held))
+            else:
+                nxt = (held, left - 1)
+        if s == symbol:
+            if target:
+                out.append((kind, True, mark))
+            else:
+                nxt = (mark, near)
+        return nxt, out
+
+    return Transducer(None, step)
+
+
+def grammar():
+    """Symbols of a clause, with END -> matched patterns (kind, with target, mark)."""
+    only = Transducer(None, lambda q, m: (q, [m] if isinstance(m[0], str) else []))
+    machine = negation()
+    for part in (reported(), nearness(), matches_of(INSULT, "insult"), matches_of(THREAT, "threat"), only):
+        machine = compose(machine, part)
+    return machine
+
+
+def lowered(text: str) -> str:
+    """The text in lower case, character by character, so that places in it stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
 class Matcher:
     """Finds weighted matches, by family of terms, in a text."""
 
-    def __init__(self, families: list[list[str]]):
-        self.family = {stem: k for k, own in enumerate(families) for stem in own}
-        stems = sorted({*self.family, *THREATS}, key=lambda s: (-len(s), s))
-        self.trigger = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, stems)) + ")") if stems else None
-        self.lengths = sorted({len(s) for s in self.family}, reverse=True)
+    def __init__(self, families: list[list[str]], threats: list[int] | tuple = ()):
+        learned = {stem: k for k, own in enumerate(families) for stem in own}
+        insults = {stem: (INSULT, k) for stem, k in learned.items() if k not in threats}
+        dangers = {w: (THREAT, -1) for w in THREATS} | {stem: (THREAT, k) for stem, k in learned.items() if k in threats}
+        same = lambda words, symbol: dict.fromkeys(words, (symbol, None))
+        self.words = union([
+            lexicon(insults, False), lexicon(dangers, False), lexicon(same(TARGETS, TARGET), True), lexicon(same(NEGATIONS, NEGATION), True), lexicon(same(REPORTS, REPORT), True),
+        ])
+        stems = sorted({*insults, *dangers}, key=lambda s: (-len(s), s))
+        self.trigger = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, stems)) + ")")
         self.cut, self.word = re.compile(r"[.!?;:,\n]"), re.compile(r"[\w']+")
-        self.machine = grammar()
-
-    def stem(self, word: str) -> str | None:
-        for n in self.lengths:
-            if word[:n] in self.family and len(word) >= n:
-                return word[:n]
-        return None
+        self.machine, self.known = grammar(), {}
 
-    def symbol(self, word: str) -> int:
-        if self.stem(word):
-            return INSULT
-        if word.startswith(THREATS):
-            return THREAT
-        return TARGET if word in TARGETS else NEGATION if word in NEGATIONS else REPORT if word in REPORTS else OTHER
+    def symbol(self, word: str) -> tuple[int, int | None]:
+        """The symbol of a word and its family; words that were met are remembered."""
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) > KNOWN_WORDS:
+                self.known, self.words.table = {}, {}
+            found = self.known[word] = next(iter(self.words([*word, ""])), (OTHER, None))
+        return found
 
     def clauses(self, text: str) -> Iterator[tuple[int, int]]:
         """Bounds of the clauses that hold an insult or threat."""
@@ -163,15 +224,15 @@ class Matcher:
 
     def matches(self, text: str) -> tuple[dict[int, float], int, list]:
         """Weighted matches by family (-1: threats), the number of words, and the matched clauses."""
-        low = text.lower()
+        low = lowered(text)
         out, found = defaultdict(float), []
         for begin, end in self.clauses(low):
-            words = self.word.findall(low[begin:end])
-            got = self.machine([*map(self.symbol, words), END])
-            stems = iter([self.family[s] for w in words if (s := self.stem(w))])
+            symbols = [self.symbol(w) for w in self.word.findall(low[begin:end])]
+            got = self.machine([*(s for s, _ in symbols), END])
+            own_of = {"insult": iter([k for s, k in symbols if s == INSULT]), "threat": iter([k for s, k in symbols if s == THREAT])}
             weight = 0.0
             for kind, target, mark in got:
-                own = next(stems, 0) if kind == "insult" else -1
+                own = next(own_of[kind])
                 value = PATTERN_WEIGHT[kind, target] * MARK_WEIGHT[mark]
                 out[own] += value
                 weight += value
@@ -192,7 +253,7 @@ def evidence(hits: dict[int, float], words: int, rates: dict[int, tuple[float, f
     return -4.0 if best is None else max(min(best, 30.0), -30.0)
 
 
-DEFAULT = {"families": [list(SEED_INSULTS)], "rates": {"0": (1e-6, 2e-3, 0.05), "-1": (1e-5, 2e-3, 0.05)}, "slope": 1.0, "offset": -1.0}
+DEFAULT = {"families": [list(SEED_INSULTS)], "threats": [], "rates": {"0": (1e-6, 2e-3, 0.05), "-1": (1e-5, 2e-3, 0.05)}, "slope": 1.0, "offset": -1.0}
 
 
 def learn(rows: list[tuple[int, str]], least_ratio: float = 6.0, least_gain: float = 25.0, shortest: int = 3, longest: int = 8) -> dict:
@@ -263,10 +324,11 @@ def learn(rows: list[tuple[int, str]], least_ratio: float = 6.0, least_gain: flo
     families = sorted(groups.values())
     if not families:
         return DEFAULT
-    matcher = Matcher(families)
+    threats = [k for k, own in enumerate(families) if any(s.startswith(t) or t.startswith(s) for s in own for t in THREATS)]
+    matcher = Matcher(families, threats)
     got = [(label, *matcher.matches(text)[:2]) for label, text, _ in rows]
-    rates = {-1: (1e-5, 2e-3, 0.05)}
-    for k in range(len(families)):
+    rates = {}
+    for k in range(-1, len(families)):
         hit = [(h.get(k, 0.0), n) for label, h, n in got if label == 1 and h.get(k)]
         # clean texts of the same kind: those that hold the family at all; else all of them
         host = [(h.get(k, 0.0), n) for label, h, n in got if label == 0 and h.get(k)]
@@ -284,7 +346,7 @@ def learn(rows: list[tuple[int, str]], least_ratio: float = 6.0, least_gain: flo
         h = np.array([[(w * x * x).sum() + 0.01, (w * x).sum()], [(w * x).sum(), w.sum() + 0.01]])
         step = np.clip(np.linalg.solve(h, g), -0.5, 0.5)
         a, b = a - step[0], b - step[1]
-    return {"families": families, "rates": {str(k): v for k, v in rates.items()}, "slope": float(a), "offset": float(b)}
+    return {"families": families, "threats": threats, "rates": {str(k): v for k, v in rates.items()}, "slope": float(a), "offset": float(b)}
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict:
@@ -296,7 +358,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> dict:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([json.dumps(learn(rows))])], ["model"])
 
-    got = sample.select("toxic", "text").coalesce(1).mapInArrow(run, "model string").collect()
+    got = sample.select("toxic", "text").repartition(1).mapInArrow(tidy(run), "model string").collect()
     return json.loads(got[0]["model"]) if got else DEFAULT
 
 
@@ -304,7 +366,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, score, predicted, the evidence and the matched clauses (code point spans, weights) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(model["families"])
+        matcher = Matcher(model["families"], model["threats"])
         rates = {int(k): v for k, v in model["rates"].items()}
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("weight", pa.float64())]))
         for batch in batches:
@@ -321,7 +383,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int, evidence double, clauses array<struct<start:int,end:int,weight:double>>")
+    return rows.mapInArrow(tidy(run), "doc_id long, score double, predicted int, evidence double, clauses array<struct<start:int,end:int,weight:double>>")
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:

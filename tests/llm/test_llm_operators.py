@@ -113,6 +113,18 @@ def test_toxicity_grammar():
     assert m([said, you, i, end]) == [("insult", True, "reported")]
     assert m([t, you, end, i, end]) == [("threat", True, "plain"), ("insult", False, "plain")]
     assert m([i, i, end]) == [("insult", False, "plain")] * 2
+    assert m([t, o, o, you, end]) == [("threat", True, "plain")] and m([no, t, end]) == [("threat", False, "negated")]
+    assert m([i, o, t, you, end]) == [("insult", False, "plain"), ("threat", True, "plain")]
+
+
+def test_lexical_transducers():
+    m = toxicity.Matcher([["idiot"], ["slay"]], [1])
+    read = lambda w: m.symbol(w)
+    assert read("idiotic") == (toxicity.INSULT, 0) and read("killing") == (toxicity.THREAT, -1) and read("slayer") == (toxicity.THREAT, 1)
+    assert read("you")[0] == toxicity.TARGET and read("yours")[0] == toxicity.TARGET and read("youth")[0] == toxicity.OTHER
+    assert read("isn't")[0] == toxicity.NEGATION and read("dijo")[0] == toxicity.REPORT and read("")[0] == toxicity.OTHER and read("idio")[0] == toxicity.OTHER
+    text = "İİİ fine. You idiot!"
+    assert [text[s:e].strip() for s, e, _ in m.matches(text)[2]] == ["You idiot"]
 
 
 def test_toxicity_clauses():
