@@ -286,16 +286,14 @@ def title_band_anti(spark, d):
     return regions.without_table_titles(r.where("kind = 'STEP'"), r.where("kind = 'SUBTOTAL'").withColumn("start_row", F.col("row"))).select("doc_id", "sheet_idx", "row")
 
 
-def _turns(spark, d, most=30):
-    """Conversations as trees: a root for each, its turns below it; titles hold ``most`` characters of a turn, all if None."""
+def _turns(spark, d):
+    """Conversations as trees: a root for each, its whole turns below it."""
     c = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", "role", "text")
     root = c.select("doc_id").distinct().select("doc_id", F.lit("root").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("ord"), F.lit("Conversation").alias("title"))
-    return root.union(c.select("doc_id", F.concat(F.lit("t"), F.col("turn").cast("string")), F.lit("root"), F.col("turn").cast("int"), F.concat_ws(" ", "role", F.substring("text", 1, most) if most else F.col("text"))))
+    return root.union(c.select("doc_id", F.concat(F.lit("t"), F.col("turn").cast("string")), F.lit("root"), F.col("turn").cast("int"), F.concat_ws(" ", "role", "text")))
 
 
 TURNS_SQL = """nodes AS (SELECT DISTINCT conv_id AS doc_id, 'root' AS node_id, CAST(NULL AS VARCHAR) AS parent_id, 0 AS ord, 'Conversation' AS title FROM conversations
-UNION ALL SELECT conv_id, concat('t', turn), 'root', CAST(turn AS INTEGER), concat(role, ' ', substr(text, 1, 30)) FROM conversations)"""
-WHOLE_TURNS_SQL = """nodes AS (SELECT DISTINCT conv_id AS doc_id, 'root' AS node_id, CAST(NULL AS VARCHAR) AS parent_id, 0 AS ord, 'Conversation' AS title FROM conversations
 UNION ALL SELECT conv_id, concat('t', turn), 'root', CAST(turn AS INTEGER), concat_ws(' ', role, text) FROM conversations)"""
 
 
@@ -329,17 +327,6 @@ def tree_toc(spark, d):
     return tree.contents(tree.depth_first(_turns(spark, d)))
 
 
-@query(f"""WITH {WHOLE_TURNS_SQL}, s AS (SELECT *, {_CLEAN.format(x='title')} AS s, count(*) OVER (PARTITION BY doc_id, parent_id) AS n, row_number() OVER (PARTITION BY doc_id, parent_id ORDER BY ord) AS k FROM nodes)
-SELECT doc_id, node_id, concat(lpad(CAST(k AS VARCHAR), CAST(greatest(2, length(CAST(n AS VARCHAR))) AS INTEGER), '0'), '_', {_SEGMENT}) AS name FROM s""")
-def sibling_names_whole(spark, d):
-    return tree.sibling_names(_turns(spark, d, None)).select("doc_id", "node_id", "name")
-
-
-@query(f"""WITH {WHOLE_TURNS_SQL} SELECT doc_id, string_agg(concat(CASE WHEN parent_id IS NULL THEN '' ELSE '  ' END, '- ', replace(title, '|', '\\|')), chr(10) ORDER BY parent_id IS NOT NULL, ord) AS toc FROM nodes GROUP BY doc_id""")
-def tree_toc_whole(spark, d):
-    return tree.contents(tree.depth_first(_turns(spark, d, None)))
-
-
 def _items(spark, d):
     """Positioned items: a line of a document is a line of its page, a word is an item."""
     t = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("r", "line"))
@@ -384,6 +371,20 @@ def summary_pages(spark, d):
     return chunks.summary_pages(c, ["conv_id"], 60)
 
 
+@query(f"""WITH {STAR_SQL}, r AS (SELECT *, count(*) FILTER (kind = 'STEP') OVER w AS s, max(CASE WHEN kind = 'STEP' THEN row_no END) OVER w AS up FROM rows_ WHERE kind IN ('STEP', 'TASK') WINDOW w AS (PARTITION BY doc_id, sheet_idx ORDER BY row_no))
+SELECT doc_id, sheet_idx, row_no AS "row", CASE WHEN kind = 'STEP' THEN CAST(s + 1 AS VARCHAR) ELSE concat(s + 1, '.', row_no - up) END AS number, CAST(CASE WHEN kind = 'STEP' THEN -1 ELSE up END AS INTEGER) AS parent_row FROM r""")
+def numbered_nesting(spark, d):
+    """Steps numbered from 2 as headings, their tasks as headings numbered below them."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("doc_id", "sheet_idx").orderBy("row").rowsBetween(W.unboundedPreceding, 0)
+    step = F.col("kind") == "STEP"
+    r = views.star_rows(spark, d).where("kind in ('STEP', 'TASK')").withColumnRenamed("row_no", "row").withColumn("s", F.count_if(step).over(w) + 1).withColumn("up", F.max(F.when(step, F.col("row"))).over(w))
+    number = F.when(step, F.col("s").cast("string")).otherwise(F.concat_ws(".", F.col("s").cast("string"), (F.col("row") - F.col("up")).cast("string")))
+    h = r.select("doc_id", "sheet_idx", "row", F.col("kind").alias("title"), F.when(step, 1).otherwise(2).alias("depth"), number.alias("number"))
+    return headings.nest(h).select("doc_id", "sheet_idx", "row", "number", F.coalesce("parent_row", F.lit(-1)).alias("parent_row"))
+
+
 @query()
 def heading_nesting(spark, d):
     c = views.star(spark, d)
@@ -400,12 +401,17 @@ def event_fold(spark, d):
     return chunks.fold_events(e).withColumn("tree", F.coalesce("tree", F.lit("")))
 
 
-@query("""WITH p AS (SELECT doc_id, text AS f, substr(text, 1, 6000) AS t, substr(text, 1, 3000) AS s FROM documents)
-SELECT doc_id, CASE WHEN ceil(length(f) / 3.5) <= 1500 THEN 'full' WHEN ceil(length(t) / 3.5) <= 1500 THEN 'top' ELSE 'skeleton' END AS tier,
-  length(CASE WHEN ceil(length(f) / 3.5) <= 1500 THEN f WHEN ceil(length(t) / 3.5) <= 1500 THEN t ELSE s END) AS n FROM p""")
+@query("""WITH p AS (SELECT conv_id, string_agg(concat(role, ': ', text), chr(10) ORDER BY turn) AS f, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'user'), '') AS t, string_agg(concat(turn, ' ', role), chr(10) ORDER BY turn) AS s FROM conversations GROUP BY conv_id)
+SELECT conv_id, CASE WHEN ceil(length(f) / 3.5) <= 300 THEN 'full' WHEN ceil(length(t) / 3.5) <= 300 THEN 'top' ELSE 'skeleton' END AS tier,
+  length(CASE WHEN ceil(length(f) / 3.5) <= 300 THEN f WHEN ceil(length(t) / 3.5) <= 300 THEN t ELSE s END) AS n FROM p""")
 def prompt_tiers(spark, d):
-    p = table(spark, d, "documents").select("doc_id", F.col("text").alias("full"), F.substring("text", 1, 6000).alias("top"), F.substring("text", 1, 3000).alias("skeleton"))
-    return chunks.pick_tier(p).select("doc_id", "tier", F.length("prompt").cast("long").alias("n"))
+    """Of each whole conversation, all turns if they fit 300 tokens, else what the user says, else who speaks when."""
+    c = table(spark, d, "conversations")
+    joined = lambda x, cond=F.lit(True): F.array_join(F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("turn", x.alias("x"))))), lambda y: y["x"]), "\n")
+    p = c.groupBy("conv_id").agg(
+        joined(F.concat("role", F.lit(": "), "text")).alias("full"), joined(F.col("text"), F.col("role") == "user").alias("top"), joined(F.concat(F.col("turn").cast("string"), F.lit(" "), "role")).alias("skeleton"),
+    )
+    return chunks.pick_tier(p, 300).select("conv_id", "tier", F.length("prompt").cast("long").alias("n"))
 
 
 def _prompt_parts(spark, d):
@@ -429,7 +435,16 @@ def sheet_prompts(spark, d):
     return enrich.prompts(*_prompt_parts(spark, d))
 
 
-@query()
+@query(f"""WITH {STAR_SQL}, parts AS (SELECT *, concat_ws(',', CASE WHEN is_bold THEN 'B' END, CASE WHEN is_strike THEN 'S' END, 'f:' || fill_color, 'c:' || font_color) AS flags FROM cells WHERE v_text <> ''),
+lines AS (SELECT doc_id, sheet_idx, "row", length(concat('R', "row", '|', string_agg(concat(chr(CAST(64 + col AS INTEGER)), ':', substr(v_text, 1, 50), CASE WHEN flags <> '' THEN concat(':', flags) ELSE '' END), '|' ORDER BY col))) + 1 AS size,
+  concat(coalesce(max(fill_color), ''), '|', bool_or(is_bold), '|', count(*), '|', bool_or(is_strike)) AS shape, bool_or(v_kind = 'number') AS num FROM parts GROUP BY doc_id, sheet_idx, "row"),
+r0 AS (SELECT l.*, k.kind AS type, row_number() OVER (PARTITION BY l.doc_id, l.sheet_idx, k.kind ORDER BY "row") AS nth FROM lines l JOIN rows_ k ON k.doc_id = l.doc_id AND k.sheet_idx = l.sheet_idx AND k.row_no = l."row"),
+r1 AS (SELECT *, CASE WHEN type = 'HEADER' AND nth <= 3 THEN 'header' WHEN type = 'SUBTOTAL' AND nth <= 5 THEN 'subtotal' END AS k1 FROM r0),
+r2 AS (SELECT *, coalesce(k1, CASE WHEN row_number() OVER (PARTITION BY doc_id, sheet_idx, shape, k1 IS NULL ORDER BY "row") = 1 THEN 'pattern' END) AS k2 FROM r1),
+r3 AS (SELECT *, greatest(0, 30 - count(k2) OVER (PARTITION BY doc_id, sheet_idx)) AS room, count(*) FILTER (k2 IS NULL AND num) OVER (PARTITION BY doc_id, sheet_idx) AS n, row_number() OVER (PARTITION BY doc_id, sheet_idx, k2 IS NULL AND num ORDER BY "row") - 1 AS k FROM r2),
+r4 AS (SELECT *, coalesce(k2, CASE WHEN num AND room > 0 AND k % greatest(1, n // greatest(room, 1)) = 0 AND k // greatest(1, n // greatest(room, 1)) < room THEN 'data' END) AS kind FROM r3),
+r5 AS (SELECT *, ceil((sum(size) OVER w - 1) / 4.0) AS tokens, row_number() OVER w AS nr FROM r4 WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY doc_id, sheet_idx ORDER BY kind = 'data', "row" ROWS UNBOUNDED PRECEDING))
+SELECT doc_id, sheet_idx, "row", kind FROM r5 WHERE kind <> 'data' OR tokens <= 2000 OR nr = 1""")
 def llm_sample(spark, d):
     c = views.star(spark, d)
     rows = tables.classify(c).select("doc_id", "sheet_idx", "row", (F.col("type") == "HEADER").alias("is_header"), (F.col("type") == "SUBTOTAL").alias("is_subtotal"))
@@ -446,13 +461,8 @@ def prefix_parent(spark, d):
     return tree.numbered_parent(h).select("doc_id", "node_id", F.coalesce("parent_id", F.lit(-1)).alias("parent_id"))
 
 
-@query("""SELECT doc_id, lower(regexp_replace(regexp_replace(substr(text, 1, 200), '^[\\s\\x{3000}]*[０-９0-9]+(?:[.．][０-９0-9]+)*[.．]?[\\s\\x{3000}]*', ''), '[\\s\\x{3000}.．、,，:：]+', '', 'g')) AS bare FROM documents""")
-def bare_titles(spark, d):
-    return table(spark, d, "documents").select("doc_id", outline.bare_title(F.substring("text", 1, 200)).alias("bare"))
-
-
 @query("""SELECT doc_id, lower(regexp_replace(regexp_replace(text, '^[\\s\\x{3000}]*[０-９0-9]+(?:[.．][０-９0-9]+)*[.．]?[\\s\\x{3000}]*', ''), '[\\s\\x{3000}.．、,，:：]+', '', 'g')) AS bare FROM documents""")
-def bare_titles_whole(spark, d):
+def bare_titles(spark, d):
     return table(spark, d, "documents").select("doc_id", outline.bare_title(F.col("text")).alias("bare"))
 
 
@@ -467,21 +477,9 @@ def tree_markdown(spark, d):
     return outline.markdown(tree.depth_first(_turns(spark, d)).withColumn("summary", F.lit(None).cast("string")))
 
 
-@query(f"""WITH {WHOLE_TURNS_SQL} SELECT doc_id, string_agg(concat(CASE WHEN parent_id IS NULL THEN '# ' ELSE '## ' END, title), chr(10) ORDER BY parent_id IS NOT NULL, ord) AS text FROM nodes GROUP BY doc_id""")
-def tree_markdown_whole(spark, d):
-    return outline.markdown(tree.depth_first(_turns(spark, d, None)).withColumn("summary", F.lit(None).cast("string")))
-
-
-@query(f"""WITH {STAR_SQL} SELECT doc_id, sheet_idx, row_no AS "row", concat('R', row_no, '|C:', c, CASE WHEN strike THEN ':S' ELSE '' END, '|D:', CAST(q AS DECIMAL(18,2)), CASE WHEN strike THEN ':S' ELSE '' END) AS line FROM rows_ WHERE kind = 'TASK'""")
-def compressed_rows(spark, d):
-    c = views.star(spark, d)
-    tasks = views.star_rows(spark, d).where("kind = 'TASK'").select("doc_id", "sheet_idx", F.col("row_no").alias("row"))
-    return outline.compressed(c.where("col <= 4")).join(tasks, ["doc_id", "sheet_idx", "row"], "left_semi")
-
-
 @query(f"""WITH {STAR_SQL}, parts AS (SELECT *, concat_ws(',', CASE WHEN is_bold THEN 'B' END, CASE WHEN is_strike THEN 'S' END, 'f:' || fill_color, 'c:' || font_color) AS flags FROM cells WHERE v_text <> '')
 SELECT doc_id, sheet_idx, "row", concat('R', "row", '|', string_agg(concat(chr(CAST(64 + col AS INTEGER)), ':', substr(v_text, 1, 50), CASE WHEN flags <> '' THEN concat(':', flags) ELSE '' END), '|' ORDER BY col)) AS line FROM parts GROUP BY "row", doc_id, sheet_idx""")
-def compressed_rows_whole(spark, d):
+def compressed_rows(spark, d):
     return outline.compressed(views.star(spark, d))
 
 
