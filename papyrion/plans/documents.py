@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import address, text
@@ -265,6 +266,28 @@ def sheet_html(spark, d):
     return outline.html(views.uneven(spark, d))
 
 
+@query(f"""WITH {UNEVEN_SQL}, i AS (SELECT *, "row" - dense_rank() OVER (PARTITION BY doc_id, sheet_idx ORDER BY "row") AS g FROM cells), b AS (SELECT doc_id, sheet_idx, row_number() OVER (PARTITION BY doc_id, sheet_idx ORDER BY min("row")) - 1 AS block FROM i GROUP BY doc_id, sheet_idx, g),
+s AS (SELECT DISTINCT doc_id, sheet_idx FROM cells), m AS (SELECT doc_id, concat('s-', sheet_idx) AS node_id, concat('images/s', sheet_idx, '_Plan__', sheet_idx, '_sheet.png') AS picture FROM s UNION ALL SELECT doc_id, concat('t-', sheet_idx, '-', block), concat('images/s', sheet_idx, '_Plan__', sheet_idx, '_table_', block, '.png') FROM b)
+SELECT doc_id, node_id, picture FROM m UNION ALL SELECT DISTINCT doc_id, 'root', '' FROM s""")
+def pictures(spark, d):
+    """The tree of the uneven sheets, every run of rows taken for a table, with the pictures of its nodes."""
+    c = views.uneven(spark, d)
+    blocks = regions.segments(profile.rows(c)).withColumn("block", F.row_number().over(Window.partitionBy("doc_id", "sheet_idx").orderBy("start_row")) - 1)
+    sheets = profile.extents(c).withColumn("sheet", F.concat(F.lit("Plan #"), F.col("sheet_idx").cast("string"))).withColumn("hidden", F.lit(False))
+    docs = sheets.select("doc_id").distinct().withColumn("title", F.col("doc_id"))
+    nodes = outline.workbook(docs, sheets, c, blocks, None)
+    return outline.with_captures(nodes, outline.captures(sheets, blocks)).select("doc_id", "node_id", F.coalesce("picture", F.lit("")).alias("picture"))
+
+
+@query("""SELECT o_custkey, CAST(o_orderkey AS INTEGER) AS page, CAST(15 + floor(rn / n * 75 + 0.5) AS INTEGER) AS pct FROM (SELECT o_custkey, o_orderkey, CAST(row_number() OVER w AS DOUBLE) AS rn, CAST(count(*) OVER (PARTITION BY o_custkey) AS DOUBLE) AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) WHERE rn % greatest(1, floor(n / 10)) = 0 OR rn = n""")
+def page_progress(spark, d):
+    from ..operators import chunks
+
+    w = Window.partitionBy("o_custkey")
+    p = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").cast("int").alias("key"), F.row_number().over(w.orderBy("o_orderkey")).alias("page"), F.count("*").over(w).alias("n_pages"))
+    return chunks.progress(p).select("o_custkey", F.col("key").alias("page"), "pct")
+
+
 @query(f"""WITH {STAR_SQL}, b AS (SELECT doc_id, sheet_idx, max("row") AS n, count(*) AS n_cells FROM cells GROUP BY ALL), t AS (
 SELECT doc_id, 'root' AS node_id, '' AS parent_id, 'document' AS kind, doc_id AS title, concat('Workbook with ', count(*), ' sheet(s)') AS content, 0 AS depth FROM b GROUP BY doc_id
 UNION ALL SELECT doc_id, concat('s-', sheet_idx), 'root', 'sheet', concat('Sheet ', sheet_idx), concat(n_cells, ' cells · 1 table(s)'), 1 FROM b
