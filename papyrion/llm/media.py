@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, utf8
+from .common import materialise, tidy, utf8
 
 WIDTH = 64
 TILE = 32
+#: Rows of a picture that are summed at once.
+STRIP = 1 << 14
 
 
 def encode_pgm(samples: bytes, width: int = WIDTH) -> bytes:
@@ -104,20 +106,35 @@ def decode(data: bytes) -> np.ndarray:
     raise ValueError("neither Netpbm nor BMP")
 
 
+def integral_rows(grey: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Some rows of the integral image: at row r and column c, the sum of all samples above r and left of c.
+
+    The picture is read in strips between those rows, so a picture of any height takes memory for one strip.
+    """
+    out, total, at = np.zeros((len(rows), grey.shape[1] + 1)), np.zeros(grey.shape[1]), 0
+    for k, r in enumerate(rows):
+        for top in range(at, int(r), STRIP):
+            total += grey[top : min(top + STRIP, int(r))].sum(0, dtype=np.float64)
+        at = max(at, int(r))
+        np.cumsum(total, out=out[k, 1:])
+    return out
+
+
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Area averages of a picture on a ``height`` x ``width`` grid, from its integral image."""
+    """Area averages of a picture on a ``height`` x ``width`` grid, from its integral image, interpolated at fractional edges."""
     grey = image if image.ndim == 2 else image.mean(2)
     h, w = grey.shape
-    total = np.zeros((h + 1, w + 1))
-    np.cumsum(np.cumsum(grey, 0, dtype=np.float64), 1, out=total[1:, 1:])
 
-    def at(table, edges):
-        low = np.minimum(edges.astype(int), len(table) - 2)
+    def between(low, edges, table, place):
         part = (edges - low)[:, None]
-        return table[low] * (1 - part) + table[low + 1] * part
-
-    rows = at(total, np.linspace(0, h, height + 1))
-    both = at(rows.T, np.linspace(0, w, width + 1)).T
+        return table[place(low)] * (1 - part) + table[place(low + 1)] * part
+
+    edges = np.linspace(0, h, height + 1)
+    low = np.minimum(edges.astype(int), h - 1)
+    needed = np.unique(np.concatenate((low, low + 1)))
+    rows = between(low, edges, integral_rows(grey, needed), lambda r: np.searchsorted(needed, r))
+    edges = np.linspace(0, w, width + 1)
+    both = between(np.minimum(edges.astype(int), w - 1), edges, rows.T, lambda c: c).T
     return np.diff(np.diff(both, axis=0), axis=1) / ((h / height) * (w / width))
 
 
@@ -155,7 +172,7 @@ def pictures(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(tiles, pa.binary()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "tile", "media"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, tile binary, media binary")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_bytes long, tile binary, media binary")
 
 
 def documents_as_media(docs: DataFrame, with_media: bool = True) -> DataFrame:
@@ -174,4 +191,4 @@ def documents_as_media(docs: DataFrame, with_media: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds)], *stored], ["doc_id", "n_bytes", *names, *["tile", "media"][: len(stored)]])
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return materialise(pictures(docs), "media", compression="zstd").mapInArrow(run, schema + ", tile binary, media binary" * with_media)
+    return materialise(pictures(docs), "media", compression="zstd").mapInArrow(tidy(run), schema + ", tile binary, media binary" * with_media)
