@@ -5,8 +5,9 @@ A naive Bayes classifier over hashed words, counted on a bounded sample of label
 is tempered to ``evidence`` words, so membership stays soft. A document of n tokens read at rate r
 adds r * n * p_k expected tokens to domain k. Rates are found by projected-gradient least squares:
 every round sums the expected totals over all documents, and each document moves its rate along
-its own posterior and back to ``least`` (zero by default) if it falls below. A rate is a function of the
-posterior, rounded to steps of 1/``GRID``, and of the rounds' gradients. So the documents are summed
+its own posterior and back to ``least`` (zero by default) if it falls below. The step's weights by domain are
+the gaps, scaled by the domains' overlap over the documents that can move, so few rounds are needed.
+A rate is a function of the posterior, rounded to steps of 1/``GRID``, and of the rounds' steps. So the documents are summed
 once by rounded posterior, with their exact expected tokens, and the rounds run over those sums.
 
 Targets are shares by domain, at the scale at which the richest domain is read once; a domain
@@ -36,7 +37,7 @@ BUCKETS = 4096
 MAX_ROWS = 4000
 EVIDENCE = 16.0
 TEMPER = 0.7
-ROUNDS = 200
+ROUNDS = 24
 TOLERANCE = 1e-3
 #: Steps of a posterior in one.
 GRID = 256
@@ -126,11 +127,43 @@ def sums(members: DataFrame, domains: list[str]) -> DataFrame:
     return members.where("n > 0").groupBy(rounded(F.col("p")).alias("q")).agg(F.array(*tokens).alias("t"))
 
 
+def scaled(overlap: list[list[float]], gap: list[float]) -> list[float]:
+    """The step whose effect on the totals is ``gap``: overlap * step = gap, by elimination; domains without overlap stay."""
+    n = len(gap)
+    rows = [[*overlap[i], gap[i]] for i in range(n)]
+    floor = 1e-9 * max([abs(x) for row in overlap for x in row] + [1e-300])
+    held = []
+    for i in range(n):
+        pivot = max(range(len(held), n), key=lambda r: abs(rows[r][i]), default=None)
+        if pivot is None or abs(rows[pivot][i]) <= floor:
+            continue
+        at = len(held)
+        rows[at], rows[pivot] = rows[pivot], rows[at]
+        for r in range(n):
+            if r != at and rows[r][i]:
+                f = rows[r][i] / rows[at][i]
+                rows[r] = [x - f * y for x, y in zip(rows[r], rows[at])]
+        held.append(i)
+    step = [0.0] * n
+    for at, i in enumerate(held):
+        step[i] = rows[at][n] / rows[at][i]
+    return step
+
+
 def solve(by_q: DataFrame, domains: list[str], targets: dict[str, float] | None = None, temper: float = TEMPER, rounds: int = ROUNDS, least: float = 0.0) -> tuple[list[list[float]], dict]:
-    """Gradients of all rounds, and a report: natural, target and reached totals, and whether all targets are met."""
+    """Steps of all rounds, and a report: natural, target and reached totals, and whether all targets are met."""
     k = range(len(domains))
-    total = lambda r: [x or 0.0 for x in by_q.agg(*[F.sum(r * F.get("t", F.lit(i))) for i in k]).first()]
-    natural = total(F.lit(1.0))
+
+    def totals(steps: list[list[float]]) -> tuple[list[float], list[list[float]]]:
+        """Expected totals after the steps, and the overlap of the domains over documents above ``least`` (all, before the first step)."""
+        r = rate(F.col("q"), steps, least)
+        moves = F.lit(1.0) if not steps else F.when(r > least, 1.0).otherwise(0.0)
+        t = lambda i: F.get("t", F.lit(i))
+        row = by_q.select("q", "t", r.alias("r"), moves.alias("m")).agg(*[F.sum(F.col("r") * t(i)) for i in k], *[F.sum(F.col("m") * t(i) * F.get("q", F.lit(j)) / GRID) for i in k for j in k]).first()
+        flat = [x or 0.0 for x in row]
+        return flat[: len(domains)], [flat[len(domains) * (i + 1) : len(domains) * (i + 2)] for i in k]
+
+    natural, overlap = totals([])
     known = [i for i in k if natural[i] > 0]
     if not known:
         return [], {"natural": natural, "target": natural, "reached": natural, "met": True}
@@ -142,17 +175,20 @@ def solve(by_q: DataFrame, domains: list[str], targets: dict[str, float] | None
         return [], {"natural": natural, "target": [0.0] * len(domains), "reached": natural, "met": False}
     scale = max(natural[i] / weight[i] for i in paid)
     target = [scale * w for w in weight]
-    gap = lambda now: max(abs(now[i] - target[i]) / max(target[i], TOLERANCE * sum(target)) for i in known)
-    gradients: list[list[float]] = []
-    reached, best = natural, math.inf
-    while gap(reached) >= TOLERANCE and len(gradients) < rounds:
-        far = sum((reached[i] - target[i]) ** 2 for i in known)
-        if far > best * (1 - 1e-6):
+    apart = lambda now: max(abs(now[i] - target[i]) / max(target[i], TOLERANCE * sum(target)) for i in known)
+    far = lambda now: sum((now[i] - target[i]) ** 2 for i in known)
+    steps: list[list[float]] = []
+    reached, size = natural, 1.0
+    for _ in range(rounds):
+        if apart(reached) < TOLERANCE or size < 0.01:
             break
-        best = far
-        gradients.append([(reached[i] - target[i]) / natural[i] if i in known else 0.0 for i in k])
-        reached = total(rate(F.col("q"), gradients, least))
-    return gradients, {"natural": natural, "target": target, "reached": reached, "met": gap(reached) < TOLERANCE}
+        step = scaled(overlap, [(reached[i] - target[i]) * size if i in known else 0.0 for i in k])
+        now, more = totals([*steps, step])
+        if far(now) < far(reached):
+            steps, reached, overlap, size = [*steps, step], now, more, 1.0
+        else:
+            size /= 4
+    return steps, {"natural": natural, "target": target, "reached": reached, "met": apart(reached) < TOLERANCE}
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, keep: list[str] | None = None, max_rows: int = MAX_ROWS, temper: float = TEMPER, least: float = 0.0, seed: int = 17) -> tuple[DataFrame, dict]:

@@ -453,7 +453,7 @@ def test_mixing_meets_targets(spark):
     own = mixing.membership(F.col("text"), priors, rows)
     members = docs.select(own.alias("m")).select("m.n", "m.p").cache()
     gradients, got = mixing.solve(mixing.sums(members, domains), domains, targets)
-    assert got["met"] and not mixing.solve(mixing.sums(members, domains), domains, targets, rounds=1)[1]["met"]
+    assert got["met"] and not mixing.solve(mixing.sums(members, domains), domains, targets, rounds=0)[1]["met"]
     assert all(abs(a - b) / b < 0.01 for a, b in zip(got["reached"], got["target"]))
     total = sum(got["target"])
     assert all(abs(t / total - targets[d]) < 1e-9 for t, d in zip(got["target"], domains))
@@ -478,14 +478,31 @@ def test_mixing_against_plain_python(spark):
     q = np.rint(p * mixing.GRID) / mixing.GRID
     natural = n @ p
     target = max(natural[i] / entries.WEIGHTS[d] for i, d in enumerate(domains)) * np.array([entries.WEIGHTS[d] for d in domains])
+    # the first step moves every document, and none is stopped by zero here
     r = np.ones(len(n))
     while np.max(np.abs((n * r) @ p - target) / target) >= mixing.TOLERANCE:
-        r = np.maximum(0, r - q @ (((n * r) @ p - target) / natural))
+        r = r - q @ np.linalg.solve((p * n[:, None]).T @ q, (n * r) @ p - target)
+    assert (r > 0).all()
     for k, doc in enumerate(posterior):
         assert abs(got[doc]["rate"] - r[k]) < 1e-6 and abs(got[doc]["posterior"] - p[k].max()) < 1e-9 and got[doc]["n_tokens"] == n[k]
         assert got[doc]["met"] and abs(got[doc]["target"] - target[domains.index(got[doc]["domain"])]) < 1e-6 * target.sum()
 
 
+def test_mixing_with_rates_held_at_their_least(spark):
+    """Rates that are stopped by their least value: totals are met, or the report says that they are not."""
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([0.3, 0.3, 0.3], 500)
+    rows = [(int(n), x.tolist()) for n, x in zip(rng.integers(1, 400, 500), p)]
+    by_q = mixing.sums(spark.createDataFrame(rows, "n long, p array<double>"), ["a", "b", "c"]).cache()
+    for targets, least, met in (({"a": 0.9, "b": 0.05, "c": 0.05}, 0.0, True), ({"a": 0.5, "b": 0.3, "c": 0.2}, 0.5, True), ({"a": 0.98, "b": 0.01, "c": 0.01}, 1.0, False)):
+        steps, got = mixing.solve(by_q, ["a", "b", "c"], targets, least=least)
+        assert got["met"] == met and len(steps) < 24
+        low = by_q.select(F.min(mixing.rate(F.col("q"), steps, least))).first()[0]
+        assert low >= least
+        if met:
+            assert all(abs(a - b) <= mixing.TOLERANCE * b for a, b in zip(got["reached"], got["target"]))
+
+
 def test_mixing_odd_rows(spark, odd, none, labels):
     labelled = odd.where("text is not null").select("doc_id", F.col("lang").alias("domain")).union(spark.createDataFrame([(99, "x"), (None, "y"), (4, None)], "doc_id long, domain string"))
     got = mixing.rates(odd, labelled).collect()
