@@ -371,7 +371,7 @@ def nearest(members: DataFrame, label: DataFrame, tried: DataFrame, reps: DataFr
     return agreement(pairs, reps, least).groupBy("a").agg(F.max_by("b", F.struct("same", -F.col("b"))).alias("b")).select("a", "b")
 
 
-def class_rows(docs: DataFrame, similarity: float = SIMILARITY, width: int = 5, turns: int = 2) -> DataFrame:
+def class_rows(docs: DataFrame, similarity: float = SIMILARITY, width: int = 5, turns: int = 1) -> DataFrame:
     """doc_id, h, class_id (the class's smallest doc_id) and comp (its name) of every row that has an id and a text."""
     sketched = materialise(sketch(docs, width), "sketch")
     distinct = sketched.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "h", "has_words", "bands", "sig")).alias("r"))
