@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import address, text
 from ..operators import chunks, enrich, headings, outline, profile, regions, table as tables, tree
+from ..sources.shared import stored
 from . import views
 from .registry import QUERIES, SQL, query
 from .views import LINES_SQL, MERGES_SQL, STAR_SQL, table
@@ -65,7 +66,7 @@ SELECT c.doc_id, c.sheet_idx, col, count(*) / max(n_rows) AS fill_rate, sum(CASE
   CAST(sum(CASE WHEN v_kind = 'number' THEN 1 ELSE 0 END) AS BIGINT) AS number_count, CAST(sum(CASE WHEN v_kind = 'string' THEN 1 ELSE 0 END) AS BIGINT) AS text_count, CAST(0 AS BIGINT) AS formula_count, count(DISTINCT v_text) AS unique_values
 FROM cells c JOIN n ON c.doc_id = n.doc_id AND c.sheet_idx = n.sheet_idx GROUP BY c.doc_id, c.sheet_idx, col""")
 def column_profile(spark, d):
-    return profile.columns(views.star(spark, d))
+    return profile.columns(stored(views.star(spark, d), "cells"))
 
 
 @query(f"""WITH {STAR_SQL}, {ROW_PROFILE_SQL}
@@ -83,13 +84,13 @@ def colour_usage(spark, d):
 SELECT p.doc_id, p.sheet_idx, p."row" FROM profile p JOIN w USING (doc_id, sheet_idx) LEFT JOIN f ON p.doc_id = f.doc_id AND p.sheet_idx = f.sheet_idx AND p.fill_color = f.fill_color
 WHERE bold_cols >= 3 AND ((p."row" <= 5 AND filled_cols >= 0.5 * n_cols) OR coalesce(n_fill <= 3, false))""")
 def header_candidates(spark, d):
-    c = views.star(spark, d)
+    c = stored(views.star(spark, d), "cells")
     return profile.header_candidates(c, profile.rows(c))
 
 
 @query(f"""WITH {STAR_SQL} SELECT doc_id, sheet_idx, row_no AS "row" FROM rows_ WHERE kind = 'SUBTOTAL'""")
 def subtotal_candidates(spark, d):
-    c = views.star(spark, d)
+    c = stored(views.star(spark, d), "cells")
     return profile.subtotal_candidates(c, profile.rows(c))
 
 
@@ -150,8 +151,8 @@ def transition_groups(spark, d):
 
 
 def _regions(spark, d):
-    c = views.star(spark, d)
-    rows = profile.rows(c, views.merges(spark, d))
+    c = stored(views.star(spark, d), "cells")
+    rows = stored(profile.rows(c, views.merges(spark, d)), "rows")
     return rows, regions.regions(regions.transitions(rows), profile.header_candidates(c, rows), profile.subtotal_candidates(c, rows))
 
 
@@ -387,8 +388,8 @@ def numbered_nesting(spark, d):
 
 @query()
 def heading_nesting(spark, d):
-    c = views.star(spark, d)
-    rows = profile.rows(c)
+    c = stored(views.star(spark, d), "cells")
+    rows = stored(profile.rows(c), "rows")
     found = headings.detect(c, rows, regions.expanded_table_rows(rows))
     return headings.nest(found)
 
@@ -416,8 +417,8 @@ def prompt_tiers(spark, d):
 
 def _prompt_parts(spark, d):
     """Meta, groups and samples of the star sheets: the customer's sheet, its category and steps, up to five of its rows."""
-    c = views.star(spark, d)
-    rows = tables.classify(c)
+    c = stored(views.star(spark, d), "cells")
+    rows = stored(tables.classify(c), "rows")
     meta = profile.extents(c).select("doc_id", "sheet_idx", F.concat(F.lit("Sheet "), F.col("sheet_idx").cast("string")).alias("name"), F.col("max_row").alias("n_rows"), F.col("max_col").alias("n_cols"))
     g = tables.groups(rows).where("row = group_row AND type IN ('CATEGORY', 'STEP')")
     top = g.where("type = 'CATEGORY'").select("doc_id", "sheet_idx", F.col("row").alias("s0"), text.path(F.col("label")).alias("above"))
@@ -446,7 +447,7 @@ r4 AS (SELECT *, coalesce(k2, CASE WHEN num AND room > 0 AND k % greatest(1, n /
 r5 AS (SELECT *, ceil((sum(size) OVER w - 1) / 4.0) AS tokens, row_number() OVER w AS nr FROM r4 WHERE kind IS NOT NULL WINDOW w AS (PARTITION BY doc_id, sheet_idx ORDER BY kind = 'data', "row" ROWS UNBOUNDED PRECEDING))
 SELECT doc_id, sheet_idx, "row", kind FROM r5 WHERE kind <> 'data' OR tokens <= 2000 OR nr = 1""")
 def llm_sample(spark, d):
-    c = views.star(spark, d)
+    c = stored(views.star(spark, d), "cells")
     rows = tables.classify(c).select("doc_id", "sheet_idx", "row", (F.col("type") == "HEADER").alias("is_header"), (F.col("type") == "SUBTOTAL").alias("is_subtotal"))
     return chunks.trim_samples(chunks.sample_rows(profile.rows(c).join(rows, ["doc_id", "sheet_idx", "row"])), outline.compressed(c))
 

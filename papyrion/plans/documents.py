@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import address, text
 from ..operators import artifact, outline, profile, regions, table as tables, tree
+from ..sources.shared import stored
 from . import views
 from .registry import query
 from .views import MERGES_SQL, STAR_SQL, UNEVEN_SQL, table
@@ -43,11 +44,7 @@ HAS_HEAD = "s.sheet_idx % 3 = 0"
 
 
 def _uneven(spark, d):
-    return tables.measures(tables.packed(views.uneven(spark, d)))
-
-
-def _star(spark, d):
-    return tables.measures(tables.packed(views.star(spark, d)))
+    return stored(tables.measures(tables.packed(views.uneven(spark, d))), "rows")
 
 
 @query(f"""WITH {UNEVEN_SQL}, {CLASSES_SQL} SELECT doc_id, sheet_idx, "row", type, label, is_cancelled FROM classified""")
@@ -174,9 +171,9 @@ laid AS (SELECT *, CAST(base + 2 + summary_lines AS BIGINT) AS short, CAST(base
 SELECT doc_id, sheet_idx, CASE WHEN flat THEN 'flat' WHEN whole <= 100 THEN 'inline' WHEN short <= 100 THEN 'split' ELSE 'pages' END AS layout, CASE WHEN flat THEN -1 WHEN whole <= 100 THEN whole ELSE short END AS index_lines, n_groups, n_details FROM laid""")
 def table_artifact(spark, d):
     """The layout of each uneven sheet for files of at most 100 lines, so that every layout occurs."""
-    c = views.uneven(spark, d)
-    rows = tables.measures(tables.packed(c))
-    a = artifact.layout(rows, artifact.table_meta(rows, c), artifact.detail_chunks(rows, 100), 100, 100)
+    c = stored(views.uneven(spark, d), "cells")
+    rows = stored(tables.measures(tables.packed(c)), "rows")
+    a = artifact.layout(rows, artifact.table_meta(rows, c), stored(artifact.detail_chunks(rows, 100), "details"), 100, 100)
     return a.select("doc_id", "sheet_idx", "layout", F.coalesce("index_lines", F.lit(-1)).cast("long").alias("index_lines"), "n_groups", "n_details")
 
 
@@ -294,8 +291,8 @@ UNION ALL SELECT doc_id, concat('s-', sheet_idx), 'root', 'sheet', concat('Sheet
 UNION ALL SELECT doc_id, concat('t-', sheet_idx, '-0'), concat('s-', sheet_idx), 'table', concat('Sheet ', sheet_idx, ' · table 1 (A1:G', n, ')'), concat('Table region A1:G', n), 2 FROM b)
 SELECT * FROM t""")
 def workbook_tree(spark, d):
-    c = views.star(spark, d)
-    rows = profile.rows(c, views.merges(spark, d))
+    c = stored(views.star(spark, d), "cells")
+    rows = stored(profile.rows(c, views.merges(spark, d)), "rows")
     found = regions.regions(regions.transitions(rows), profile.header_candidates(c, rows), profile.subtotal_candidates(c, rows))
     blocks = regions.table_blocks(regions.segments(rows), found)
     sheets = profile.extents(c).withColumn("sheet", F.concat(F.lit("Sheet "), F.col("sheet_idx").cast("string"))).withColumn("hidden", F.lit(False))
