@@ -193,8 +193,8 @@ def _found(left: pd.DataFrame, right: pd.DataFrame, k: int, exact: bool) -> pd.D
     return pd.DataFrame({"row": of("row"), "query_id": of("vec_id"), "vec_id": got.found[some], "score": got.score[some].astype("int64")})
 
 
-def celled(rows: DataFrame, centres: np.ndarray) -> DataFrame:
-    """``rows`` (row, vec_id, v, asks) with the nearest centre's cell and the distance to it."""
+def celled(rows: DataFrame, centres: np.ndarray, coarse: int) -> DataFrame:
+    """``rows`` (row, vec_id, v, asks) with the nearest centre and the distance to it, among all (cell, far) and the first ``coarse`` centres (q, reach)."""
     square = (centres**2).sum(1)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,10 +203,11 @@ def celled(rows: DataFrame, centres: np.ndarray) -> DataFrame:
                 part = pdf[at : at + 4096]
                 width = max(centres.shape[1], part["v"].map(len).max())
                 x, c = _matrix(part["v"], width), np.pad(centres, ((0, 0), (0, width - centres.shape[1])))
-                cell = (square - 2 * x @ c.T).argmin(1)
-                yield part.assign(cell=cell.astype(np.int32), far=distances(x, c[cell]))
+                apart = square - 2 * x @ c.T
+                cell, q = apart.argmin(1), apart[:, :coarse].argmin(1)
+                yield part.assign(cell=cell.astype(np.int32), far=distances(x, c[cell]), q=q.astype(np.int32), reach=distances(x, c[q]))
 
-    return rows.mapInPandas(run, "row long, vec_id long, v array<long>, asks boolean, cell int, far double")
+    return rows.mapInPandas(run, "row long, vec_id long, v array<long>, asks boolean, cell int, far double, q int, reach double")
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = K, scale: float = SCALE, block_rows: int = BLOCK_ROWS, group_rows: int = GROUP_ROWS, cells: int = CELLS) -> DataFrame:
@@ -218,27 +219,31 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, scale: float = SCAL
     spark = vectors.sparkSession
     data = quantised(vectors, scale).select(F.monotonically_increasing_id().alias("row"), "vec_id", "v", F.coalesce(is_query, F.lit(False)).alias("asks"))
     data = materialise(data, "vectors")
-    n, high, wide = data.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)), F.max(F.size("v"))).first()
+    n, n_asks, high, wide = data.agg(F.count("*"), F.count_if("asks"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)), F.max(F.size("v"))).first()
     empty = "query_id long, rank int, vec_id long, score long"
-    if not n:
+    if not n_asks:
         return spark.createDataFrame([], empty)
     exact = high < EXACT
     picked = data.orderBy(F.xxhash64("row"), "row").limit(max(1, min(cells, math.ceil(n / (block_rows / 2))))).select("v").collect()
     centres = np.zeros((len(picked), wide))
     for i, r in enumerate(picked):
         centres[i, : len(r["v"])] = r["v"]
-    data = materialise(celled(data, centres), "celled")
-    stats = data.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("r"), F.count_if("asks").alias("asked"), F.max(F.when(F.col("asks"), F.col("far"))).alias("rq")).collect()
-    count, asked, radius, reach = np.zeros(len(centres), int), np.zeros(len(centres), int), np.zeros(len(centres)), np.zeros(len(centres))
-    for s in stats:
-        count[s["cell"]], asked[s["cell"]], radius[s["cell"]], reach[s["cell"]] = s["n"], s["asked"], s["r"], s["rq"] or 0.0
+    # queries are fewer: their cells are coarser, so a data block goes to no more groups than needed
+    coarse = min(len(centres), math.ceil(n_asks / (group_rows / 2)))
+    data = materialise(celled(data, centres, coarse), "celled")
+    count, radius, asked, reach = np.zeros(len(centres), int), np.zeros(len(centres)), np.zeros(coarse, int), np.zeros(coarse)
+    for s in data.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("r")).collect():
+        count[s["cell"]], radius[s["cell"]] = s["n"], s["r"]
+    for s in data.where("asks").groupBy("q").agg(F.count("*").alias("n"), F.max("reach").alias("r")).collect():
+        asked[s["q"]], reach[s["q"]] = s["n"], s["r"]
     norm = np.sqrt((centres**2).sum(1))
-    bound = centres @ centres.T + norm[:, None] * radius + reach[:, None] * norm + reach[:, None] * radius
-    bound += SLACK[0] * (norm + reach)[:, None] * (norm + radius) + SLACK[1]
+    own, wide_ = norm[:coarse, None], reach[:, None]
+    bound = centres[:coarse] @ centres.T + own * radius + wide_ * norm + wide_ * radius
+    bound += SLACK[0] * (own + wide_) * (norm + radius) + SLACK[1]
     full, asking = np.flatnonzero(count), np.flatnonzero(asked)
     parts = lambda size, most: np.maximum(1, -(-size // most))
     blocks, groups = parts(count, block_rows), parts(asked, group_rows)
-    ask = data.where("asks")
+    ask = data.where("asks").select("row", "vec_id", "v", F.col("q").alias("mine"))
 
     def dealt(pairs: list[tuple[int, int]], floor: DataFrame | None, one_block: bool) -> DataFrame:
         """Search the (query cell, data cell) pairs; with ``one_block`` only in the first block of a cell."""
@@ -246,8 +251,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, scale: float = SCAL
         pair = F.broadcast(spark.createDataFrame(table, "q int, d int, groups int, used int, blocks int"))
         every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
         place = lambda c, salt: F.pmod(F.xxhash64("row", F.lit(salt)), F.col(c)).cast("int")
-        left = data.join(pair, data["cell"] == F.col("d")).withColumn("block", place("blocks", 1)).where("block < used").select("row", "vec_id", "v", "q", "d", "block", every("groups").alias("grp"))
-        asks = (ask.join(floor, "row", "left") if floor is not None else ask.withColumn("floor", F.lit(None).cast("double"))).join(pair, F.col("cell") == F.col("q"))
+        left = data.select("row", "vec_id", "v", "cell").join(pair, F.col("cell") == F.col("d")).withColumn("block", place("blocks", 1)).where("block < used").select("row", "vec_id", "v", "q", "d", "block", every("groups").alias("grp"))
+        asks = (ask.join(floor, "row", "left") if floor is not None else ask.withColumn("floor", F.lit(None).cast("double"))).join(pair, F.col("mine") == F.col("q"))
         right = asks.select("row", "vec_id", "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"), "q", "d", every("used").alias("block"), place("groups", 2).alias("grp"))
         key = ["q", "d", "block", "grp"]
         fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])  # noqa: E731 -- both sides come from the same rows
@@ -264,10 +269,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, scale: float = SCAL
     seeds = [(int(q), promising(q)) for q in asking]
     found = materialise(dealt(seeds, None, True), "seeds")
     kth = found.groupBy("row").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("floor")).where(F.col("n") >= k).select("row", "floor")
-    worst = np.full(len(centres), np.inf)
-    low = ask.select("row", "cell").join(kth, "row", "left").groupBy("cell").agg(F.min(F.coalesce("floor", F.lit(float("-inf")))).alias("w")).collect()
+    worst = np.full(coarse, np.inf)
+    low = ask.select("row", "mine").join(kth, "row", "left").groupBy("mine").agg(F.min(F.coalesce("floor", F.lit(float("-inf")))).alias("w")).collect()
     for r in low:
-        worst[r["cell"]] = r["w"]
+        worst[r["mine"]] = r["w"]
     rest = [(int(q), int(d)) for q in asking for d in full if bound[q, d] >= worst[q] or not exact]
     # the floor is reached by k rows of the seeds, whose cell's bound is above it, so they are found again here
     merged = dealt(rest, kth, False)
