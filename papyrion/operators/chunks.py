@@ -79,7 +79,7 @@ def pick_tier(prompts: DataFrame, budget: int = 1500) -> DataFrame:
 
 
 def sample_rows(rows: DataFrame, n_headers: int = 3, n_subtotals: int = 5, most: int = 30) -> DataFrame:
-    """Rows of a sheet that show its structure: headers, subtotals, one row of each new format, then evenly spaced numeric rows."""
+    """Rows of a sheet that show its structure: headers, subtotals, one row of each new format, then evenly spaced numeric rows. Their ``line`` stays if they have one."""
     rank = lambda cond, name: F.when(cond, F.row_number().over(W.partitionBy(*SHEET, cond).orderBy("row"))).alias(name)
     shape = F.concat_ws("|", F.coalesce("fill_color", F.lit("")), F.col("bold_cols") > 0, "filled_cols", "is_strike")
     r = rows.select("*", rank(F.col("is_header"), "h"), rank(F.col("is_subtotal"), "s"), shape.alias("shape"))
@@ -94,15 +94,15 @@ def sample_rows(rows: DataFrame, n_headers: int = 3, n_subtotals: int = 5, most:
     r = r.withColumn("left", F.greatest(F.lit(0), most - taken)).withColumn("n", n).withColumn("k", k)
     every = F.greatest(F.lit(1), F.floor(F.col("n") / F.greatest(F.col("left"), F.lit(1))))
     spaced = (F.col("left") > 0) & ((F.col("k") - 1) % every == 0) & (F.floor((F.col("k") - 1) / every) < F.col("left"))
-    return r.withColumn("kind", F.coalesce("kind", F.when(spaced, "data"))).where("kind is not null").select(*SHEET, "row", "kind")
+    return r.withColumn("kind", F.coalesce("kind", F.when(spaced, "data"))).where("kind is not null").select(*SHEET, "row", "kind", *([c for c in rows.columns if c == "line"]))
 
 
-def trim_samples(sampled: DataFrame, lines: DataFrame, most: int = 2000) -> DataFrame:
+def trim_samples(sampled: DataFrame, lines: DataFrame | None = None, most: int = 2000) -> DataFrame:
     """Sampled rows without the last data rows by which their lines exceed ``most`` tokens; other kinds and an only row stay.
 
-    ``lines``: sheet key, row, line; the lines of a sheet count as joined by line feeds.
+    ``lines``: sheet key, row, line; without them the samples have their ``line``. The lines of a sheet count as joined by line feeds.
     """
-    d = sampled.join(lines.select(*SHEET, "row", "line"), [*SHEET, "row"], "left")
+    d = sampled if lines is None else sampled.drop("line").join(lines.select(*SHEET, "row", "line"), [*SHEET, "row"], "left")
     size = F.length(F.coalesce("line", F.concat(F.lit("R"), F.col("row").cast("string"), F.lit("|")))) + 1
     w = W.partitionBy(*SHEET).orderBy(F.col("kind") == "data", "row")
     tokens = F.ceil((F.sum(size).over(w.rowsBetween(W.unboundedPreceding, 0)) - 1) / F.lit(4.0))

@@ -28,6 +28,23 @@ def no_model(prompts: list[str]) -> list[str]:
     return [""] * len(prompts)
 
 
+def with_samples(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``table.packed`` with k, their place among the sample rows of the sheet (as in ``sample_lines``), their ``line``, and max_row and max_col of the sheet."""
+    rank = F.when(F.col("type") == "HEADER", 0).when(F.col("type") == "CATEGORY", 1).when(F.col("type") == "TASK", 2)
+    part = lambda x: F.struct(x["col"].alias("col"), x["pos"].alias("pos"), F.concat_ws(":", x["col"].cast("string"), F.substring(x["v_text"], 1, 30)).alias("s"))
+    line = F.array_join(F.transform(F.sort_array(F.transform(F.filter("cells", lambda x: x["t"] != ""), part)), lambda x: x["s"]), "|")
+    w = W.partitionBy(*SHEET)
+    r = rows.withColumn("p", rank).withColumn("last_col", F.array_max(F.transform("cells", lambda x: x["col"])))
+    r = r.withColumn("k", F.when(F.col("p").isNotNull(), F.row_number().over(w.orderBy(F.asc_nulls_last("p"), "row"))))
+    r = r.withColumns({"max_row": F.max("row").over(w), "max_col": F.max("last_col").over(w)})
+    return r.withColumn("line", F.concat(F.lit("R"), "row", F.lit("|"), "type", F.lit("|"), line)).drop("p", "last_col")
+
+
+def joined_samples(rows: DataFrame) -> DataFrame:
+    """The lines of each sheet's sample rows, in order of k."""
+    return rows.groupBy(*SHEET).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]).alias("samples"))
+
+
 def sample_lines(cells: DataFrame, rows: DataFrame, most: int) -> DataFrame:
     """Up to ``most`` rows of each sheet as text, headers first, then categories, then tasks."""
     rank = F.when(F.col("type") == "HEADER", 0).when(F.col("type") == "CATEGORY", 1).when(F.col("type") == "TASK", 2)
@@ -36,7 +53,7 @@ def sample_lines(cells: DataFrame, rows: DataFrame, most: int) -> DataFrame:
     part = F.concat_ws(":", F.col("col").cast("string"), F.substring("v_text", 1, 30))
     line = shown.groupBy(*SHEET, "row", "type", "k").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col", "pos", part.alias("s")))), lambda x: x["s"]), "|").alias("s"))
     line = line.withColumn("line", F.concat(F.lit("R"), "row", F.lit("|"), "type", F.lit("|"), "s"))
-    return line.groupBy(*SHEET).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]).alias("samples"))
+    return joined_samples(line)
 
 
 def prompts(meta: DataFrame, groups: DataFrame, samples: DataFrame, budget: int = 1500) -> DataFrame:
